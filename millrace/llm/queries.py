@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import sharding, urls
+from millrace.llm import packing, sharding, token_files, urls
 
 #: The columns that the operators read; the tables may have more.
 SCHEMAS = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "pages": "page_id bigint, url string", "labels": "doc_id bigint, quality int, toxic int"}
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_packing(spark: SparkSession, d: str) -> DataFrame:
+    cut = packing.token_pieces(table(spark, d, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), 2, 4096)
+    return packing.pack(cut, "length", 4096)
+
+
 def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     sizes = {"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text)}
@@ -22,6 +28,11 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_token_files(spark: SparkSession, d: str) -> DataFrame:
+    manifest = token_files.write_tokens(table(spark, d, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", token_files.token_crc().alias("ids_crc32"))
+
+
 #: The rules of the query.
 URL_RULES = [
     urls.Rule("org/", "allow"), urls.Rule("example.org/es/", "block"), urls.Rule("example.org/en/1", "block"),
@@ -34,7 +45,7 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op4_packing, op5_sharding, op8_token_files, op10_url_filters)}
 
 #: Equal SQL, where there is any.
 ORACLE: dict[str, str] = {}
