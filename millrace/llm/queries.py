@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, sharding, token_files, urls
+from millrace.llm import fingerprints, packing, quality, sharding, token_files, urls
 
 #: The columns that the operators read; the tables may have more.
 SCHEMAS = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "pages": "page_id bigint, url string", "labels": "doc_id bigint, quality int, toxic int"}
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, d, "documents"), "doc_id", "text").drop("tie")
+
+
 def op4_packing(spark: SparkSession, d: str) -> DataFrame:
     cut = packing.token_pieces(table(spark, d, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), 2, 4096)
     return packing.pack(cut, "length", 4096)
@@ -28,6 +32,13 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality.fit(docs, "doc_id", "text", table(spark, d, "labels"), F.col("quality") == 1)
+    out = quality.judge(docs, {"doc_id": F.col("doc_id")}, "text", model)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op8_token_files(spark: SparkSession, d: str) -> DataFrame:
     manifest = token_files.write_tokens(table(spark, d, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 0)
     return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", token_files.token_crc().alias("ids_crc32"))
@@ -45,7 +56,7 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_sharding, op8_token_files, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_packing, op5_sharding, op7_quality, op8_token_files, op10_url_filters)}
 
 #: Equal SQL, where there is any.
 ORACLE: dict[str, str] = {}

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.tables import hash_sample
+
 #: Upper and lower case of A to Z.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -179,7 +181,7 @@ def judge_urls(df: DataFrame, key: str, url: str, rules: list[Rule], sample: int
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
     known = rows.filter(F.col("rule").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
-    fitted = UrlModel.fit(known.distinct().orderBy(F.xxhash64("url"), "url").limit(sample).toPandas())
+    fitted = UrlModel.fit(hash_sample(known.distinct(), "url", sample).toPandas())
     shared = df.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
