@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, packing, quality, sharding, token_files, urls
+from millrace.llm import bpe, fingerprints, packing, quality, sharding, token_files, urls
 
 #: The columns that the operators read; the tables may have more.
 SCHEMAS = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "pages": "page_id bigint, url string", "labels": "doc_id bigint, quality int, toxic int"}
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(table(spark, d, "documents"), "doc_id", "text", tokenizer), "ids", tokenizer)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op2_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, d, "documents"), "doc_id", "text").drop("tie")
 
@@ -56,7 +62,7 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_packing, op5_sharding, op7_quality, op8_token_files, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op4_packing, op5_sharding, op7_quality, op8_token_files, op10_url_filters)}
 
 #: Equal SQL, where there is any.
 ORACLE: dict[str, str] = {}

@@ -101,18 +101,21 @@ class WordCoder:
         self.pool[self.used : self.used + total] = ids
         self.starts[self.n : self.n + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[self.n : self.n + n] = lengths
+        self._slots(keys, self.n + np.arange(n))
+        self.n += n
+        self.used += total
+
+    def _slots(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         mask = len(self.keys) - 1
-        slot, left = (keys & U(mask)).astype(np.int64), np.arange(n)
+        slot, left = (keys & U(mask)).astype(np.int64), np.arange(len(keys))
         while len(left):
             s = slot[left]
             free = self.keys[s] == 0
             self.keys[s[free]] = keys[left[free]]
             won = self.keys[s] == keys[left]
-            self.at[s[won]] = self.n + left[won]
+            self.at[s[won]] = numbers[left[won]]
             left = left[~won]
             slot[left] = (slot[left] + 1) & mask
-        self.n += n
-        self.used += total
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word, one after another, and how many each has."""
@@ -190,6 +193,25 @@ class WordCoder:
             at = self._find(keys)
         return self._put(texts, at, first, whole, self.pool, self.starts, self.lengths)
 
+    def grow(self) -> None:
+        """Room for twice as many words."""
+        old, self.keep_words = self.keys[self.keys != 0], 2 * self.keep_words
+        at = self._find(old)
+        self.keys, self.at = np.zeros(2 * len(self.keys), U), np.zeros(2 * len(self.at), np.int32)
+        self._slots(old, at)
+
+    def put(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Like :meth:`encode`, from kept words alone; a word that is not kept is an error."""
+        texts = [t or "" for t in texts]
+        ready = [self._normal(t) for t in texts]
+        _, _, _, keys, first, whole = self.words([t or "" for t in ready])
+        whole |= np.array([t is None for t in ready], bool)
+        at = self._find(keys)
+        if (at < 0).any():
+            raise ValueError("a word has no ids")
+        ids, counts = self._put(texts, at, first, whole, self.pool, self.starts, self.lengths)
+        return ids, np.append(0, np.cumsum(counts))
+
     def _put(self, texts, at, first, whole, pool, starts, lengths):
         n = lengths[at].astype(np.int64)
         ids = pool[ragged(starts[at], n)]
