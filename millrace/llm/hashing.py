@@ -83,7 +83,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out *= _BASE
         out += words[j : j + n]
-    return mix(out + U(k) * _GOLD)
+    return mix(out + U(k * int(_GOLD) & (1 << 64) - 1))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -91,3 +91,32 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+class KeySet:
+    """64-bit keys seen so far, with a flag each; an open-addressing table that starts anew when ``most`` are in it."""
+
+    def __init__(self, most: int = 1 << 21):
+        self.most = most
+        self.keys, self.flags, self.n = np.zeros(4 * most, U), np.zeros(4 * most, bool), 0
+
+    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each key (distinct ones), put in if new; and whether it was there."""
+        if self.n + len(keys) > 2 * self.most:
+            raise ValueError("too many keys at once")
+        if self.n + len(keys) > self.most and self.n:
+            self.keys[:], self.flags[:], self.n = 0, False, 0
+        keys = np.where(keys == 0, U(1), keys)
+        mask = len(self.keys) - 1
+        slot, left, old = (keys & U(mask)).astype(np.int64), np.arange(len(keys)), np.zeros(len(keys), bool)
+        while len(left):
+            s = slot[left]
+            hit = self.keys[s] == keys[left]
+            old[left[hit]] = True
+            free = self.keys[s] == 0
+            self.keys[s[free]] = keys[left[free]]
+            won = hit | (free & (self.keys[s] == keys[left]))
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & mask
+        self.n += int((~old).sum())
+        return slot, old

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprints, packing, quality, sharding, token_files, urls
+from millrace.llm import bpe, fingerprints, packing, quality, sharding, substrings, token_files, urls
 
 #: The columns that the operators read; the tables may have more.
 SCHEMAS = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "pages": "page_id bigint, url string", "labels": "doc_id bigint, quality int, toxic int"}
@@ -50,6 +50,11 @@ def op8_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", token_files.token_crc().alias("ids_crc32"))
 
 
+def op9_substrings(spark: SparkSession, d: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, d, "documents"), "doc_id", "text", 20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_words", "UTF-8"), 256).alias("kept_sha256"))
+
+
 #: The rules of the query.
 URL_RULES = [
     urls.Rule("org/", "allow"), urls.Rule("example.org/es/", "block"), urls.Rule("example.org/en/1", "block"),
@@ -62,7 +67,7 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op4_packing, op5_sharding, op7_quality, op8_token_files, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op4_packing, op5_sharding, op7_quality, op8_token_files, op9_substrings, op10_url_filters)}
 
 #: Equal SQL, where there is any.
 ORACLE: dict[str, str] = {}

@@ -66,3 +66,22 @@ def hash_sample(df: DataFrame, on: str, limit: int) -> DataFrame:
         share = 1.2 * limit / n + 100 / n
         df = df.filter(F.shiftrightunsigned(key, 1) < F.lit(int(share * (1 << 63))))
     return df.orderBy(key, on).limit(limit)
+
+
+#: Bits of a filter: 2 MB, whatever the input. With very many keys it lets more rows through, which costs time and changes no result.
+FILTER_BITS = 1 << 24
+
+
+def key_filter(df: DataFrame, hashed: str) -> np.ndarray:
+    """One bit for each 64-bit hash in a column, by its low bits; put together by Spark, FILTER_BITS / 32 rows at most come back."""
+    at = F.col(hashed).bitwiseAND(FILTER_BITS - 1).cast("int")
+    words = df.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS >> 5, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def may_have(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """False where a hash is surely not in the filter."""
+    at = hashed.astype(np.int64) & (FILTER_BITS - 1)
+    return ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
