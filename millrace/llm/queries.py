@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprints, packing, quality, sharding, substrings, token_files, urls
+from millrace.llm import bpe, fingerprints, packing, quality, sharding, substrings, suffixes, token_files, urls
 
 #: The columns that the operators read; the tables may have more.
 SCHEMAS = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "pages": "page_id bigint, url string", "labels": "doc_id bigint, quality int, toxic int"}
@@ -38,6 +38,11 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    out = suffixes.remove_strings(table(spark, d, "documents"), "doc_id", "text", 200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     model = quality.fit(docs, "doc_id", "text", table(spark, d, "labels"), F.col("quality") == 1)
@@ -67,7 +72,7 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op4_packing, op5_sharding, op7_quality, op8_token_files, op9_substrings, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op4_packing, op5_sharding, op6_suffixes, op7_quality, op8_token_files, op9_substrings, op10_url_filters)}
 
 #: Equal SQL, where there is any.
 ORACLE: dict[str, str] = {}
