@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprints, packing, quality, sharding, substrings, suffixes, token_files, urls
+from millrace.llm import bpe, fingerprints, neardup, packing, quality, sharding, substrings, suffixes, token_files, urls
 
 #: The columns that the operators read; the tables may have more.
 SCHEMAS = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "pages": "page_id bigint, url string", "labels": "doc_id bigint, quality int, toxic int"}
@@ -26,6 +26,10 @@ def op2_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, d, "documents"), "doc_id", "text").drop("tie")
 
 
+def op3_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text", 4, 80).drop("tie")
+
+
 def op4_packing(spark: SparkSession, d: str) -> DataFrame:
     cut = packing.token_pieces(table(spark, d, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), 2, 4096)
     return packing.pack(cut, "length", 4096)
@@ -72,7 +76,7 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op4_packing, op5_sharding, op6_suffixes, op7_quality, op8_token_files, op9_substrings, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_near_duplicates, op4_packing, op5_sharding, op6_suffixes, op7_quality, op8_token_files, op9_substrings, op10_url_filters)}
 
 #: Equal SQL, where there is any.
 ORACLE: dict[str, str] = {}
