@@ -1,7 +1,64 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the
+last return the columns of ``documents``. Rows with null or empty texts fail the quality rules. Columns other than
+those of ``documents`` are dropped.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import neardup, packing, quality, substrings
+from millrace.llm.queries import table
+from millrace.llm.repeats import text_tie
+from millrace.llm.tables import new_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither a rule nor the likelihood ratio rejects; a row alone is judged by its text."""
+    docs = docs.select(*COLUMNS)
+    model = quality.fit(docs, "doc_id", "text", table(spark, sf_dir, "labels"), F.col("quality") == 1)
+    keep = {c: F.col(c) for c in COLUMNS if c != "text"} | {"body": F.col("text")}
+    return quality.judge(docs, keep, "text", model).filter("kept").withColumnRenamed("body", "text").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: shingles of five words, a similarity of 0.8 or more. Of rows alike in key and text, all stay or go."""
+    docs = docs.select(*COLUMNS)
+    kept = neardup.near_duplicates(docs, "doc_id", "text", 5, 80).filter("kept").select(F.col("doc_id").alias("__k"), F.col("tie").alias("__t"))
+    rows = docs.withColumn("tie", text_tie("text"))
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["__k"]) & (rows["tie"] == kept["__t"]), "left_semi").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of twenty words or more that start earlier go out of the texts; every document stays, and ``n_chars`` follows."""
+    out = substrings.remove_repeats(docs.select(*COLUMNS), "doc_id", "text", 20, ["lang", "source"])
+    text = F.col("kept_text")
+    return out.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens: one row per piece of a document."""
+    cut = packing.token_pieces(docs.select("doc_id", "text"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), 2, 4096)
+    return packing.pack(cut, "length", 4096)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("packing", pack)]
+
+#: SQL has no SuperMinHash, union-find or tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
