@@ -96,7 +96,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class KeySet:
     """64-bit keys seen so far, with a flag each; an open-addressing table that starts anew when ``most`` are in it."""
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int = 1 << 20):
         self.most = most
         self.keys, self.flags, self.n = np.zeros(4 * most, U), np.zeros(4 * most, bool), 0
 

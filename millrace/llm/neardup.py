@@ -96,7 +96,7 @@ def _sketches(df: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1 << 15):
-                for part, data, at in pieces(batch.slice(lo, 1 << 15), "text", 1 << 20):
+                for part, data, at in pieces(batch.slice(lo, 1 << 15), "text", 1 << 19):
                     sets, first = shingle_sets(data, at, k)
                     one, two = (np.append(U(0), np.cumsum(mix(sets ^ U(c)), dtype=U)) for c in (0x51ED270B, 0xA3C59AC2B7D6F01))
                     sig = (mix(superminhash(sets, first)) >> U(48)).astype(np.uint16)

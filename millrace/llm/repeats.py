@@ -101,8 +101,8 @@ def _find(df: DataFrame, units: Callable, width: int, piece: int) -> DataFrame:
                 keys, head, back = np.unique(s.anchor, return_index=True, return_inverse=True)
                 seen = np.zeros(len(keys), bool)
                 fresh_mark = []
-                for lo in range(0, len(keys), 1 << 20):
-                    slot, old = met.slots(keys[lo : lo + (1 << 20)])
+                for lo in range(0, len(keys), 1 << 19):
+                    slot, old = met.slots(keys[lo : lo + (1 << 19)])
                     seen[lo : lo + len(slot)] = old
                     again = old | (np.bincount(back, minlength=len(keys))[lo : lo + len(slot)] > 1)
                     fresh_mark.append(keys[lo : lo + len(slot)][again & ~met.flags[slot]])
@@ -132,7 +132,7 @@ class Repeats:
     mixed: DataFrame
 
 
-def find_repeats(df: DataFrame, units: Callable, width: int, piece: int = 1 << 20) -> Repeats:
+def find_repeats(df: DataFrame, units: Callable, width: int, piece: int = 1 << 19) -> Repeats:
     """``df`` has key, tie and text. ``units``: from bytes and offsets of a run of texts to a number for each unit and the texts' offsets."""
     found = _find(df, units, width, piece)
     by = F.when(F.col("known"), F.xxhash64("key", "place")).otherwise(F.col("anchor"))

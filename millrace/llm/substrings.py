@@ -45,7 +45,7 @@ def repeated_windows(df: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in pieces(batch, "text", 1 << 20):
+            for part, data, at in pieces(batch, "text", 1 << 19):
                 words, begin = _words(data, at)
                 pre = prefix(words)
                 row, (a, n) = _flat(part.column(3), ["at", "n"])
@@ -81,7 +81,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, width: int = 20, others:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in pieces(batch, "text", 1 << 22):
+            for part, data, at in pieces(batch, "text", 1 << 19):
                 raw = data.tobytes()
                 out = []
                 for i, (items, null) in enumerate(zip(part.column(3).to_pylist(), part.column(1).is_null().to_pylist(), strict=True)):

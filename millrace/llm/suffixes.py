@@ -172,7 +172,7 @@ def repeated_strings(df: DataFrame, width: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in pieces(batch, "text", 1 << 20):
+            for part, data, at in pieces(batch, "text", 1 << 19):
                 raw = data.tobytes()
                 row, (a, n, anchor, salt_, single) = _flat(part.column(3), ["at", "n", "anchor", "salt", "single"])
                 lo = at[row] + a
@@ -254,7 +254,7 @@ def remove_strings(df: DataFrame, key: str, text: str, width: int = 200) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in pieces(batch, "text", 1 << 22):
+            for part, data, at in pieces(batch, "text", 1 << 19):
                 out = []
                 for i, items in enumerate(part.column(3).to_pylist()):
                     own = data[at[i] : at[i + 1]]

@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers give freed batches back to the system, so one that waits for its next task holds little.
+pa.set_memory_pool(pa.system_memory_pool())
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one is set only where a session has none (tests)."""

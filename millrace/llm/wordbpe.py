@@ -27,7 +27,7 @@ _BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _CLIP_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LONG_WORD = 200
 #: Characters at once; a longer text comes alone.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 @functools.cache
