@@ -104,14 +104,19 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
 
 def _page(part: int, page: list[tuple]) -> pa.RecordBatch:
     keys, counts, ids = (np.concatenate(c) for c in zip(*page, strict=True))
-    small = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32
-    return pa.RecordBatch.from_arrays([pa.array([part]), *[pa.array([x.tobytes()], pa.binary()) for x in (keys, counts.astype(np.uint16), ids.astype(small))]], names=["part", "keys", "counts", "ids"])
+    small = _width(ids)
+    return pa.RecordBatch.from_arrays([pa.array([part]), *[pa.array([x.tobytes()], pa.binary()) for x in (keys, counts.astype(_width(counts)), ids.astype(small))]], names=["part", "keys", "counts", "ids"])
+
+
+def _width(values: np.ndarray) -> type:
+    return np.uint16 if not len(values) or values.max() < 1 << 16 else np.int32
 
 
 def _turn(page: tuple[bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, counts, raw = np.frombuffer(page[0], U), np.frombuffer(page[1], np.uint16), page[2]
+    keys, raw = np.frombuffer(page[0], U), page[2]
+    counts = np.frombuffer(page[1], np.int32 if len(page[1]) == 4 * len(keys) else np.uint16).astype(np.int32)
     wide = len(raw) == 4 * int(counts.sum()) and len(raw) > 0
-    return keys, np.frombuffer(raw, np.int32 if wide else np.uint16), counts.astype(np.int32)
+    return keys, np.frombuffer(raw, np.int32 if wide else np.uint16), counts
 
 
 def encode(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
@@ -119,8 +124,7 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
 
     Returns the key, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit). Null texts are empty
     (no ids). Repeated rows and null keys stay; an empty table gives an empty table. Only the
-    key and the text are read, so other columns cannot clash. A word's ids must
-    number less than 65,536.
+    key and the text are read, so other columns cannot clash.
     """
     parts = _parts(df, key, text)
     kind = dict(parts.dtypes)["key"]
