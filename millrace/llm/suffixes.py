@@ -156,7 +156,7 @@ def _shards(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(waiting)
 
 
-def repeated_strings(df: DataFrame, width: int) -> DataFrame:
+def repeated_strings(df: DataFrame, width: int, shard_bytes: int = SHARD) -> DataFrame:
     """(key, tie, at, n): runs of positions whose strings of ``width`` bytes also start anywhere else. ``df``: key, tie, text."""
     found = find_repeats(df, lambda data, at: (data.astype(U) + U(1), at), width, 1 << 19)
     kind = dict(df.dtypes)["key"]
@@ -165,7 +165,7 @@ def repeated_strings(df: DataFrame, width: int) -> DataFrame:
     plain = found.rows.join(twice, ["anchor", "whole"], "left_semi").select("key", *place_columns())
 
     # Different segments of one anchor go to the suffix arrays, each once. Those of a split anchor keep its number of parts.
-    most = SHARD // (2 * width)
+    most = max(1, shard_bytes // (2 * width))
     parts = F.ceil(F.col("kinds") / most).cast("int")
     salt = F.when(parts > 1, F.pmod(F.col("whole"), parts) + 1).otherwise(0).cast("int")
     wanted = found.mixed.select("key", *place_columns(), "anchor", salt.alias("salt"), (F.col("copies") == 1).alias("single"))
@@ -186,7 +186,7 @@ def repeated_strings(df: DataFrame, width: int) -> DataFrame:
     strings = with_texts(wanted, df, ["at", "n", "anchor", "salt", "single"]).select("key", "tie", "text", "items").mapInArrow(cut, _SEGMENT.format(kind=kind))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, shard in enumerate(_shards(batches, SHARD)):
+        for number, shard in enumerate(_shards(batches, shard_bytes)):
             shard = shard.combine_chunks().to_batches()[0]
             data, at = text_bytes(shard.column(6))
             n = np.diff(at) - width + 1
@@ -240,7 +240,7 @@ def _intervals(shard: pa.RecordBatch, owner: np.ndarray, offset: np.ndarray) ->
     yield pa.RecordBatch.from_arrays([shard.column(2).take(take), shard.column(3).take(take), pa.array(at), pa.array(n), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.int64())], names=["key", "tie", "at", "n", "hashed", "shard"])
 
 
-def remove_strings(df: DataFrame, key: str, text: str, width: int = 200) -> DataFrame:
+def remove_strings(df: DataFrame, key: str, text: str, width: int = 200, shard_bytes: int = SHARD) -> DataFrame:
     """Remove every byte that is covered by a string of ``width`` bytes which also starts anywhere else, in any text or the same.
 
     Strings never cross texts and are judged on the input. Returns the key, ``n_bytes``, ``n_removed``,
@@ -249,7 +249,7 @@ def remove_strings(df: DataFrame, key: str, text: str, width: int = 200) -> Data
     alike in key and text are two texts, and lose what they share. Other columns are dropped, so none can clash.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), text_tie(text))
-    lists = window_lists(repeated_strings(rows.select("key", "tie", "text"), width))
+    lists = window_lists(repeated_strings(rows.select("key", "tie", "text"), width, shard_bytes))
     kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
