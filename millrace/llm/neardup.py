@@ -4,8 +4,10 @@
 2. Texts with equal sets are put together at once; only one of each goes on.
 3. Bands of the signature are buckets. In a bucket, texts are compared with the most central ones,
    first with one, then with more, as long as they are not yet connected; signatures sort out hopeless pairs.
-4. A pair is a link if the full sets, made anew from the texts, are similar enough.
-5. Links are put together by union-find.
+   In a small bucket that is every pair.
+4. What is not connected then in a large bucket is compared in full with the bucket's texts, in bounded cells.
+5. A pair is a link if the full sets, made anew from the texts, are similar enough.
+6. Links are put together by union-find.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from millrace.llm.tables import keep, pieces
 
 SIGNATURE, BAND = 128, 4
 _BITS = U(48)
-#: How many of a bucket's most central texts are compared with the others, round by round.
-ROUNDS = (1, 8, 24)
+#: How many of a bucket's most central texts are compared with the others, round by round: all in a small
+#: bucket (as many as the last round has, or less), one in a large one.
+ROUNDS = (1, 4, 24)
+#: Shingles in a cell of large buckets.
+CELL = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -154,6 +159,71 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, n, set): the shingles of every text as bytes, and how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1 << 15):
+                for part, data, at in pieces(batch.slice(lo, 1 << 15), "text", 1 << 19):
+                    sets, first = shingle_sets(data, at, k)
+                    raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((8 * first).astype(np.int64).tobytes()), pa.py_buffer(sets.tobytes())])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), raw.cast(pa.binary())], names=["node", "n", "set"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, set binary")
+
+
+def links_in_cell(asks: np.ndarray, n: np.ndarray, first: np.ndarray, tokens: np.ndarray, roots: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows that ask and rows that do not (``asks``: 1 and 0) with another root, one for each row that asks and root."""
+    owner = np.repeat(np.arange(len(n)), n)
+    there = asks[owner] == 0
+    order = np.argsort(tokens[there], kind="stable")
+    index, whose = tokens[there][order], owner[there][order]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for q in np.flatnonzero(asks == 1):
+        own = tokens[first[q] : first[q + 1]]
+        lo = np.searchsorted(index, own, "left")
+        common = np.bincount(whose[ragged(lo, np.searchsorted(index, own, "right") - lo)], minlength=len(n))
+        hit = np.flatnonzero((common > 0) & (100 * common >= percent * (n + n[q] - common)) & (roots != roots[q]))
+        hit = hit[np.unique(roots[hit], return_index=True)[1]]
+        out.append((np.full(len(hit), q), hit))
+    a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
+    return a, b
+
+
+def _rest(members: DataFrame, roots: DataFrame | None, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between texts of one large bucket that are not connected yet; full sets are compared, and none is left out.
+
+    Large buckets with the same largest component are a family. Its texts outside that component are the ones that
+    ask; they are compared with all texts of the family, in cells of some askers by some texts, each
+    of a bounded number of shingles. A cell looks shingles up in an index and returns links alone.
+    """
+    placed = members.filter(F.col("size") > ROUNDS[-1]).select("bucket", "node")
+    placed = placed.withColumn("root", F.col("node")) if roots is None else placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = keep(placed, "placed")
+    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = parts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("family"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+    family = keep(placed.join(largest, "bucket").select("family", "node", "root").distinct(), "families")
+    sets = keep(_sets(texts.join(family.select("node").distinct(), "node", "left_semi"), k), "rest")
+    asks = F.col("root") != F.col("family")
+    blocks = lambda n, most: F.ceil(n / F.lit(float(most))).cast("int")
+    sizes = family.join(sets.select("node", "n"), "node").groupBy("family").agg(blocks(F.sum("n"), CELL).alias("columns"), blocks(F.sum(F.when(asks, F.col("n")).otherwise(0)), CELL // 4).alias("lines"))
+    rows = family.join(sizes, "family")
+    spread = lambda own, other: F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(own)
+    mine = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    data = rows.select("family", "node", "root", F.lit(0).alias("asks"), mine("columns", 1).alias("column"), spread("line", "lines"))
+    askers = rows.filter(asks).select("family", "node", "root", F.lit(1).alias("asks"), mine("lines", 2).alias("line"), spread("column", "columns"))
+    cells = data.unionByName(askers).join(sets, "node").select("family", "line", "column", "node", "root", "asks", "n", "set")
+
+    def run(cell: pa.Table) -> pa.Table:
+        node, root, ask, n = (cell.column(i).to_numpy() for i in range(3, 7))
+        tokens = np.frombuffer(b"".join(cell.column(7).to_pylist()), U)
+        a, b = links_in_cell(ask, n, np.append(0, np.cumsum(n)), tokens, root, percent)
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    return cells.groupBy("family", "line", "column").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
     """Key, ``tie``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
 
@@ -165,9 +235,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
     judged each for itself. Other columns are dropped.
 
     32 bands of 4 find a pair at a similarity of 0.8 with a chance of 1 - 5e-8; a pair whose signatures agree in less than the
-    threshold less 0.14 (four standard deviations) is not confirmed. In a bucket with more than 24 different texts,
-    a text is compared with the 24 most central ones: there, two texts are only missed if neither
-    is connected to one of these in any of the buckets that they share.
+    threshold less 0.14 (four standard deviations) is not confirmed. Buckets of any size are searched in full: up to
+    24 different texts pair by pair as far as they are not connected yet, beyond that by :func:`_rest`.
     """
     rows = df.select(F.col(key).alias("key"), text_tie(text), F.col(text).alias("text"))
     sketches = keep(_sketches(rows, k), "sketches")
@@ -181,7 +250,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
     central = members.groupBy("node").agg(F.sum("size").alias("score"))
     central = keep(central, "central")
     rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("score"), "node"))
-    hubs = keep(members.join(central, "node").withColumn("rank", rank).filter(F.col("rank") <= ROUNDS[-1]).select("bucket", F.col("node").alias("hub"), "rank"), "hubs")
+    hubs = keep(members.join(central, "node").withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("size") > ROUNDS[-1], 1).otherwise(ROUNDS[-1])).select("bucket", F.col("node").alias("hub"), "rank"), "hubs")
 
     some = keep(sets.join(central.select("node"), "node", "left_semi").withColumn("id", F.xxhash64("key", "tie")), "some")
     inside, _ = split_by(rows, some)
@@ -191,20 +260,23 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
     signatures = some.select("node", "signature")
 
     links, roots, last = None, None, 0
-    for most in ROUNDS:
-        new = hubs.filter((F.col("rank") > last) & (F.col("rank") <= most)).select("bucket", "hub")
-        all_ = members.select("bucket", "node")
-        if roots is not None:
-            # Only what is not connected yet.
-            all_ = all_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            new = new.join(roots.toDF("hub", "hub_root"), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-            pairs = all_.join(new, "bucket").filter("root <> hub_root AND node <> hub")
+    for most in (*ROUNDS, None):
+        if most is None:
+            found = keep(_rest(members, roots, texts, k, percent), "links")
         else:
-            pairs = all_.join(new, "bucket").filter("node <> hub")
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        likely = keep(_likely(pairs, signatures, percent / 100 - 0.14), "likely")
-        found = keep(_confirm(likely, texts, k, percent), "links")
-        last = most
+            new = hubs.filter((F.col("rank") > last) & (F.col("rank") <= most)).select("bucket", "hub")
+            all_ = members.select("bucket", "node")
+            if roots is None:
+                pairs = all_.join(new, "bucket").filter("node <> hub")
+            else:
+                # Only what is not connected yet.
+                all_ = all_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                new = new.join(roots.toDF("hub", "hub_root"), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+                pairs = all_.join(new, "bucket").filter("root <> hub_root AND node <> hub")
+            pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            last = most
+            likely = keep(_likely(pairs, signatures, percent / 100 - 0.14), "likely")
+            found = keep(_confirm(likely, texts, k, percent), "links")
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
