@@ -187,7 +187,7 @@ def judge_urls(df: DataFrame, key: str, url: str, rules: list[Rule], sample: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = shared.value.score(b["url"], b["host"], b["path"])
-            yield b.assign(score=s, verdict=b["verdict"].where(b["verdict"].notna(), np.where(s >= cut, "block", "allow"))).drop(columns="url")
+            yield b.assign(score=s, verdict=b["verdict"].where(b["verdict"].notna(), np.where(s > cut, "block", "allow"))).drop(columns="url")
 
     kind = dict(rows.dtypes)["key"]
     out = rows.mapInPandas(run, f"key {kind}, host string, path string, rule string, verdict string, score double")
