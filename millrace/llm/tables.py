@@ -29,8 +29,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches of 8 MB at most: the default of 10,000 rows holds 64 MB of texts several times over, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: work done once, lineage cut, lost executors survived."""
+    small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
