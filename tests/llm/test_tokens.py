@@ -1,5 +1,6 @@
 """BPE, packing, sharding and token files against the tokenizers library, and round trips."""
 
+import functools
 import zlib
 from collections import defaultdict
 
@@ -30,15 +31,14 @@ def test_coder_equals_library(name, texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
 
 
-_made: dict = {}
-
-
+@functools.cache
 def coder(name):
-    return _made.setdefault(name, WordCoder(public_tokenizers.path(name), keep_words=500))
+    return WordCoder(public_tokenizers.path(name), keep_words=500)
 
 
+@functools.cache
 def library(name):
-    return _made.setdefault(("library", name), brute.tokenizer(name))
+    return brute.tokenizer(name)
 
 
 @pytest.mark.parametrize("name", [BYTES, WORDS])
