@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Workers give freed batches back to the system, so one that waits for its next task holds little.
 pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays of a megabyte or more are mapped by themselves, now and later
 
 
 def shared_dir(spark: SparkSession) -> str:
