@@ -271,8 +271,8 @@ def _split_lower(cp: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @functools.cache
 def coder(path: str) -> WordCoder:
-    """One for each worker process. It stays between tasks, so it holds few words: a frequent one comes back at once after a clearing."""
-    return WordCoder(path, 1 << 18)
+    """One for each worker process. It stays between tasks, so it holds fewer words than the default; each clearing costs CPU."""
+    return WordCoder(path, 1 << 20)
 
 
 def word_key(words: list[str]) -> np.ndarray:
