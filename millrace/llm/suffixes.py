@@ -130,29 +130,32 @@ _FOUND = "key {kind}, tie long, at long, n long, hashed long, shard long"
 
 
 def _shards(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.Table]:
-    """Whole groups of (anchor, salt), as many as fit in a shard. A group of a split anchor that is longer by chance becomes several shards."""
+    """Whole groups of (anchor, salt), as many as fit in a shard; a group that batches or a full shard would cut waits for its rest.
+
+    Only a group that is longer than a shard by itself becomes several. It is one of a split anchor: others have at most
+    ``shard / (2 * width)`` strings, each shorter than twice the width.
+    """
     waiting, size = [], 0
     for batch in batches:
-        lengths = np.diff(text_bytes(batch.column(6))[1])
-        group = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-        lo = 0
-        while lo < batch.num_rows:
-            room = np.searchsorted(np.cumsum(lengths[lo:]), split - size, "right")
-            hi = min(batch.num_rows, lo + int(room))
-            if hi < batch.num_rows and (hi > lo or waiting):
-                # Back to where a group begins, if one does in this shard.
-                cut = np.flatnonzero((group[:, lo + 1 : hi + 1] != group[:, lo:hi]).any(0))
-                if len(cut):
-                    hi = lo + 1 + int(cut[-1])
-                waiting.append(batch.slice(lo, hi - lo))
-                yield pa.Table.from_batches(waiting)
-                waiting, size = [], 0
-            else:
-                hi = max(hi, lo + 1)
-                waiting.append(batch.slice(lo, hi - lo))
-                size += int(lengths[lo:hi].sum())
-            lo = hi
-    if waiting:
+        waiting.append(batch)
+        size += int(text_bytes(batch.column(6))[1][-1])
+        if size <= split:
+            continue
+        rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+        ends = text_bytes(rows.column(6))[1][1:]
+        group = np.stack([rows.column(0).to_numpy(), rows.column(1).to_numpy()])
+        begins = np.append(0, 1 + np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)))
+        lo, done = 0, 0
+        while ends[-1] - done > split:
+            hi = max(lo + 1, int(np.searchsorted(ends, done + split, "right")))
+            if hi < rows.num_rows:
+                # Back to where a group begins, if it is not the one that the shard begins with.
+                cut = int(begins[np.searchsorted(begins, hi, "right") - 1])
+                hi = cut if cut > lo else hi
+            yield pa.Table.from_batches([rows.slice(lo, hi - lo)])
+            lo, done = hi, int(ends[hi - 1])
+        waiting, size = [rows.slice(lo)] if lo < rows.num_rows else [], int(ends[-1]) - done
+    if waiting and any(b.num_rows for b in waiting):
         yield pa.Table.from_batches(waiting)
 
 

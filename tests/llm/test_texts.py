@@ -6,6 +6,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,34 @@ def test_suffixes_query_and_rows_alike(spark):
     assert suffixes.remove_strings(frame(spark, []), "doc_id", "text", 8).collect() == []
 
 
+def test_shards_never_cut_a_group_that_fits():
+    rng = random.Random(11)
+    for split in (1000, 3000):
+        for rows_a_batch in (1, 2, 9, 1000):
+            rows = [(g, bytes(rng.randint(50, 120))) for g in range(60) for _ in range(rng.randint(1, 8))]
+            if split == 1000:  # a shard is nearly full where a batch ends, and a group begins in the next one
+                rows = [(0, bytes(100))] * 9 + [(1, bytes(100))] * 4 + [(2, bytes(100))] * 3
+            batches = [pa.RecordBatch.from_arrays([pa.array([g for g, _ in some]), pa.array([0] * len(some), pa.int32()), *[pa.nulls(len(some))] * 4, pa.array([b for _, b in some], pa.binary())], names=list("abcdefg")) for lo in range(0, len(rows), rows_a_batch) for some in [rows[lo : lo + rows_a_batch]]]
+            shards = [s.column(0).to_pylist() for s in suffixes._shards(iter(batches), split)]
+            assert [g for s in shards for g in s] == [g for g, _ in rows]
+            assert sum(len(set(s)) for s in shards) == len({g for g, _ in rows})
+            assert all(sum(len(b) for g, b in rows if g in s) <= split for s in map(set, shards))
+
+
+def test_suffixes_over_small_batches(spark):
+    """Groups run over the bounds of Arrow batches and shards; none loses a repeat."""
+    rng = random.Random(12)
+    shared = ["".join(rng.choices("abcdefgh", k=30)) for _ in range(40)]
+    rows = [(i, "".join(rng.choices("ijklmnop", k=rng.randint(5, 20))) + s + "".join(rng.choices("qrstuvwx", k=rng.randint(5, 20)))) for i, s in enumerate(shared * 3)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = suffixes.remove_strings(frame(spark, rows), "doc_id", "text", 20, 400).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), brute.sha(bytes(r.kept))) for r in got) == brute.repeated_bytes(rows, 20)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(7)
     for data in [b"", b"a", b"banana", b"a" * 500, b"ab" * 300, bytes(rng.integers(0, 3, 700, dtype=np.uint8)), bytes(rng.integers(0, 256, 3000, dtype=np.uint8)), bytes(range(256)) * 3]:
