@@ -30,8 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: shingles of five words, a similarity of 0.8 or more. Of rows alike in key and text, all stay or go."""
     docs = docs.select(*COLUMNS)
-    kept = neardup.near_duplicates(docs, "doc_id", "text", 5, 80).filter("kept").select(F.col("doc_id").alias("__k"), F.col("tie").alias("__t"))
-    rows = docs.withColumn("tie", text_tie("text"))
+    tie = text_tie(docs, "doc_id", "text")
+    kept = neardup.near_duplicates(docs, "doc_id", "text", 5, 80, tie).filter("kept").select(F.col("doc_id").alias("__k"), F.col("tie").alias("__t"))
+    rows = docs.withColumn("tie", tie)
     return rows.join(kept, rows["doc_id"].eqNullSafe(kept["__k"]) & (rows["tie"] == kept["__t"]), "left_semi").select(*COLUMNS)
 
 

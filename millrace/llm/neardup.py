@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -224,7 +224,7 @@ def _rest(members: DataFrame, roots: DataFrame | None, texts: DataFrame, k: int,
     return cells.groupBy("family", "line", "column").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80, tie: Column | None = None) -> DataFrame:
     """Key, ``tie``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
 
     Words are lower-cased in A to Z; a text's set has its distinct shingles of ``k`` words, or its whole
@@ -232,13 +232,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
     alone. Texts are linked if 100 * intersection >= ``percent`` * union; ``component_id`` is the least key that a
     row reaches (its own included; null keys only if there is no other), ``kept`` says whether
     it is the row's own key. Rows with equal sets are linked, however many they are. Rows that share a key are
-    judged each for itself. Other columns are dropped.
+    judged each for itself; ``tie`` tells them apart (:func:`millrace.llm.repeats.text_tie` of these rows, if not given). Other columns are dropped.
 
     32 bands of 4 find a pair at a similarity of 0.8 with a chance of 1 - 5e-8; a pair whose signatures agree in less than the
     threshold less 0.14 (four standard deviations) is not confirmed. Buckets of any size are searched in full: up to
     24 different texts pair by pair as far as they are not connected yet, beyond that by :func:`_rest`.
     """
-    rows = df.select(F.col(key).alias("key"), text_tie(text), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("key"), text_tie(df, key, text) if tie is None else tie.alias("tie"), F.col(text).alias("text"))
     sketches = keep(_sketches(rows, k), "sketches")
     sets = sketches.filter("n_shingles > 0").groupBy("node", "check").agg(F.min("key").alias("least"), F.min(F.struct("key", "tie")).alias("first"), F.first("signature").alias("signature"))
     sets = keep(sets.select("node", "least", "first.key", "first.tie", "signature"), "sets")

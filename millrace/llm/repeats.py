@@ -17,34 +17,52 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import U, KeySet, mix, prefix, ragged, spans
 from millrace.llm.tables import keep, key_filter, may_have, pieces
 
-#: A place: bits of the text's tie, of the first window's number, and of how many windows, in this order.
-_TIE, _AT, _N = 15, 36, 12
+#: A place: bits of the first window's number, and of how many windows, in this order. Its text goes by key and tie.
+_AT, _N = 36, 12
 _POSITION = U((1 << 27) - 1)
 
 
-def pack_place(tie: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (tie.astype(np.int64) << (_AT + _N)) | (at.astype(np.int64) << _N) | n.astype(np.int64)
+def pack_place(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (at.astype(np.int64) << _N) | n.astype(np.int64)
 
 
 def place_columns():
-    """tie, at and n of the column ``place``."""
+    """tie, and at and n of the column ``place``."""
     p = F.col("place")
-    return F.shiftright(p, _AT + _N).alias("tie"), F.shiftright(p, _N).bitwiseAND((1 << _AT) - 1).alias("at"), p.bitwiseAND((1 << _N) - 1).alias("n")
+    return F.col("tie"), F.shiftright(p, _N).bitwiseAND((1 << _AT) - 1).alias("at"), p.bitwiseAND((1 << _N) - 1).alias("n")
 
 
-def text_tie(text: str):
-    """A few bits of a text's hash: tells rows that share a key apart."""
-    return F.shiftrightunsigned(F.xxhash64(text), 64 - _TIE).alias("tie")
+def _tie(text: str, seed: int) -> Column:
+    """64 bits of a text. All but the first go over a digest, so texts made to agree do not agree under every seed."""
+    return F.xxhash64(text) if seed == 0 else F.xxhash64(F.lit(seed), F.sha2(F.col(text), 256))
+
+
+def text_tie(df: DataFrame, key: str, text: str) -> Column:
+    """A hash of the text, ``tie``, that tells rows that share a key apart: rows of ``df`` agree in key and tie only if they do in key and text.
+
+    Where key and tie repeat, the bytes of the texts are compared; if different ones agree, the next hash is taken.
+    """
+    for seed in count():
+        rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), _tie(text, seed).alias("tie"))
+        twice = rows.groupBy("key", "tie").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(text_key().alias("id"))
+        twice = keep(twice, "ties")
+        if not twice.isEmpty():
+            same, _ = split_by(rows, twice)
+            texts = same.groupBy("key", "tie").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count("text").alias("t"), F.count(F.lit(1)).alias("c"))
+            if texts.filter("least <> most OR t > 0 AND t < c").count():
+                continue
+        return _tie(text, seed).alias("tie")
 
 
 @dataclass(frozen=True)
@@ -109,17 +127,17 @@ def _find(df: DataFrame, units: Callable, width: int, piece: int) -> DataFrame:
                     met.flags[slot[again]] = True
                 known = np.ones(len(s.anchor), bool)
                 known[head[~seen]] = False
-                place = pack_place(rows.column(1).to_numpy()[s.text], s.at, s.n)
-                yield _rows(s.anchor, s.whole, rows.column(0).take(pa.array(s.text)), pa.array(place), known)
+                take = pa.array(s.text)
+                yield _rows(s.anchor, s.whole, rows.column(0).take(take), rows.column(1).take(take), pa.array(pack_place(s.at, s.n)), known)
                 mark = np.concatenate(fresh_mark)
                 if len(mark):
-                    yield _rows(mark, mark, pa.nulls(len(mark), rows.column(0).type), pa.nulls(len(mark), pa.int64()), np.zeros(len(mark), bool))
+                    yield _rows(mark, mark, pa.nulls(len(mark), rows.column(0).type), pa.nulls(len(mark), pa.int64()), pa.nulls(len(mark), pa.int64()), np.zeros(len(mark), bool))
 
-    return df.select("key", "tie", "text").mapInArrow(run, f"anchor long, whole long, key {kind}, place long, known boolean")
+    return df.select("key", "tie", "text").mapInArrow(run, f"anchor long, whole long, key {kind}, tie long, place long, known boolean")
 
 
-def _rows(anchor, whole, keys, place, known) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), keys, place, pa.array(known)], names=["anchor", "whole", "key", "place", "known"])
+def _rows(anchor, whole, keys, tie, place, known) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), keys, tie, place, pa.array(known)], names=["anchor", "whole", "key", "tie", "place", "known"])
 
 
 @dataclass(frozen=True)
@@ -135,11 +153,11 @@ class Repeats:
 def find_repeats(df: DataFrame, units: Callable, width: int, piece: int = 1 << 19) -> Repeats:
     """``df`` has key, tie and text. ``units``: from bytes and offsets of a run of texts to a number for each unit and the texts' offsets."""
     found = _find(df, units, width, piece)
-    by = F.when(F.col("known"), F.xxhash64("key", "place")).otherwise(F.col("anchor"))
-    count = F.count(F.lit(1)).over(W.partitionBy("by"))
-    rows = keep(found.withColumn("by", by).withColumn("__n", count).filter("place IS NOT NULL AND (known OR __n > 1)").drop("by", "__n", "known"), "repeats")
-    first = F.min(F.struct("key", "place")).alias("first")
-    distinct = keep(rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("copies"), first).select("anchor", "whole", "copies", "first.key", "first.place"), "segments")
+    by = F.when(F.col("known"), F.xxhash64("key", "tie", "place")).otherwise(F.col("anchor"))
+    met = F.count(F.lit(1)).over(W.partitionBy("by"))
+    rows = keep(found.withColumn("by", by).withColumn("__n", met).filter("place IS NOT NULL AND (known OR __n > 1)").drop("by", "__n", "known"), "repeats")
+    first = F.min(F.struct("key", "tie", "place")).alias("first")
+    distinct = keep(rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("copies"), first).select("anchor", "whole", "copies", "first.key", "first.tie", "first.place"), "segments")
     several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     return Repeats(rows, distinct, distinct.join(several, "anchor"))
 

@@ -36,8 +36,8 @@ def repeated_windows(df: DataFrame, width: int) -> DataFrame:
     found = find_repeats(df, _words, width)
     rows, distinct = found.rows, found.distinct.filter("copies > 1")
     # Every place of a segment but the first: all its windows start earlier.
-    first = distinct.select("anchor", "whole", F.struct("key", "place").alias("first"))
-    later = rows.join(first, ["anchor", "whole"]).filter(~F.struct("key", "place").eqNullSafe(F.col("first"))).select("key", *place_columns())
+    first = distinct.select("anchor", "whole", F.struct("key", "tie", "place").alias("first"))
+    later = rows.join(first, ["anchor", "whole"]).filter(~F.struct("key", "tie", "place").eqNullSafe(F.col("first"))).select("key", *place_columns())
 
     # First places of different segments with one anchor: their windows one by one.
     wanted = found.mixed.select("key", *place_columns())
@@ -74,7 +74,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, width: int = 20, others:
     text. Other columns are dropped, so none can clash.
     """
     others = others or []
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), text_tie(text), F.struct(F.lit(0).alias("_"), *others).alias("more"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), text_tie(df, key, text), F.struct(F.lit(0).alias("_"), *others).alias("more"))
     plain = rows.select("key", "tie", "text")
     lists = window_lists(repeated_windows(plain, width))
     kinds = dict(rows.dtypes)

@@ -251,7 +251,7 @@ def remove_strings(df: DataFrame, key: str, text: str, width: int = 200, shard_b
     they need not be UTF-8). Null texts are empty. Texts shorter than the width stay. Two rows
     alike in key and text are two texts, and lose what they share. Other columns are dropped, so none can clash.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), text_tie(text))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), text_tie(df, key, text))
     lists = window_lists(repeated_strings(rows.select("key", "tie", "text"), width, shard_bytes))
     kind = dict(rows.dtypes)["key"]
 

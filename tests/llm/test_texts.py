@@ -4,13 +4,14 @@ import random
 from collections import defaultdict
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import components, fingerprints, neardup, quality, queries, substrings, suffixes, urls
+from millrace.llm import components, fingerprints, neardup, quality, queries, repeats, substrings, suffixes, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -239,6 +240,51 @@ def test_suffix_array_and_prefixes():
             assert lcp[r] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+# -- rows that share a key
+
+
+def test_texts_of_one_hot_key_are_told_apart(spark):
+    """1,500 different texts under one key: some pairs agree in 15 bits of any hash."""
+    rng = random.Random(13)
+    words = lambda c, n: [f"{c}{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [" ".join(words("s", 8)) for _ in range(50)]
+    rows = [(1 + i, s) for i, s in enumerate(shared)]
+    rows += [(7000, " ".join([*words("a", rng.randint(2, 9)), shared[i % 50], *words("b", rng.randint(1, 9))])) for i in range(1500)]
+    by_number = [(i if i < 50 else 7000 + i, t) for i, (_, t) in enumerate(rows)]
+    got = substrings.remove_repeats(frame(spark, rows), "doc_id", "text", 6).collect()
+    assert sorted((r.n_words, r.n_removed, brute.sha(r.kept_words)) for r in got) == sorted(r[1:] for r in brute.repeated_words(by_number, 6))
+    got = suffixes.remove_strings(frame(spark, [(None, t) for _, t in rows]), "doc_id", "text", 40).collect()
+    assert sorted((r.n_bytes, r.n_removed, len(r.spans), brute.sha(bytes(r.kept))) for r in got) == sorted(r[1:] for r in brute.repeated_bytes(by_number, 40))
+
+
+def test_near_duplicates_of_one_hot_key(spark):
+    rng = random.Random(14)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(1500)]
+    copies = [(10_000 + i, " ".join([*t, "more"])) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*[(None, " ".join(t)) for t in texts], *copies], "doc_id long, text string").select("doc_id", "text", *[F.lit("x").alias(c) for c in ("lang", "source", "n_chars")])
+    got = neardup.near_duplicates(docs, "doc_id", "text", 4, 80).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted([(None, 10_000 + i) for i in range(1500)] + [(10_000 + i, 10_000 + i) for i in range(1500)], key=repr)
+    assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(t for _, t in copies)
+
+
+def test_ties_that_agree_are_replaced(spark, monkeypatch):
+    plain, seeds = repeats._tie, []
+
+    def narrow(text, seed):
+        seeds.append(seed)
+        return F.pmod(plain(text, seed), F.lit(4)) if seed < 2 else plain(text, seed)
+
+    monkeypatch.setattr(repeats, "_tie", narrow)
+    rows = [(1, f"text {i}") for i in range(9)] * 2 + [(None, None), (None, "a"), (2, "a")]
+    df = frame(spark, rows).drop("tie")
+    tie = repeats.text_tie(df, "doc_id", "text")
+    assert set(seeds) == {0, 1, 2}
+    assert df.select("doc_id", tie).distinct().count() == df.select("doc_id", "text").distinct().count() == 12
+    seeds.clear()
+    repeats.text_tie(frame(spark, [(1, "same"), (1, "same"), (2, None), (2, None), (3, "x")]), "doc_id", "text")
+    assert set(seeds) == {0}
+
+
 # -- quality rules
 
 
