@@ -1,4 +1,4 @@
 """Column functions: everything stays inside Spark's code generation."""
-from millrace.functions.text import blank_to_null, canonical_key, words
+from millrace.functions.text import words
 
-__all__ = ["blank_to_null", "canonical_key", "words"]
+__all__ = ["words"]

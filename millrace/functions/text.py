@@ -10,12 +10,3 @@ def words(text: Column) -> Column:
     """Words between ASCII white space; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
-
-def blank_to_null(value: Column) -> Column:
-    """Identifiers of nothing but blanks count as missing."""
-    return F.when(F.trim(value) != "", value)
-
-
-def canonical_key(value: Column) -> Column:
-    """An identifier without blanks around it, in upper case; null if nothing is left."""
-    return F.upper(F.trim(blank_to_null(value)))

@@ -18,17 +18,18 @@ from millrace.functions import words
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Inspect a source: one row per column with rows, nulls, distinct values, least and greatest (as text).
 
-    One pass: the columns are unpivoted only after aggregation.
+    Each column is counted by value first, on the map side too, and what is left is summed up; a scan reads
+    that column alone. An empty source has zero rows and null bounds.
     """
-    aggs = []
-    for c in columns:
-        aggs += [F.count(F.lit(1)).alias(f"{c}|rows"), F.count_if(F.col(c).isNull()).alias(f"{c}|nulls"),
-                 F.count_distinct(c).alias(f"{c}|distinct"), F.min(c).cast("string").alias(f"{c}|least"),
-                 F.max(c).cast("string").alias(f"{c}|greatest")]
-    stats = ("rows", "nulls", "distinct", "least", "greatest")
-    one = df.agg(*aggs)
-    row = lambda c: F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{s}`").alias(f"n_{s}" if s in stats[:3] else s) for s in stats])
-    return one.select(F.inline(F.array(*[row(c) for c in columns])))
+
+    def one(c: str) -> DataFrame:
+        by_value = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        return by_value.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
+            F.count("v").alias("n_distinct"), F.min("v").cast("string").alias("least"), F.max("v").cast("string").alias("greatest"),
+        ).select(F.lit(c).alias("column"), "*")
+
+    return reduce(DataFrame.unionByName, [one(c) for c in columns])
 
 
 def identify(df: DataFrame, predicate: Column) -> DataFrame:
@@ -46,9 +47,12 @@ def exclude_overlap(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key), key, "left_anti")
 
 
-def annotate(df: DataFrame, annotations: DataFrame, key: str) -> DataFrame:
-    """All rows, with the annotations of their key where there are any."""
-    return df.join(annotations, key, "left")
+def annotate(df: DataFrame, annotations: DataFrame, key: str, suffix: str = "_noted") -> DataFrame:
+    """All rows, with the annotations of their key where there are any; several annotations of a key repeat its rows.
+
+    An annotation column that has the name of a column of ``df`` gets ``suffix``.
+    """
+    return df.join(annotations.select(key, *[F.col(c).alias(c + suffix if c in df.columns else c) for c in annotations.columns if c != key]), key, "left")
 
 
 def integrate(parts: list[DataFrame]) -> DataFrame:
@@ -57,15 +61,15 @@ def integrate(parts: list[DataFrame]) -> DataFrame:
 
 
 def dedup_exact(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key value, the one least in ``order``; rows without a key all stay.
+    """One row per key value, the one least in ``order`` (then in the rest of the row); rows without a key all stay.
 
-    ``min_by`` over a struct of the row combines on the map side, so the copies of
-    a hot key collapse before the shuffle.
+    Texts are grouped by their SHA-256, so sorts compare 32 bytes and never texts. The least row of
+    a group combines on the map side, so the copies of a hot key collapse before the shuffle.
     """
-    rest = [c for c in df.columns if c != key]
-    picked = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(order).alias("__order"), F.struct(*rest).alias("row"))).alias("__m"))
-    kept = picked.select(*[F.col(key) if c == key else F.col(f"__m.row.{c}").alias(c) for c in df.columns])
-    return kept.unionByName(df.filter(F.col(key).isNull()))
+    by = F.unhex(F.sha2(F.col(key), 256)) if dict(df.dtypes)[key] in ("string", "binary") else F.col(key)
+    row = F.struct(F.col(order).alias("__order"), F.struct(*df.columns).alias("row"))
+    picked = df.filter(F.col(key).isNotNull()).groupBy(by.alias("__by")).agg(F.min(row).alias("__m")).select("__m.row.*")
+    return picked.unionByName(df.filter(F.col(key).isNull()))
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -82,23 +86,50 @@ def classify_counts(df: DataFrame, key: str, taxonomy: DataFrame, label: str) ->
     return per_key.join(taxonomy.select(key, label), key).groupBy(label).agg(F.sum("n_rows").alias("n_rows"))
 
 
-def exclude_contained(df: DataFrame, probes: DataFrame, key: str, text: str, probe_text: str, gram: int = 3) -> DataFrame:
+def _word_grams(text: Column, n: int) -> Column:
+    """Hashes of the distinct runs of ``n`` words."""
+    w = words(text)
+    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _letter_grams(text: Column, n: int) -> Column:
+    """Hashes of the distinct runs of ``n`` characters."""
+    c = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda x: x != "")
+    runs = F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.xxhash64(F.slice(c, i, n)))
+    return F.when(F.size(c) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+
+def exclude_contained(df: DataFrame, probes: DataFrame, text: str, probe_text: str, gram: int = 3, most_broadcast: int = 1_000_000) -> DataFrame:
     """Rows whose text contains none of the probe texts verbatim.
 
-    A probe's words but its first and last must occur as whole words, so its first
-    inner ``gram``-word sequence is an equi-join key; only rows that share it
-    are compared. Probes too short for that are compared with all rows; Spark
-    broadcasts that side when it is below its size threshold. Empty and null probes are
-    contained in nothing. ``key`` must identify rows; rows without it all stay.
+    A probe's words but its first and last must occur as whole words, so its longest inner run of
+    ``gram`` words is an equi-join key; a probe too short for that goes by its first run of three characters (or all, if
+    it has fewer). Texts are taken apart to hashes alone, 24 bytes a run with two 64-bit hashes of the text; only texts
+    that share a run with a probe are read again and compared. The probes' runs are broadcast if there are
+    ``most_broadcast`` or fewer (24 bytes each), else shuffled. Empty and null probes are contained in nothing, null
+    texts contain nothing. Every row is judged by its text, whatever its other columns are.
     """
+    first, second = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
     p = probes.select(F.col(probe_text).alias("__probe")).filter(F.length("__probe") > 0).distinct()
-    p = p.withColumn("__w", words(F.col("__probe")))
-    inner = F.slice("__w", 2, gram)
-    long, short = p.filter(F.size("__w") >= gram + 2).select("__probe", F.array_join(inner, " ").alias("__gram")), p.filter(F.size("__w") < gram + 2).select("__probe")
-    d = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    w = words(F.col("__text"))
-    grams = d.withColumn("__w", w).filter(F.size("__w") >= gram)
-    grams = grams.select("__key", "__text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - gram + 1), lambda i: F.array_join(F.slice("__w", i, gram), " ")))).alias("__gram"))
-    hits = grams.join(long, "__gram").filter(F.contains("__text", "__probe")).select("__key")
-    hits = hits.unionByName(d.join(short, F.contains("__text", "__probe")).select("__key")).distinct()
-    return df.join(hits.withColumnRenamed("__key", key), key, "left_anti")
+    w = words(F.col("__probe"))
+    long = F.size(w) >= gram + 2
+    inner = F.transform(F.sequence(F.lit(2), F.size(w) - gram), lambda i: F.struct(F.length(F.array_join(F.slice(w, i, gram), "")).alias("n"), F.xxhash64(F.slice(w, i, gram)).alias("run")))
+    letters = F.least(F.char_length("__probe"), F.lit(3))
+    start = F.xxhash64(F.filter(F.split(F.substr("__probe", F.lit(1), letters), ""), lambda x: x != ""))
+    keyed = p.select("__probe", F.when(long, 0).otherwise(letters).alias("__kind"), F.when(long, F.array_max(F.when(long, inner))["run"]).otherwise(start).alias("__run"))
+    kinds = {r["__kind"]: r["count"] for r in keyed.groupBy("__kind").count().collect()}  # four rows at most
+    if not kinds:
+        return df
+    rows = df.select(F.col(text).alias("__text"), first.alias("__h1"), second.alias("__h2")).filter("__text IS NOT NULL")
+
+    def near(kind: int) -> DataFrame:
+        runs = _word_grams(F.col("__text"), gram) if kind == 0 else _letter_grams(F.col("__text"), kind)
+        mine = keyed.filter(F.col("__kind") == kind).select("__run", "__probe")
+        names = mine.select("__run").distinct()
+        found = rows.select("__h1", "__h2", F.explode(runs).alias("__run")).join(F.broadcast(names) if kinds[kind] <= most_broadcast else names, "__run", "left_semi")
+        return found.distinct().join(mine, "__run").select("__h1", "__h2", "__probe")
+
+    pairs = reduce(DataFrame.unionByName, [near(k) for k in sorted(kinds)])
+    hits = rows.join(pairs, ["__h1", "__h2"]).filter(F.contains("__text", "__probe")).select("__h1", "__h2").distinct()
+    return df.withColumn("__h1", first).withColumn("__h2", second).join(hits, ["__h1", "__h2"], "left_anti").drop("__h1", "__h2").select(*df.columns)

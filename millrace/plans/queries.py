@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import operators as op
-from millrace.sources import load
+from millrace.sources import SCHEMAS, load, new_path, read_table, write_table
+from millrace.streaming import curate_available
 
 DOC_COLUMNS = ["doc_id", "lang", "source", "n_chars"]
 
@@ -50,7 +51,7 @@ def exclude_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exclude_contained(spark: SparkSession, d: str) -> DataFrame:
-    return op.exclude_contained(load(spark, d, "documents"), load(spark, d, "benchmark"), "doc_id", "text", "text").select(*DOC_COLUMNS)
+    return op.exclude_contained(load(spark, d, "documents"), load(spark, d, "benchmark"), "text", "text").select(*DOC_COLUMNS)
 
 
 def test_set_pipeline(spark: SparkSession, d: str) -> DataFrame:
@@ -72,13 +73,32 @@ def model_predict(spark: SparkSession, d: str) -> DataFrame:
     return op.predict(lines, make_model, ["l_quantity", "l_linenumber"], "score", T.DoubleType())
 
 
-QUERIES = {f.__name__: f for f in (source_profile, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, test_set_pipeline, dataset_counts, model_predict)}
+def construct_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Build the test set, write it by language, and read the written dataset back."""
+    path = new_path(spark, "dataset")
+    write_table(test_set_pipeline(spark, d), path, partition_by=["lang"])
+    return read_table(spark, path, "doc_id bigint, source string, n_chars bigint, lang string").select(*DOC_COLUMNS)
+
+
+def curate_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as they arrive: identified, checked against a known set, written by the stream and read back."""
+    labels, sink = load(spark, d, "labels"), new_path(spark, "arrivals")
+
+    def step(stream: DataFrame) -> DataFrame:
+        return op.exclude_overlap(op.identify(stream, F.col("lang") == "en"), labels, "doc_id").select(*DOC_COLUMNS)
+
+    curate_available(spark, f"{d}/documents.parque[t]", SCHEMAS["documents"], step, sink, new_path(spark, "progress"))
+    return read_table(spark, sink, "doc_id bigint, lang string, source string, n_chars bigint")
+
+
+QUERIES = {f.__name__: f for f in (source_profile, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals)}
 
 _DOC = "doc_id, lang, source, n_chars"
 _PROFILE = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM documents"
     for c in DOC_COLUMNS
 )
+_TEST_SET = f"SELECT {_DOC} FROM documents d WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
 ORACLE = {
     "source_profile": _PROFILE,
     "identify": f"SELECT {_DOC} FROM documents WHERE lang = 'en' AND n_chars >= 1000",
@@ -89,7 +109,9 @@ ORACLE = {
     "dedup_exact": f"SELECT {_DOC} FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)",
     "exclude_overlap": f"SELECT {_DOC} FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "exclude_contained": f"SELECT {_DOC} FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))",
-    "test_set_pipeline": f"SELECT {_DOC} FROM documents d WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+    "test_set_pipeline": _TEST_SET,
+    "construct_dataset": _TEST_SET,
+    "curate_arrivals": f"SELECT {_DOC} FROM documents d WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "dataset_counts": "SELECT lang, count(*) AS n_rows FROM documents GROUP BY lang",
     "model_predict": "SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_quantity * 2 + l_linenumber AS DOUBLE) AS score FROM lineitem",
 }

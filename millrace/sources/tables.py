@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The columns of each table.
@@ -40,3 +44,19 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     """Write a curated dataset; one directory per value of ``partition_by``."""
     writer = df.write.format(fmt).mode("overwrite").options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine is set only where a session has none, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + os.path.join(tempfile.gettempdir(), f"millrace-{os.getpid()}")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"

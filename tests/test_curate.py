@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import operators as op
-from millrace.functions import canonical_key
 from millrace.sources import read_table, write_table
 from millrace.streaming import curate_available
 
@@ -34,6 +33,8 @@ def test_dedup_exact(spark):
 def test_annotate_integrate_counts(spark):
     notes = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "k long, note string")
     assert len(rows(op.annotate(items(spark), notes, "k"))) == 7
+    clash = op.annotate(items(spark), notes.withColumnRenamed("note", "v"), "k")
+    assert clash.columns == ["k", "v", "v_noted"] and clash.count() == 7
     both = op.integrate([items(spark), notes])
     assert both.columns == ["k", "v", "note"] and both.count() == 8
     assert rows(op.count_by(items(spark), "k")) == sorted([(1, 2), (2, 1), (None, 2)], key=repr)
@@ -43,13 +44,32 @@ def test_annotate_integrate_counts(spark):
 def test_identify_and_profile(spark):
     assert rows(op.identify(items(spark), F.col("k") > 1)) == [(2, "a")]
     assert rows(op.profile(items(spark), ["k", "v"])) == [("k", 5, 2, 2, "1", "2"), ("v", 5, 1, 3, "a", "c")]
-    assert rows(items(spark).select(canonical_key(F.concat(F.lit(" "), "v"))))[0] == ("A",)
+    assert rows(op.profile(items(spark, ()), ["k"])) == [("k", 0, 0, 0, None, None)]
 
 
 def test_exclude_contained(spark):
-    docs = spark.createDataFrame([(1, "xx one two three four fiveyy"), (2, "one two\nthree four five"), (3, "a hi b"), (4, None), (5, ""), (None, "one two three four five")], "id long, text string")
-    probes = spark.createDataFrame([("one two three four five",), ("hi",), ("",), (None,)], "t string")
-    assert rows(op.exclude_contained(docs, probes, "id", "text", "t").select("id")) == sorted([(2,), (4,), (5,), (None,)], key=repr)
+    five = "one two three four five"
+    docs = spark.createDataFrame([(1, "xx " + five + "yy"), (2, "one two\nthree four five"), (3, "a hi b"), (4, None), (5, ""), (None, five), (None, "clean"), (6, five), (6, "clean too"), (7, "a z"), (8, "aé😀x"), (9, "one  two"), (10, "x one two")], "id long, text string")
+    probes = spark.createDataFrame([(five,), (five,), ("hi",), ("",), (None,), ("z",), ("é😀",), ("one two",)], "t string")
+    want = sorted([(2,), (4,), (5,), (None,), (6,), (9,)], key=repr)
+    clash = docs.withColumn("__run", F.lit(1)).withColumn("t", F.lit("hi"))
+    for most in (1_000_000, 0):
+        out = op.exclude_contained(clash, probes, "text", "t", most_broadcast=most)
+        assert out.columns == clash.columns
+        got = out.collect()
+        # 2 has another white space inside; 10 and 1 contain a probe; of the rows with one key, or none, only those that contain one go.
+        assert sorted(((r.id,) for r in got), key=repr) == sorted([w for w in want if w != (2,)], key=repr)
+        assert {r.text for r in got if r.id in (None, 6)} == {"clean", "clean too"}
+    assert op.exclude_contained(docs, probes.limit(0), "text", "t").count() == docs.count()
+    assert op.exclude_contained(docs.limit(0), probes, "text", "t").count() == 0
+
+
+def test_plans(spark):
+    docs = spark.createDataFrame([(1, "a")], "id long, text string")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "Expand" not in plan(op.profile(docs, ["id", "text"]))
+    assert "Sort [text" not in plan(op.dedup_exact(docs, "text", "id"))
+    assert "NestedLoop" not in plan(op.exclude_contained(docs, docs.select(F.col("text").alias("t")), "text", "t"))
 
 
 def test_predict(spark):
