@@ -86,18 +86,15 @@ def classify_counts(df: DataFrame, key: str, taxonomy: DataFrame, label: str) ->
     return per_key.join(taxonomy.select(key, label), key).groupBy(label).agg(F.sum("n_rows").alias("n_rows"))
 
 
-def _word_grams(text: Column, n: int) -> Column:
-    """Hashes of the distinct runs of ``n`` words."""
-    w = words(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
-    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def _runs(units: Column, n: int) -> Column:
+    """Hashes of the distinct runs of ``n`` units."""
+    of = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n))))
+    # Inside transform the units are a variable, so they are worked out once and not for every run.
+    return F.get(F.transform(F.array(units), lambda w: F.when(F.size(w) >= n, of(w))), 0)
 
 
-def _letter_grams(text: Column, n: int) -> Column:
-    """Hashes of the distinct runs of ``n`` characters."""
-    c = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda x: x != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.xxhash64(F.slice(c, i, n)))
-    return F.when(F.size(c) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda x: x != "")
 
 
 def exclude_contained(df: DataFrame, probes: DataFrame, text: str, probe_text: str, gram: int = 3, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -114,17 +111,17 @@ def exclude_contained(df: DataFrame, probes: DataFrame, text: str, probe_text: s
     p = probes.select(F.col(probe_text).alias("__probe")).filter(F.length("__probe") > 0).distinct()
     w = words(F.col("__probe"))
     long = F.size(w) >= gram + 2
-    inner = F.transform(F.sequence(F.lit(2), F.size(w) - gram), lambda i: F.struct(F.length(F.array_join(F.slice(w, i, gram), "")).alias("n"), F.xxhash64(F.slice(w, i, gram)).alias("run")))
+    inner = lambda w: F.transform(F.sequence(F.lit(2), F.size(w) - gram), lambda i: F.struct(F.length(F.array_join(F.slice(w, i, gram), "")).alias("n"), F.xxhash64(F.slice(w, i, gram)).alias("run")))
     letters = F.least(F.char_length("__probe"), F.lit(3))
-    start = F.xxhash64(F.filter(F.split(F.substr("__probe", F.lit(1), letters), ""), lambda x: x != ""))
-    keyed = p.select("__probe", F.when(long, 0).otherwise(letters).alias("__kind"), F.when(long, F.array_max(F.when(long, inner))["run"]).otherwise(start).alias("__run"))
+    start = F.xxhash64(_letters(F.substr("__probe", F.lit(1), letters)))
+    keyed = p.select("__probe", F.when(long, 0).otherwise(letters).alias("__kind"), F.when(long, F.get(F.transform(F.array(w), lambda x: F.array_max(F.when(F.size(x) >= gram + 2, inner(x)))), 0)["run"]).otherwise(start).alias("__run"))
     kinds = {r["__kind"]: r["count"] for r in keyed.groupBy("__kind").count().collect()}  # four rows at most
     if not kinds:
         return df
     rows = df.select(F.col(text).alias("__text"), first.alias("__h1"), second.alias("__h2")).filter("__text IS NOT NULL")
 
     def near(kind: int) -> DataFrame:
-        runs = _word_grams(F.col("__text"), gram) if kind == 0 else _letter_grams(F.col("__text"), kind)
+        runs = _runs(words(F.col("__text")), gram) if kind == 0 else _runs(_letters(F.col("__text")), kind)
         mine = keyed.filter(F.col("__kind") == kind).select("__run", "__probe")
         names = mine.select("__run").distinct()
         found = rows.select("__h1", "__h2", F.explode(runs).alias("__run")).join(F.broadcast(names) if kinds[kind] <= most_broadcast else names, "__run", "left_semi")
