@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-#: Odd multipliers, one that has an inverse modulo 2**64 for each use.
-_BASE, _GOLD = U(0x9E3779B97F4A7C55), U(0x9E3779B97F4A7C15)
+#: Odd multipliers; an odd number has an inverse modulo 2**64. Two bases give two independent hashes, 128 bits together.
+_BASES, _GOLD = (U(0x9E3779B97F4A7C55), U(0xD1342543DE82EF95)), U(0x9E3779B97F4A7C15)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: The white space of words, [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Sums of powers modulo 2**64 cannot tell some texts of a thousand characters and more apart; such words get another hash.
+_LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,33 +26,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n; kept for the next call unless very long."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
+    have = _powers.get(which)
+    if have is None or len(have[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
         out = []
-        for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+        for base in (int(_BASES[which]), pow(int(_BASES[which]), -1, 1 << 64)):
             p = np.ones(size, U)
             p[1:] = U(base)
             out.append(np.cumprod(p))
-        if size > 1 << 23:
-            return out[0][:n], out[1][:n]
-        _powers["up"], _powers["down"] = out
-    return _powers["up"][:n], _powers["down"][:n]
+        have = (out[0], out[1])
+        if size <= 1 << 23:
+            _powers[which] = have
+    return have[0][:n], have[1][:n]
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
+def prefix(values: np.ndarray, which: int = 0) -> np.ndarray:
     """Sums of values[j] * base**j for j < i, for each i from 0 to n."""
-    up, _ = powers(max(1, len(values)))
+    up, _ = powers(max(1, len(values)), which)
     out = np.zeros(len(values) + 1, U)
     np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
-def spans(pre: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def spans(pre: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of values[lo:hi] out of :func:`prefix`, with the lengths."""
-    _, down = powers(len(pre))
+    _, down = powers(len(pre), which)
     return mix((pre[hi] - pre[lo]) * down[lo] + (hi - lo).astype(U) * _GOLD)
 
 
@@ -70,8 +74,11 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return lo, hi, np.searchsorted(lo, at)
 
 
-def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return spans(prefix(data.astype(U) + U(1)), lo, hi)
+def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
+    out = spans(prefix(data.astype(U) + U(1), which), lo, hi, which)
+    for i in np.flatnonzero(hi - lo > _LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[lo[i] : hi[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -81,7 +88,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, U)
     out = words[:n].copy()
     for j in range(1, k):
-        out *= _BASE
+        out *= _BASES[0]
         out += words[j : j + n]
     return mix(out + U(k * int(_GOLD) & (1 << 64) - 1))
 

@@ -29,7 +29,7 @@ def op2_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text", 4, 80).drop("tie")
+    return neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text", 4, 80)
 
 
 def op4_packing(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Repeated windows across all documents: what substring dedup and suffix arrays share.
 
-A window is ``width`` consecutive units (words or bytes) of one text. Of the grams of half that
+A window is ``width`` consecutive units (words or bytes) of one text. Of the grams of a quarter of that
 length in a window, the one with the least hash is its anchor (the first of several), so equal
 windows have equal anchors at equal places. The windows of a text that share an anchor
 stand together; with their units they make a segment, and every window is in exactly one segment.
@@ -8,16 +8,17 @@ stand together; with their units they make a segment, and every window is in exa
 1. Segments are found where the texts are. A window can only repeat if its anchor does, so
    segments whose anchor occurs once anywhere are done. An anchor that a task has met before
    goes into the count twice at most, so a frequent one is no hot key.
-2. Equal segments are put together (combined on the map side): each distinct one goes on once,
-   with its number and first place.
-3. Where an anchor has several distinct segments, their windows are compared (by the caller).
+2. Equal segments (by 128 bits) are put together, combined on the map side: each distinct one goes on with its
+   number and its first and last place.
+3. What the windows of the distinct segments have in common is the caller's work.
+
+Every row is a document of its own; ``key`` and ``tie`` (:func:`millrace.llm.tables.identified`) name it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,83 +29,83 @@ from pyspark.sql import functions as F
 from millrace.llm.hashing import U, KeySet, mix, prefix, ragged, spans
 from millrace.llm.tables import keep, key_filter, may_have, pieces
 
-#: A place: bits of the first window's number, and of how many windows, in this order. Its text goes by key and tie.
-_AT, _N = 36, 12
-_POSITION = U((1 << 27) - 1)
-
-
-def pack_place(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (at.astype(np.int64) << _N) | n.astype(np.int64)
+#: A place: bits of the first window's number, of how many windows, and of how far the anchor is from the first window's start.
+_AT, _N, _LEAD = 36, 13, 14
+#: Units that are looked at together: their numbers stand in the low bits of a hash.
+_RUN = 1 << 27
+#: The largest width: places have room for it.
+WIDEST = 1 << 12
+#: Parts that a key with many rows is dealt to.
+SALTS = 64
+PLACE = ("at", "n", "lead")
 
 
-def place_columns():
-    """tie, and at and n of the column ``place``."""
+def place_columns() -> list[Column]:
+    """tie, and the parts of the column ``place``."""
     p = F.col("place")
-    return F.col("tie"), F.shiftright(p, _N).bitwiseAND((1 << _AT) - 1).alias("at"), p.bitwiseAND((1 << _N) - 1).alias("n")
-
-
-def _tie(text: str, seed: int) -> Column:
-    """64 bits of a text. All but the first go over a digest, so texts made to agree do not agree under every seed."""
-    return F.xxhash64(text) if seed == 0 else F.xxhash64(F.lit(seed), F.sha2(F.col(text), 256))
-
-
-def text_tie(df: DataFrame, key: str, text: str) -> Column:
-    """A hash of the text, ``tie``, that tells rows that share a key apart: rows of ``df`` agree in key and tie only if they do in key and text.
-
-    Where key and tie repeat, the bytes of the texts are compared; if different ones agree, the next hash is taken.
-    """
-    for seed in count():
-        rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), _tie(text, seed).alias("tie"))
-        twice = rows.groupBy("key", "tie").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(text_key().alias("id"))
-        twice = keep(twice, "ties")
-        if not twice.isEmpty():
-            same, _ = split_by(rows, twice)
-            texts = same.groupBy("key", "tie").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count("text").alias("t"), F.count(F.lit(1)).alias("c"))
-            if texts.filter("least <> most OR t > 0 AND t < c").count():
-                continue
-        return _tie(text, seed).alias("tie")
+    return [F.col("tie"), F.shiftright(p, _N + _LEAD).alias("at"), F.shiftright(p, _LEAD).bitwiseAND((1 << _N) - 1).alias("n"), p.bitwiseAND((1 << _LEAD) - 1).alias("lead")]
 
 
 @dataclass(frozen=True)
 class Segments:
-    """Of a run of texts: anchor hash, segment hash, number of the text, first window and how many."""
+    """Of a run of texts: anchor hash, two segment hashes, number of the text, first window, how many, and where the anchor is from there."""
 
     anchor: np.ndarray
     whole: np.ndarray
+    also: np.ndarray
     text: np.ndarray
     at: np.ndarray
     n: np.ndarray
+    lead: np.ndarray
 
 
-def segments(values: np.ndarray, first: np.ndarray, width: int) -> Segments:
-    """``values``: a number for each unit; ``first``: offsets of the texts in them (n + 1). ``at`` counts from the text's start."""
-    k = width // 2
+def segments(values: np.ndarray, more: np.ndarray, first: np.ndarray, width: int, gram_size: int, run: int = _RUN) -> Segments:
+    """``values``, ``more``: two hashes of each unit; ``first``: offsets of the texts in them (n + 1). ``at`` counts from the text's start.
+
+    Texts of more than ``run`` units together are looked at one by one, and a longer one in runs that overlap by a window less one unit.
+    """
+    if len(values) > run:
+        parts = []
+        for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            step = run - width + 1
+            for a in range(lo, max(lo + 1, hi - width + 1), step):
+                b = min(hi, a + run)
+                s = segments(values[a:b], more[a:b], np.array([0, b - a]), width, gram_size, run)
+                parts.append(Segments(s.anchor, s.whole, s.also, s.text + i, s.at + (a - lo), s.n, s.lead))
+        return Segments(*[np.concatenate([getattr(p, f) for p in parts]) for f in Segments.__dataclass_fields__])
+    k = gram_size
     span = width - k + 1
     windows = np.maximum(np.diff(first) - width + 1, 0)
     starts = ragged(first[:-1], windows)
     if not len(starts):
         e = np.empty(0, np.int64)
-        return Segments(e.astype(U), e.astype(U), e, e, e)
+        return Segments(e.astype(U), e.astype(U), e.astype(U), e, e, e, e)
     pre = prefix(values)
     grams = np.arange(len(values) - k + 1)
     gram = spans(pre, grams, grams + k)
-    low = (gram & ~_POSITION) | grams.astype(U)
+    low = (gram & ~U(_RUN - 1)) | grams.astype(U)
     have, least = 1, low
     while 2 * have <= span:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
     if have < span:
         least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
-    chosen = (least[starts] & _POSITION).astype(np.int64)
-    new = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
+    chosen = (least[starts] & U(_RUN - 1)).astype(np.int64)
+    new = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]) | np.append(True, starts[1:] != starts[:-1] + 1))
     at, anchor = starts[new], chosen[new]
     n = np.diff(np.append(new, len(starts)))
-    whole = mix(spans(pre, at, at + n - 1 + width) + (anchor - at).astype(U) * U(0xD6E8FEB86659FD93))
+    lead = anchor - at
+    end = at + n - 1 + width
+    whole = mix(spans(pre, at, end) + lead.astype(U) * U(0xD6E8FEB86659FD93))
+    also = mix(spans(prefix(more, 1), at, end, 1) + lead.astype(U))
     text = np.searchsorted(first, at, "right") - 1
-    return Segments(gram[anchor], whole, text, at - first[text], n)
+    return Segments(gram[anchor], whole, also, text, at - first[text], n, lead)
 
 
-def _find(df: DataFrame, units: Callable, width: int, piece: int) -> DataFrame:
+_FOUND = ("anchor", "whole", "also", "key", "tie", "place", "known")
+
+
+def _find(df: DataFrame, units: Callable, width: int, gram_size: int, piece: int) -> DataFrame:
     """Segments of all texts. ``known``: the task has met the anchor before; such rows go on in any case. A row without ``place`` only counts."""
     kind = dict(df.dtypes)["key"]
 
@@ -112,8 +113,7 @@ def _find(df: DataFrame, units: Callable, width: int, piece: int) -> DataFrame:
         met = KeySet()
         for batch in batches:
             for rows, data, at in pieces(batch, "text", piece):
-                values, first = units(data, at)
-                s = segments(values, first, width)
+                s = segments(*units(data, at), width, gram_size)
                 if not len(s.anchor):
                     continue
                 keys, head, back = np.unique(s.anchor, return_index=True, return_inverse=True)
@@ -128,41 +128,56 @@ def _find(df: DataFrame, units: Callable, width: int, piece: int) -> DataFrame:
                 known = np.ones(len(s.anchor), bool)
                 known[head[~seen]] = False
                 take = pa.array(s.text)
-                yield _rows(s.anchor, s.whole, rows.column(0).take(take), rows.column(1).take(take), pa.array(pack_place(s.at, s.n)), known)
+                place = (((s.at << _N) | s.n) << _LEAD) | s.lead
+                yield pa.RecordBatch.from_arrays([*[pa.array(c.view(np.int64)) for c in (s.anchor, s.whole, s.also)], rows.column(0).take(take), rows.column(1).take(take), pa.array(place), pa.array(known)], names=_FOUND)
                 mark = np.concatenate(fresh_mark)
                 if len(mark):
-                    yield _rows(mark, mark, pa.nulls(len(mark), rows.column(0).type), pa.nulls(len(mark), pa.int64()), pa.nulls(len(mark), pa.int64()), np.zeros(len(mark), bool))
+                    none = pa.nulls(len(mark), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), none, none, pa.nulls(len(mark), rows.column(0).type), none, none, pa.array(np.zeros(len(mark), bool))], names=_FOUND)
+
+    return df.select("key", "tie", "text").mapInArrow(run, f"anchor long, whole long, also long, key {kind}, tie long, place long, known boolean")
 
-    return df.select("key", "tie", "text").mapInArrow(run, f"anchor long, whole long, key {kind}, tie long, place long, known boolean")
 
+def repeated(rows: DataFrame, by: list[str], spread: list[str], first: bool = False, least: int = 2) -> DataFrame:
+    """Rows whose ``by`` occurs ``least`` times or more, with that number as ``total``; no task sees all rows of one ``by``.
 
-def _rows(anchor, whole, keys, tie, place, known) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), keys, tie, place, pa.array(known)], names=["anchor", "whole", "key", "tie", "place", "known"])
+    Rows of one ``by`` are dealt to SALTS parts by the columns ``spread``; parts are counted (combined on the map side), and a window
+    over at most SALTS counts adds them up. ``first`` adds the least struct of ``spread`` among the rows of one ``by``.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    over = W.partitionBy(*by)
+    parts = salted.groupBy(*by, "__salt").agg(F.count(F.lit(1)).alias("__c"), *([F.min(F.struct(*spread)).alias("__f")] if first else []))
+    total = parts.withColumn("total", F.sum("__c").over(over))
+    total = total.withColumn("first", F.min("__f").over(over)).drop("__f") if first else total
+    return salted.join(total.filter(F.col("total") >= least).drop("__c"), [*by, "__salt"]).drop("__salt")
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """``rows``: every segment whose anchor repeats; ``distinct``: each different one of them, with ``copies`` and its
-    first place; ``mixed``: those of ``distinct`` whose anchor has several, with their number (``kinds``)."""
+    """``rows``: every segment whose anchor repeats; ``distinct``: each different one of them, with ``copies``, its
+    ``first`` and its ``last`` place (key, tie, place)."""
 
     rows: DataFrame
     distinct: DataFrame
-    mixed: DataFrame
 
 
-def find_repeats(df: DataFrame, units: Callable, width: int, piece: int = 1 << 19) -> Repeats:
-    """``df`` has key, tie and text. ``units``: from bytes and offsets of a run of texts to a number for each unit and the texts' offsets."""
-    found = _find(df, units, width, piece)
+SEGMENT = ["anchor", "whole", "also"]
+
+
+def find_repeats(df: DataFrame, units: Callable, width: int, gram_size: int, piece: int = 1 << 19) -> Repeats:
+    """``df`` has key, tie and text. ``units``: from bytes and offsets of a run of texts to two hashes of each unit and the texts' offsets."""
+    if not 0 < width <= WIDEST:
+        raise ValueError(f"a window has 1 to {WIDEST} units")
+    found = _find(df, units, width, gram_size, piece)
     by = F.when(F.col("known"), F.xxhash64("key", "tie", "place")).otherwise(F.col("anchor"))
     met = F.count(F.lit(1)).over(W.partitionBy("by"))
     rows = keep(found.withColumn("by", by).withColumn("__n", met).filter("place IS NOT NULL AND (known OR __n > 1)").drop("by", "__n", "known"), "repeats")
-    first = F.min(F.struct("key", "tie", "place")).alias("first")
-    distinct = keep(rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("copies"), first).select("anchor", "whole", "copies", "first.key", "first.tie", "first.place"), "segments")
-    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    return Repeats(rows, distinct, distinct.join(several, "anchor"))
+    where = F.struct("key", "tie", "place")
+    distinct = rows.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("copies"), F.min(where).alias("first"), F.max(where).alias("last"))
+    return Repeats(rows, keep(distinct, "segments"))
 
 
-def text_key(key: str = "key", tie: str = "tie"):
+def text_key(key: str = "key", tie: str = "tie") -> Column:
     return F.xxhash64(key, tie)
 
 
@@ -171,8 +186,7 @@ def with_texts(wanted: DataFrame, df: DataFrame, columns: list[str]) -> DataFram
     lists = wanted.groupBy("key", "tie").agg(F.collect_list(F.struct(*columns)).alias("items"))
     lists = keep(lists.withColumn("id", text_key()), "lists")
     some, _ = split_by(df, lists)
-    # Rows that are alike in key and text are one document here.
-    return _join(some.dropDuplicates(["key", "tie"]), lists, "inner")
+    return _join(some, lists, "inner")
 
 
 def _join(df: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -203,18 +217,30 @@ def join_lists(df: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def window_lists(windows: DataFrame) -> DataFrame:
-    """Lists of (at, n) by key and tie: a text has as many as it has segments at most."""
+    """Lists of (at, n) by key and tie: a text has as many as it has windows at most."""
     lists = windows.groupBy("key", "tie").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"))).alias("items"))
     return keep(lists.withColumn("id", text_key()), "windows")
 
 
+def flat(items: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row number of each item of a list column, and its fields."""
+    rows = np.repeat(np.arange(len(items)), items.value_lengths().to_numpy(zero_copy_only=False))
+    inner = items.flatten()
+    return rows, [inner.field(inner.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+
+
+def inside(at: np.ndarray, end: np.ndarray, units: np.ndarray | int) -> None:
+    """Windows must lie in their texts; if they do not, the input gave other rows when it was read again."""
+    if (at < 0).any() or (end > units).any():
+        raise ValueError("a window is not in its text: the input does not give the same rows each time")
+
+
 def covered(items: list[dict] | None, units: int, width: int) -> np.ndarray:
     """Mask of the units that the windows cover."""
     if not items:
         return np.zeros(units, bool)
     at = np.array([i["at"] for i in items], np.int64)
-    n = np.array([i["n"] for i in items], np.int64)
-    end = at + n - 1 + width
-    ok = (at >= 0) & (end <= units)
-    step = np.bincount(at[ok], minlength=units + 1) - np.bincount(end[ok], minlength=units + 1)
+    end = at + np.array([i["n"] for i in items], np.int64) - 1 + width
+    inside(at, end, units)
+    step = np.bincount(at, minlength=units + 1) - np.bincount(end, minlength=units + 1)
     return np.cumsum(step[:units]) > 0

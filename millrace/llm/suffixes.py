@@ -1,10 +1,11 @@
 """Repeated byte strings through suffix arrays.
 
 Segments whose anchor gram repeats (:mod:`millrace.llm.repeats`) are dealt by anchor, so equal strings
-meet, and are put together to shards of about two million bytes. Each shard is sorted as a
-suffix array by Larsson and Sadakane's refinement, with Kasai's common prefixes. An anchor with more segments
-than a shard holds is split over several shards; what repeats between them is found by merging the
-sorted hashes of their strings by binary search.
+meet, and are put together to shards of about two million bytes. A segment goes in once; one that occurs several times as a
+whole goes in twice, with the bytes of its first and its last place. Each shard is sorted as a
+suffix array by Larsson and Sadakane's refinement, with Kasai's common prefixes; strings that repeat are
+read off the array. An anchor with more segments than a shard holds is split over several shards; what repeats between them is
+found by merging the sorted runs of their strings (128-bit hashes) by binary search.
 """
 
 from __future__ import annotations
@@ -17,24 +18,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.hashing import U, mix, prefix, ragged, spans
-from millrace.llm.repeats import covered, find_repeats, join_lists, place_columns, text_tie, window_lists, with_texts
-from millrace.llm.substrings import _flat
-from millrace.llm.tables import keep, pieces, text_bytes
+from millrace.llm.hashing import U, prefix, ragged, spans
+from millrace.llm.repeats import SEGMENT, WIDEST, covered, find_repeats, flat, inside, join_lists, place_columns, repeated, window_lists, with_texts
+from millrace.llm.tables import identified, keep, pieces, text_bytes
 
-#: Bytes of a shard: three numbers below it fit in 63 bits.
-SHARD = 1 << 21
+#: Bytes of a suffix array at most: three numbers below it fit in 63 bits.
+LONGEST = 1 << 21
+#: Bytes of a shard, with room for a last segment's two strings.
+SHARD = LONGEST - 4 * WIDEST
+#: Strings of split anchors that are merged at a time.
+MERGED = 1 << 19
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of at most SHARD bytes in order, and the rank of each.
+    """Suffixes of at most LONGEST bytes in order, and the rank of each.
 
     Larsson and Sadakane: suffixes that agree in their first h bytes are a group, whose rank is the place of its
     last; a round sorts within groups by the rank h bytes on, which orders 2 h bytes, and
     groups of one are never looked at again. A round is one sort of packed numbers (group, rank h bytes on, position).
     """
     n = len(data)
-    if n > SHARD:
+    if n > LONGEST:
         raise ValueError("a shard is too long")
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -48,7 +52,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for j in range(h):
         key = (key << bits) | coded[j : j + n]
     key = np.sort((key << 21) | np.arange(n))
-    order = key & (SHARD - 1)
+    order = key & (LONGEST - 1)
     key >>= 21
     last = np.append(key[1:] != key[:-1], True)  # of its group
     rank = np.empty(n + 1, np.int64)
@@ -62,7 +66,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = order[places]
         # Ranks h bytes on, plus one: the end of the text comes before all else.
         key = np.sort((rank[at] << 42) | ((rank[np.minimum(at + h, n)] + 1) << 21) | at)
-        at = key & (SHARD - 1)
+        at = key & (LONGEST - 1)
         key >>= 21
         order[places] = at
         last = np.append(key[1:] != key[:-1], True)
@@ -125,33 +129,43 @@ def repeated_in_shard(data: np.ndarray, starts: np.ndarray, width: int) -> np.nd
     return group[rank[starts]]
 
 
-_SEGMENT = "anchor long, salt int, key {kind}, tie long, at long, single boolean, bytes binary"
-_FOUND = "key {kind}, tie long, at long, n long, hashed long, shard long"
+_STRING = "anchor long, salt int, whole long, also long, key {kind}, tie long, at long, many boolean, bytes binary"
+#: What a sorted shard sends on. 0: windows that repeat (key, tie, at, n). 1: a segment (x, y, z: anchor and hashes) whose first and
+#: last place agree. 2: one of each string of a split anchor (x, y: hashes, z: shard; n: 1 if only lone in its shard).
+_FOUND = "what int, key {kind}, tie long, at long, n long, x long, y long, z long"
 
 
 def _shards(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.Table]:
     """Whole groups of (anchor, salt), as many as fit in a shard; a group that batches or a full shard would cut waits for its rest.
 
-    Only a group that is longer than a shard by itself becomes several. It is one of a split anchor: others have at most
-    ``shard / (2 * width)`` strings, each shorter than twice the width.
+    Only a group that is longer than a shard by itself becomes several, and then between two segments. It is one of a split anchor:
+    others have at most ``shard / (4 * width)`` segments, two strings each and each shorter than twice the width.
     """
     waiting, size = [], 0
     for batch in batches:
         waiting.append(batch)
-        size += int(text_bytes(batch.column(6))[1][-1])
+        size += int(text_bytes(batch.column(8))[1][-1])
         if size <= split:
             continue
         rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-        ends = text_bytes(rows.column(6))[1][1:]
-        group = np.stack([rows.column(0).to_numpy(), rows.column(1).to_numpy()])
-        begins = np.append(0, 1 + np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)))
+        ends = text_bytes(rows.column(8))[1][1:]
+        names = np.stack([rows.column(i).to_numpy() for i in range(4)])
+        new = names[:, 1:] != names[:, :-1]
+        groups, segments = (np.append(0, 1 + np.flatnonzero(new[:k].any(0))) for k in (2, 4))
         lo, done = 0, 0
         while ends[-1] - done > split:
             hi = max(lo + 1, int(np.searchsorted(ends, done + split, "right")))
-            if hi < rows.num_rows:
-                # Back to where a group begins, if it is not the one that the shard begins with.
-                cut = int(begins[np.searchsorted(begins, hi, "right") - 1])
-                hi = cut if cut > lo else hi
+            # Back to where a group begins, else a segment, if it is not the one that the shard begins with; else on to the next segment.
+            back = lambda begins: int(begins[np.searchsorted(begins, hi, "right") - 1])  # noqa: B023, E731
+            if back(groups) > lo:
+                hi = back(groups)
+            elif back(segments) > lo:
+                hi = back(segments)
+            else:
+                after = segments[segments > lo]
+                if not len(after):
+                    break  # the rest of the segment is in the next batch
+                hi = int(after[0])
             yield pa.Table.from_batches([rows.slice(lo, hi - lo)])
             lo, done = hi, int(ends[hi - 1])
         waiting, size = [rows.slice(lo)] if lo < rows.num_rows else [], int(ends[-1]) - done
@@ -161,86 +175,94 @@ def _shards(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.Table]
 
 def repeated_strings(df: DataFrame, width: int, shard_bytes: int = SHARD) -> DataFrame:
     """(key, tie, at, n): runs of positions whose strings of ``width`` bytes also start anywhere else. ``df``: key, tie, text."""
-    found = find_repeats(df, lambda data, at: (data.astype(U) + U(1), at), width, 1 << 19)
-    kind = dict(df.dtypes)["key"]
-    # All places of a segment that occurs twice or more.
-    twice = found.distinct.filter("copies > 1").select("anchor", "whole")
-    plain = found.rows.join(twice, ["anchor", "whole"], "left_semi").select("key", *place_columns())
 
-    # Different segments of one anchor go to the suffix arrays, each once. Those of a split anchor keep its number of parts.
-    most = max(1, shard_bytes // (2 * width))
-    parts = F.ceil(F.col("kinds") / most).cast("int")
+    def units(data: np.ndarray, at: np.ndarray):
+        bytes_ = data.astype(U) + U(1)
+        return bytes_, bytes_, at
+
+    found = find_repeats(df, units, width, max(1, width // 4), 1 << 19)
+    kind = dict(df.dtypes)["key"]
+    most = max(1, shard_bytes // (4 * width))
+    parts = F.ceil(F.col("total") / most).cast("int")
     salt = F.when(parts > 1, F.pmod(F.col("whole"), parts) + 1).otherwise(0).cast("int")
-    wanted = found.mixed.select("key", *place_columns(), "anchor", salt.alias("salt"), (F.col("copies") == 1).alias("single"))
+    kinds = repeated(found.distinct, ["anchor"], ["whole"], least=1).withColumn("salt", salt).withColumn("many", F.col("copies") > 1)
+    columns = ["anchor", "salt", "whole", "also", "many"]
+    places = kinds.select(*columns, F.explode(F.when(F.col("many"), F.array("first", "last")).otherwise(F.array("first"))).alias("p")).select(*columns, "p.*")
+    wanted = places.select("key", *place_columns(), *columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in pieces(batch, "text", 1 << 19):
                 raw = data.tobytes()
-                row, (a, n, anchor, salt_, single) = _flat(part.column(3), ["at", "n", "anchor", "salt", "single"])
+                row, (a, n, anchor, salt_, whole, also, many) = flat(part.column(3), ("at", "n", *columns))
                 lo = at[row] + a
                 hi = lo + n - 1 + width
-                ok = hi <= at[row + 1]
-                take = pa.array(row[ok])
-                strings = pa.array([raw[x:y] for x, y in zip(lo[ok].tolist(), hi[ok].tolist(), strict=True)], pa.binary())
-                cols = [pa.array(anchor[ok]), pa.array(salt_[ok].astype(np.int32)), part.column(0).take(take), part.column(1).take(take), pa.array(a[ok]), pa.array(single[ok].astype(bool)), strings]
-                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "salt", "key", "tie", "at", "single", "bytes"])
+                inside(lo, hi, at[row + 1])
+                take = pa.array(row)
+                strings = pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                cols = [pa.array(anchor), pa.array(salt_.astype(np.int32)), pa.array(whole), pa.array(also), part.column(0).take(take), part.column(1).take(take), pa.array(a), pa.array(many.astype(bool)), strings]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "salt", "whole", "also", "key", "tie", "at", "many", "bytes"])
 
-    strings = with_texts(wanted, df, ["at", "n", "anchor", "salt", "single"]).select("key", "tie", "text", "items").mapInArrow(cut, _SEGMENT.format(kind=kind))
+    strings = with_texts(wanted, df, ["at", "n", *columns]).select("key", "tie", "text", "items").mapInArrow(cut, _STRING.format(kind=kind))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, shard in enumerate(_shards(batches, shard_bytes)):
             shard = shard.combine_chunks().to_batches()[0]
-            data, at = text_bytes(shard.column(6))
+            data, at = text_bytes(shard.column(8))
             n = np.diff(at) - width + 1
             starts, owner = ragged(at[:-1], n), np.repeat(np.arange(len(n)), n)
             classes = repeated_in_shard(data, starts, width)
-            single, split = shard.column(5).to_numpy(zero_copy_only=False)[owner], shard.column(1).to_numpy()[owner] > 0
             size = np.bincount(classes)
-            weight = size[classes] + (np.bincount(classes, ~single) > 0)[classes]
-            hit = np.flatnonzero(single & (weight > 1))
+            again, many = size[classes] > 1, shard.column(7).to_numpy(zero_copy_only=False)
+            if not again[many[owner]].all():
+                raise ValueError("two different segments have one hash")
+            hit = np.flatnonzero(again & ~many[owner])
             yield from _intervals(shard, owner[hit], starts[hit] - at[owner[hit]])
-            # Strings of split anchors: one of each class goes on, under its hash; only lone ones need an answer.
-            rest = np.flatnonzero(split)
+            yield _sent(1, shard, np.flatnonzero(many), *[shard.column(i).to_numpy()[many] for i in (0, 2, 3)])
+            # Strings of split anchors: one of each class goes on, under its hashes; only lone ones need an answer.
+            rest = np.flatnonzero(shard.column(1).to_numpy()[owner] > 0)
             if len(rest):
                 rest = rest[np.unique(classes[rest], return_index=True)[1]]
-                lone = single[rest] & (weight[rest] == 1)
-                anchor = shard.column(0).to_numpy()[owner[rest]].view(U)
-                hashed = mix(spans(prefix(data.astype(U) + U(1)), starts[rest], starts[rest] + width) + mix(anchor))
-                rows = shard.take(pa.array(owner[rest]))
-                place = shard.column(4).to_numpy()[owner[rest]] + starts[rest] - at[owner[rest]]
-                mark = int.from_bytes(hashlib.blake2b(hashed.tobytes(), digest_size=7).digest(), "little") + number
-                yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), pa.array(place), pa.array(lone.astype(np.int64)), pa.array(hashed.view(np.int64)), pa.array(np.full(len(rest), mark))], names=["key", "tie", "at", "n", "hashed", "shard"])
+                values = data.astype(U) + U(1)
+                one, two = (spans(prefix(values, i), starts[rest], starts[rest] + width, i).view(np.int64) for i in (0, 1))
+                mark = int.from_bytes(hashlib.blake2b(one.tobytes(), digest_size=7).digest(), "little") + number
+                yield _sent(2, shard, owner[rest], one, two, np.full(len(rest), mark), starts[rest] - at[owner[rest]], (~again[rest]).astype(np.int64))
 
     # The sort puts groups together; it has nothing to do with suffixes.
-    sorted_ = keep(strings.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(sort, _FOUND.format(kind=kind)), "sorted")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A range of hashes from all shards. Each shard's part is a sorted run; a hash of one run is looked for in all runs together."""
-        rows = list(batches)
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        hashed, shard = table.column(4).to_numpy(), table.column(5).to_numpy()
-        runs = np.sort(hashed)
-        lone = np.flatnonzero(table.column(3).to_numpy() == 1)
+    dealt = strings.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "whole", "also")
+    done = keep(dealt.mapInArrow(sort, _FOUND.format(kind=kind)), "sorted")
+    alike = done.filter("what = 1").select(F.col("x").alias("anchor"), F.col("y").alias("whole"), F.col("z").alias("also")).distinct()
+    plain = found.rows.join(alike, SEGMENT, "left_semi").select("key", *place_columns()).drop("lead")
+
+    def merge(bucket: pa.Table) -> pa.Table:
+        """A range of hashes from all shards. Each shard's part is a run; a string of one run is looked for in all runs together."""
+        names = np.stack([bucket.column(f"{c}").to_numpy().astype(">i8") for c in "xy"], 1)
+        names, shard = np.frombuffer(np.ascontiguousarray(names).tobytes(), "S16"), bucket.column("z").to_numpy()
+        runs = np.sort(names)
+        lone = np.flatnonzero(bucket.column("n").to_numpy() == 1)
+        hits = [np.empty(0, np.int64)]
         for mark in np.unique(shard[lone]):
             own = lone[shard[lone] == mark]
-            found_ = np.searchsorted(runs, hashed[own], "right") - np.searchsorted(runs, hashed[own], "left") > 1
-            yield table.take(pa.array(own[found_])).select(["key", "tie", "at", "n"])
+            hits.append(own[np.searchsorted(runs, names[own], "right") - np.searchsorted(runs, names[own], "left") > 1])
+        return bucket.take(pa.array(np.concatenate(hits))).select(["key", "tie", "at", "n"])
+
+    across = done.filter("what = 2")
+    buckets = max(1, -(-across.count() // MERGED))
+    across = across.withColumn("bucket", F.pmod(F.shiftright("x", 7), F.lit(buckets))).groupBy("bucket").applyInArrow(merge, f"key {kind}, tie long, at long, n long")
+    return plain.unionByName(done.filter("what = 0").select("key", "tie", "at", "n")).unionByName(across)
+
 
-    across = sorted_.filter("hashed IS NOT NULL").repartition("hashed").mapInArrow(merge, f"key {kind}, tie long, at long, n long")
-    return plain.unionByName(sorted_.filter("hashed IS NULL").select("key", "tie", "at", "n")).unionByName(across)
+def _sent(what: int, shard: pa.RecordBatch, rows: np.ndarray, x=None, y=None, z=None, offset=0, n=None) -> pa.RecordBatch:
+    take, none = pa.array(rows), pa.nulls(len(rows), pa.int64())
+    at = shard.column(6).to_numpy()[rows] + offset
+    cols = [pa.array(np.full(len(rows), what, np.int32)), shard.column(4).take(take), shard.column(5).take(take), pa.array(at), *[none if c is None else pa.array(c) for c in (n, x, y, z)]]
+    return pa.RecordBatch.from_arrays(cols, names=["what", "key", "tie", "at", "n", "x", "y", "z"])
 
 
 def _intervals(shard: pa.RecordBatch, owner: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not len(owner):
-        return
-    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))
-    n = np.diff(np.append(new, len(owner)))
-    take = pa.array(owner[new])
-    at = shard.column(4).to_numpy()[owner[new]] + offset[new]
-    yield pa.RecordBatch.from_arrays([shard.column(2).take(take), shard.column(3).take(take), pa.array(at), pa.array(n), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.int64())], names=["key", "tie", "at", "n", "hashed", "shard"])
+    if len(owner):
+        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))
+        yield _sent(0, shard, owner[new], offset=offset[new], n=np.diff(np.append(new, len(owner))))
 
 
 def remove_strings(df: DataFrame, key: str, text: str, width: int = 200, shard_bytes: int = SHARD) -> DataFrame:
@@ -248,10 +270,10 @@ def remove_strings(df: DataFrame, key: str, text: str, width: int = 200, shard_b
 
     Strings never cross texts and are judged on the input. Returns the key, ``n_bytes``, ``n_removed``,
     ``spans`` (list of start and end of each maximal removed run, in bytes) and ``kept`` (the remaining bytes;
-    they need not be UTF-8). Null texts are empty. Texts shorter than the width stay. Two rows
-    alike in key and text are two texts, and lose what they share. Other columns are dropped, so none can clash.
+    they need not be UTF-8). Null texts are empty. Texts shorter than the width stay. Every row is a text of its own: two
+    alike in key and text lose what they share. An empty table gives an empty table. Other columns are dropped, so none can clash.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), text_tie(df, key, text))
+    rows = identified(df, key=F.col(key), text=F.col(text))
     lists = window_lists(repeated_strings(rows.select("key", "tie", "text"), width, shard_bytes))
     kind = dict(rows.dtypes)["key"]
 

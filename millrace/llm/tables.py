@@ -3,48 +3,74 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import new_path
+
 # Workers give freed batches back to the system, so one that waits for its next task holds little.
 pa.set_memory_pool(pa.system_memory_pool())
 if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
     _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays of a megabyte or more are mapped by themselves, now and later
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where a session has none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), f"millrace-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-
-
 def small_batches(spark: SparkSession, most: str = "8m") -> None:
     """Arrow batches of 8 MB at most: the default of 10,000 rows holds 64 MB of texts several times over, in the JVM and in Python."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+#: Tables written by :func:`keep` in this process, for :func:`release`.
+_kept: list[str] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: work done once, lineage cut, lost executors survived."""
     small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_so_far() -> int:
+    return len(_kept)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables kept after the first ``since``, once what was made of them is written."""
+    for path in _kept[since:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _kept[since:]
+
+
+def _number(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "_metadata.file_path", "_metadata.row_index")
+
+
+def identified(df: DataFrame, **columns: Column) -> DataFrame:
+    """The columns (one is ``key``), and ``tie``, a number that tells the rows that share a key apart: every row is one of its own.
+
+    The number is a hash of the row's place in its file, so no text is read for it and each scan gives the same; it is
+    tested, and made anew while any two rows agree in key and number. Rows that come from no file, or from a
+    place several times, are written to one first. ``df`` must give the same rows each time.
+    """
+    if "_metadata" not in df.columns:
+        try:
+            for seed in range(3):
+                rows = df.select(*[c.alias(n) for n, c in columns.items()], _number(seed).alias("tie"))
+                if rows.groupBy("key", "tie").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").isEmpty():
+                    return rows
+        except AnalysisException:
+            pass
+    return identified(keep(df.select(*[c.alias(n) for n, c in columns.items()]), "rows"), **{n: F.col(n) for n in columns})
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string or binary column, and n + 1 offsets; nulls are empty."""
     if col.null_count:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import components, fingerprints, neardup, quality, queries, repeats, substrings, suffixes, urls
+from millrace.llm import components, fingerprints, hashing, neardup, quality, queries, repeats, substrings, suffixes, tables, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,6 +109,9 @@ def test_near_duplicates_of_few_rows(spark):
     assert near(spark, []) == {}
     rows = neardup.near_duplicates(frame(spark, [(1, "a b c"), (1, "a b c"), (1, "x y z"), (None, "a b c"), (None, None)]), "doc_id", "text", 4).collect()
     assert sorted(((r.doc_id, r.component_id) for r in rows), key=repr) == sorted([(1, 1), (1, 1), (1, 1), (None, 1), (None, None)], key=repr)
+    assert sorted((str(r.doc_id), r.n_shingles, r.kept) for r in rows) == [("1", 1, False), ("1", 1, True), ("1", 1, True), ("None", 0, True), ("None", 1, False)]
+    none = neardup.near_duplicates(frame(spark, [(None, "a b c d e")] * 4 + [(None, None)] * 2), "doc_id", "text", 4).collect()
+    assert sorted(r.kept for r in none) == [False] * 3 + [True] * 3
 
 
 def test_near_duplicates_query(spark):
@@ -129,6 +132,23 @@ def test_superminhash_estimates_similarity():
     assert (np.sort(small[0] >> np.uint64(32)) == np.arange(128)).all() and (small[1] == np.iinfo(np.uint64).max).all()
 
 
+def test_upper_bound_never_rules_out_a_link():
+    rng = np.random.default_rng(17)
+    for n in (3, 40, 900, 20_000):
+        for share in (0.78, 0.8, 0.82, 0.9):
+            pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            common = round(n * share)
+            a, b = pool[:n], np.concatenate([pool[:common], pool[n : n + round((n - common) * rng.random())]])
+            bins = [neardup.binned(np.sort(x), np.array([0, len(x)])) for x in (a, b)]
+            sizes = [np.array([len(x)]) for x in (a, b)]
+            link = 100 * common >= 80 * (len(a) + len(b) - common)
+            assert neardup.possible(*bins, *sizes, 80)[0] or not link
+    far = [neardup.binned(np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64)), np.array([0, 300])) for _ in range(2)]
+    assert not neardup.possible(*far, np.array([300]), np.array([300]), 80)[0]
+    owner, hashes = np.array([1, 0, 1, 0, 1]), np.array([5, 9, 4, 1 << 60, 5], np.uint64)  # they differ in their low bits alone
+    assert neardup.in_order(owner, hashes).tolist() in ([1, 3, 2, 0, 4], [1, 3, 2, 4, 0])
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     links = [(i, i + 1) for i in range(0, 200)] + [(1000, 2000 + i) for i in range(300)] + [(5, 5)] + rng.integers(5000, 5200, (150, 2)).tolist()
@@ -176,6 +196,9 @@ def test_substrings_query_and_rows_alike(spark):
     text = "one two three four five six"
     got = substrings.remove_repeats(frame(spark, [(1, text), (1, text), (None, text), (2, text)]), "doc_id", "text", 3).collect()
     assert sorted(((r.doc_id, r.n_removed) for r in got), key=repr) == sorted([(None, 0), (1, 6), (1, 6), (2, 6)], key=repr)
+    got = substrings.remove_repeats(frame(spark, [(1, text), (1, text), (None, "x " + text)][:2]), "doc_id", "text", 3).collect()
+    assert sorted(r.n_removed for r in got) == [0, 6]  # of rows alike in key and text the first stays
+    assert substrings.lengths(20) == [5, 10, 20] and substrings.lengths(1) == [1] and substrings.lengths(7) == [4, 7]
     assert substrings.remove_repeats(frame(spark, []), "doc_id", "text", 3).collect() == []
 
 
@@ -204,14 +227,16 @@ def test_shards_never_cut_a_group_that_fits():
     rng = random.Random(11)
     for split in (1000, 3000):
         for rows_a_batch in (1, 2, 9, 1000):
-            rows = [(g, bytes(rng.randint(50, 120))) for g in range(60) for _ in range(rng.randint(1, 8))]
+            rows = [(g, j // 2, bytes(rng.randint(50, 120))) for g in range(60) for j in range(rng.randint(1, 8))]
             if split == 1000:  # a shard is nearly full where a batch ends, and a group begins in the next one
-                rows = [(0, bytes(100))] * 9 + [(1, bytes(100))] * 4 + [(2, bytes(100))] * 3
-            batches = [pa.RecordBatch.from_arrays([pa.array([g for g, _ in some]), pa.array([0] * len(some), pa.int32()), *[pa.nulls(len(some))] * 4, pa.array([b for _, b in some], pa.binary())], names=list("abcdefg")) for lo in range(0, len(rows), rows_a_batch) for some in [rows[lo : lo + rows_a_batch]]]
-            shards = [s.column(0).to_pylist() for s in suffixes._shards(iter(batches), split)]
-            assert [g for s in shards for g in s] == [g for g, _ in rows]
-            assert sum(len(set(s)) for s in shards) == len({g for g, _ in rows})
-            assert all(sum(len(b) for g, b in rows if g in s) <= split for s in map(set, shards))
+                rows = [(0, j // 2, bytes(100)) for j in range(9)] + [(1, j, bytes(100)) for j in range(4)] + [(2, 0, bytes(100))] * 3
+            rows += [(99, j // 2, bytes(100)) for j in range(80)]  # longer than a shard: cut between segments of two
+            batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in some]), pa.array([0] * len(some), pa.int32()), pa.array([r[1] for r in some]), pa.array([0] * len(some)), *[pa.nulls(len(some))] * 4, pa.array([r[2] for r in some], pa.binary())], names=list("abcdefghi")) for lo in range(0, len(rows), rows_a_batch) for some in [rows[lo : lo + rows_a_batch]]]
+            shards = [list(zip(s.column(0).to_pylist(), s.column(2).to_pylist(), strict=True)) for s in suffixes._shards(iter(batches), split)]
+            assert [x for s in shards for x in s] == [r[:2] for r in rows]
+            assert sum(len({g for g, _ in s} - {99}) for s in shards) == len({r[0] for r in rows}) - 1
+            assert sum(len(set(s)) for s in shards) == len({r[:2] for r in rows})
+            assert all(sum(len(b) for g, w, b in rows if (g, w) in s) <= split + 200 for s in map(set, shards))
 
 
 def test_suffixes_over_small_batches(spark):
@@ -240,6 +265,38 @@ def test_suffix_array_and_prefixes():
             assert lcp[r] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_long_texts_in_runs():
+    """A run that is much shorter than the texts gives segments with the same windows and the same anchors."""
+    rng = np.random.default_rng(15)
+    values = rng.integers(1, 5, 3000, dtype=np.uint64)
+    first = np.array([0, 700, 700, 705, 3000])
+    whole, cut = (repeats.segments(values, values, first, 12, 3, run) for run in (1 << 27, 100))
+    of = lambda s: {(t, a + i): (h, lead - i) for t, a, n, h, lead in zip(s.text.tolist(), s.at.tolist(), s.n.tolist(), s.anchor.tolist(), s.lead.tolist(), strict=True) for i in range(n)}
+    assert of(whole) == of(cut) and len(of(whole)) == 689 + 2284 and len(cut.n) > len(whole.n)
+
+
+def test_doubled_grams_stay_in_their_windows():
+    rng = np.random.default_rng(16)
+    for width in (2, 7, 11, 12, 20, 33):
+        have, *more = substrings.lengths(width)
+        at, n = rng.integers(0, 100, 200), rng.integers(1, width - have + 2, 200)
+        lead = n - 1 + (rng.random(200) * (width - have - n + 2)).astype(int)
+        for want in more[:-1]:
+            rows, at2, n2, lead = substrings.extend(at, n, lead, have, want, width)
+            assert sorted((r, a + i) for r, a, k in zip(rows.tolist(), at2.tolist(), n2.tolist(), strict=True) for i in range(k)) == sorted((r, a + i) for r, (a, k) in enumerate(zip(at.tolist(), n.tolist(), strict=True)) for i in range(k))
+            gram = at2 + lead
+            assert (gram >= at2 + n2 - 1).all() and (gram + want <= at2 + width).all()
+            at, n, have = at2, n2, want
+
+
+def test_words_that_powers_cannot_tell_apart():
+    odd = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[b ^ flip] for b in odd).encode() for flip in (0, 1)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    h = [hashing.word_hashes(data, *hashing.word_bounds(data, np.array([0, len(data)]))[:2], i) for i in (0, 1)]
+    assert h[0][0] != h[0][1] and h[1][0] != h[1][1] and h[0][0] != h[1][0]
+
+
 # -- rows that share a key
 
 
@@ -267,22 +324,25 @@ def test_near_duplicates_of_one_hot_key(spark):
     assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(t for _, t in copies)
 
 
-def test_ties_that_agree_are_replaced(spark, monkeypatch):
-    plain, seeds = repeats._tie, []
+def test_rows_are_told_apart(spark, monkeypatch, tmp_path):
+    plain, seeds = tables._number, []
 
-    def narrow(text, seed):
+    def narrow(seed):
         seeds.append(seed)
-        return F.pmod(plain(text, seed), F.lit(4)) if seed < 2 else plain(text, seed)
-
-    monkeypatch.setattr(repeats, "_tie", narrow)
-    rows = [(1, f"text {i}") for i in range(9)] * 2 + [(None, None), (None, "a"), (2, "a")]
-    df = frame(spark, rows).drop("tie")
-    tie = repeats.text_tie(df, "doc_id", "text")
-    assert set(seeds) == {0, 1, 2}
-    assert df.select("doc_id", tie).distinct().count() == df.select("doc_id", "text").distinct().count() == 12
-    seeds.clear()
-    repeats.text_tie(frame(spark, [(1, "same"), (1, "same"), (2, None), (2, None), (3, "x")]), "doc_id", "text")
-    assert set(seeds) == {0}
+        return F.pmod(plain(seed), F.lit(4)) if seed < 1 else plain(seed)
+
+    monkeypatch.setattr(tables, "_number", narrow)
+    rows = [(1, f"text {i}") for i in range(9)] * 2 + [(None, None), (None, "a"), (2, "a"), (2, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/x")
+    file = spark.read.parquet(f"{tmp_path}/x")
+    many = file.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    made = [frame(spark, rows), file, file.filter("text <> 'a'").withColumn("_metadata", F.lit(1)), many, file.join(file.select("doc_id").distinct(), "doc_id"), file.unionByName(file), file.mapInPandas(lambda x: x, file.schema)]
+    for df in made:
+        seeds.clear()
+        out = tables.identified(df, key=F.col("doc_id"), text=F.col("text"))
+        n = df.count()
+        assert out.columns == ["key", "text", "tie"] and out.distinct().count() == out.select("key", "tie").distinct().count() == n
+        assert max(seeds) >= 1 and sorted(map(repr, out.collect())) == sorted(map(repr, out.select("*").collect()))
 
 
 # -- quality rules
