@@ -11,10 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import neardup, packing, quality, substrings
+from millrace.llm import neardup, packing, quality, repeats, substrings
 from millrace.llm.queries import table
-from millrace.llm.repeats import text_tie
-from millrace.llm.tables import new_path
+from millrace.llm.tables import identified, keep, kept_so_far, release
+from millrace.sources import new_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,12 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: shingles of five words, a similarity of 0.8 or more. Of rows alike in key and text, all stay or go."""
-    docs = docs.select(*COLUMNS)
-    tie = text_tie(docs, "doc_id", "text")
-    kept = neardup.near_duplicates(docs, "doc_id", "text", 5, 80, tie).filter("kept").select(F.col("doc_id").alias("__k"), F.col("tie").alias("__t"))
-    rows = docs.withColumn("tie", tie)
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["__k"]) & (rows["tie"] == kept["__t"]), "left_semi").select(*COLUMNS)
+    """One document of each group stays, the one with the least doc_id: shingles of five words, a similarity of 0.8 or more. Rows without a doc_id, or with a shared one, are judged by their texts like all others."""
+    rows = identified(docs, key=F.col("doc_id"), text=F.col("text"), more=F.struct("lang", "source", "n_chars"))
+    # The dropped rows are the smaller part; only rows that may be among them are shuffled with their texts.
+    dropped = neardup.resolve(rows.select("key", "tie", "text"), 5, 80).filter("NOT kept").select("key", "tie", F.lit(1).alias("items"))
+    inside = repeats.join_lists(rows, keep(dropped.withColumn("id", repeats.text_key()), "dropped")).filter("items IS NULL")
+    return inside.select(F.col("key").alias("doc_id"), "text", "more.*").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = new_path(spark, name)
+        path, before = new_path(spark, name), kept_so_far()
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, before)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
