@@ -1,18 +1,17 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Each part of the input (a split of a file) sends on its distinct words.
+1. Each part of the input (some rows of a file) sends on its distinct words.
 2. Dealt by word, each distinct word is encoded once.
 3. The ids go back to the parts that have the word, as pages of a dictionary; dealt by part,
    the dictionary comes first and the texts after it, and ids are put in the words' positions.
 
 What is shuffled for a word is one row per part that has it, however often it occurs,
 so frequent words are no hot keys, and no dictionary of the whole corpus is ever in one place.
-Decoding joins ids with the table of pieces, whose size is that of the vocabulary.
+Decoding joins ids with the table of pieces: one row per id of the vocabulary, so its size is known, and it is broadcast.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import U, ragged
@@ -30,39 +29,43 @@ from millrace.llm.wordbpe import PIECE, WordCoder, word_key
 _PAGE = 1 << 16
 
 
-def _parts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, and ``part``: which split of which file a row is in. Rows that come from no file are written to one first."""
-    where = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("part")
+def _parts(df: DataFrame, key: str, text: str, rows: int = 8192) -> DataFrame:
+    """key, text, and ``part``: which ``rows`` rows of which file a row is among; every scan says the same. Rows that come from no file are written to one first."""
+    part = F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {rows}")).alias("part")
+    mine = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     try:
-        return df.select(F.col(key).alias("key"), F.col(text).alias("text"), where)
+        return df.select(*[F.col(c).alias(n) for c, n in ((key, "key"), (text, "text"))], part) if "_metadata" not in df.columns else keep(mine, "texts").select("key", "text", part)
     except AnalysisException:
-        return keep(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "texts").select("key", "text", where)
+        return keep(mine, "texts").select("key", "text", part)
 
 
 def distinct_words(parts: DataFrame, tokenizer: str) -> DataFrame:
     """(word, part): the words that each part has, as the tokenizer splits them; a few repeats are possible. Texts that cannot be split have none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, part = WordCoder(tokenizer), None
-        for batch in batches:
-            for rows, _, _ in pieces(batch, "text", PIECE):
-                marks = rows.column(1).to_numpy(zero_copy_only=False)
-                for lo, hi in _same(marks):
-                    if marks[lo] != part:
-                        seen._clear()
-                        part = marks[lo]
-                    ready = [seen._normal(t or "") or "" for t in rows.column(0).slice(lo, hi - lo).to_pylist()]
-                    joined, start, end, keys, first, whole = seen.words(ready)
-                    new = np.flatnonzero(seen._find(keys) < 0)
-                    new = new[np.unique(keys[new], return_index=True)[1]]
-                    if seen.n + len(new) > seen.keep_words:
-                        seen._clear()
-                    if len(new):
-                        seen._add(keys[new], np.empty(0, np.int32), np.zeros(len(new), np.int32))
-                        words = [joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.full(len(words), part))], names=["word", "part"])
-
-    return parts.select("text", "part").mapInArrow(run, "word string, part long")
+    return parts.select("text", "part").mapInArrow(lambda batches: _distinct(batches, tokenizer), "word string, part long")
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    seen, part = WordCoder(tokenizer), None
+    for batch in batches:
+        for rows, _, _ in pieces(batch, "text", PIECE):
+            marks = rows.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi in _same(marks):
+                if marks[lo] != part:
+                    seen._clear()
+                    part = marks[lo]
+                ready = [seen._normal(t or "") or "" for t in rows.column(0).slice(lo, hi - lo).to_pylist()]
+                joined, start, end, keys, first, whole = seen.words(ready)
+                new = np.flatnonzero(seen._find(keys) < 0)
+                new = new[np.unique(keys[new], return_index=True)[1]]
+                if seen.n + len(new) > seen.keep_words:
+                    seen._clear()
+                while len(new) > seen.keep_words:  # one text with more words than there is room for
+                    seen.grow()
+                if len(new):
+                    seen._add(keys[new], np.empty(0, np.int32), np.zeros(len(new), np.int32))
+                    words = [joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.full(len(words), part))], names=["word", "part"])
 
 
 def _same(marks: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -83,6 +86,8 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
             if held.n + len(new) > held.keep_words:
                 held._clear()
                 new = np.unique(keys, return_index=True)[1]
+            while len(new) > held.keep_words:
+                held.grow()
             held._add(keys[new], *held._library([texts[i] for i in new]))
             at = held._find(keys)
             order = np.argsort(part, kind="stable")
@@ -145,7 +150,7 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
                     keys, ids, counts = _turn((a, b, batch.column(5)[i].as_py()))
                     fresh = np.flatnonzero(words._find(keys) < 0)
                     fresh = fresh[np.unique(keys[fresh], return_index=True)[1]]
-                    if words.n + len(fresh) > len(words.keys) // 2:
+                    while words.n + len(fresh) > words.keep_words:
                         words.grow()
                     at = np.cumsum(counts, dtype=np.int64) - counts
                     words._add(keys[fresh], ids[ragged(at[fresh], counts[fresh].astype(np.int64))], counts[fresh])
@@ -175,9 +180,8 @@ def _text_pages(parts: DataFrame, kind: str) -> DataFrame:
     return parts.select("key", "text", "part").mapInArrow(run, f"part long, kind int, docs array<{kind}>, a binary, b binary, c binary")
 
 
-@functools.cache
-def piece_bytes(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
-    """The table of pieces: bytes of all ids' pieces one after another, and offsets."""
+def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """(id, piece): the bytes that each id of a byte-level vocabulary stands for."""
     from tokenizers import Tokenizer
 
     spec = json.loads(open(tokenizer, encoding="utf-8").read())
@@ -187,24 +191,34 @@ def piece_bytes(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     vocab = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True)
-    out = [b""] * (max(vocab.values()) + 1)
-    for piece, i in vocab.items():
-        out[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
-    return np.frombuffer(b"".join(out), np.uint8), np.append(0, np.cumsum([len(p) for p in out]))
+    rows = [(i, bytearray(bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode())) for piece, i in vocab.items()]
+    return spark.createDataFrame(rows, "id int, piece binary")
 
 
 def decode(df: DataFrame, ids: str, tokenizer: str, output: str = "decoded") -> DataFrame:
     """Add the text that a document's ids (little-endian unsigned 32-bit) stand for; special tokens are kept.
 
-    Null ids are empty. Bytes that are no UTF-8 become U+FFFD. The table of pieces is one row per
-    id of the vocabulary; each worker reads it from the tokenizer's file and joins by id.
+    The join with the table of pieces is a broadcast one: as an array over ids, it turns all ids of a batch into bytes at once.
+    Null ids are empty. Bytes that are no UTF-8 become U+FFFD; an id without a piece is an error. A column of ``df`` called like
+    ``output`` is an error.
     """
+    if output in df.columns:
+        raise ValueError(f"there is a column {output} already")
+    table = piece_table(df.sparkSession, tokenizer).toArrow().sort_by("id")
+    at = table.column("id").to_numpy()
+    length = np.zeros(int(at[-1]) + 1 if len(at) else 0, np.int64)
+    length[at] = [len(x) for x in table.column("piece").to_pylist()]
+    known = np.zeros(len(length), bool)
+    known[at] = True
+    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table.column("piece").to_pylist()), np.uint8), np.append(0, np.cumsum(length)), known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, bounds = piece_bytes(tokenizer)
+        pool, bounds, there = shared.value
         for batch in batches:
             for rows, data, at in pieces(batch, ids, 4 * PIECE):
                 each = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
+                if len(each) and (each.max() >= len(there) or not there[each].all()):
+                    raise ValueError("an id without a piece")
                 n = bounds[each + 1] - bounds[each]
                 text = pool[ragged(bounds[each], n)].tobytes()
                 ends = np.append(0, np.cumsum(n))[at // 4]
@@ -215,4 +229,4 @@ def decode(df: DataFrame, ids: str, tokenizer: str, output: str = "decoded") ->
     return df.mapInArrow(run, f"{kinds}, `{output}` string")
 
 
-__all__ = ["decode", "distinct_words", "encode", "encode_words", "piece_bytes"]
+__all__ = ["decode", "distinct_words", "encode", "encode_words", "piece_table"]

@@ -116,14 +116,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_PAIR = "n_chars long, edited_sha256 string, digest string, edited_digest string, near_edited double, near_next double"
-_PAIR_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_PAIR = "n_chars long, edited_sha256 string, digest string, edited_digest string, near_edited double, near_next double, form binary, edited_form binary"
+_PAIR_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
 
 
 def _compare(text: str, form: bytes, following: str, next_form: bytes, digits: int) -> tuple:
     changed = edited(text, following)
     other = canonical(changed)
-    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), digest(form, digits), digest(other, digits), float(form == other), float(form == next_form))
+    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), digest(form, digits), digest(other, digits), float(form == other), float(form == next_form), *(hashlib.sha256(x).digest() for x in (form, other)))
 
 
 def compare_with_next(df: DataFrame, key: str, text: str, digits: int = 32, part_mb: int = 48) -> DataFrame:
@@ -133,8 +133,8 @@ def compare_with_next(df: DataFrame, key: str, text: str, digits: int = 32, part
     text), after the last the first. Texts are dealt once by ranges of the key and read in order; the
     last row of a range meets the first of the next in a second small step. Returns the key,
     ``tie``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next`` (1 if the
-    canonical bytes are equal, else 0). The number after an edited text's digest is that of its own
-    document if the bytes are equal, else 0. Null texts are empty.
+    canonical bytes are equal, else 0). Documents with one digest are compared byte by byte; edited texts, which are not kept, by
+    the SHA-256 of their canonical form, with documents and with each other. Null texts are empty.
     """
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("tie"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -179,6 +179,15 @@ def compare_with_next(df: DataFrame, key: str, text: str, digits: int = 32, part
 
     ends = ends.select("key", "tie", "text", "following").mapInArrow(finish, f"key {kind}, tie long, {_PAIR}")
     table = done.filter("edge IS NULL").drop("part", "edge", "text").unionByName(keep(ends, "ends"))
-    out = _numbered(table, ordinals(df, key, text, table, digits))
-    same = F.when(F.col("near_edited") == 1, F.col("fingerprint")).otherwise(F.concat("edited_digest", F.lit("-0")))
-    return out.select(F.col("key").alias(key), "tie", "n_chars", "edited_sha256", "fingerprint", same.alias("edited_fingerprint"), "near_edited", "near_next")
+    # Canonical texts of documents and edited texts that share a digest: the least and greatest of their SHA-256, as 64 bits, differ.
+    both = table.select("digest", "form").unionByName(table.select(F.col("edited_digest").alias("digest"), F.col("edited_form").alias("form")))
+    short = F.xxhash64("form")
+    mixed = both.groupBy("digest").agg(F.min(short).alias("least"), F.max(short).alias("most")).filter("least <> most").select("digest")
+    mixed = keep(mixed, "mixed")
+    if ordinals(df, key, text, table, digits) is None and mixed.isEmpty():
+        out = table.withColumn("n", F.lit(0)).withColumn("edited_n", F.lit(0))
+    else:
+        rank = both.join(mixed, "digest", "left_semi").distinct().withColumn("n", F.row_number().over(W.partitionBy("digest").orderBy("form")) - 1)
+        out = table.join(rank, ["digest", "form"], "left").join(rank.toDF("edited_digest", "edited_form", "edited_n"), ["edited_digest", "edited_form"], "left")
+    name = lambda d, n: F.concat(F.col(d), F.lit("-"), F.coalesce(F.col(n), F.lit(0)).cast("string"))
+    return out.select(F.col("key").alias(key), "tie", "n_chars", "edited_sha256", name("digest", "n").alias("fingerprint"), name("edited_digest", "edited_n").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, fingerprints, neardup, packing, quality, sharding, substrings, suffixes, token_files, urls
+from millrace.llm.oracles import ORACLE
 from millrace.llm.tables import small_batches
 
 #: The columns that the operators read; the tables may have more.
@@ -80,5 +81,4 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_near_duplicates, op4_packing, op5_sharding, op6_suffixes, op7_quality, op8_token_files, op9_substrings, op10_url_filters)}
 
-#: Equal SQL, where there is any.
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "table"]

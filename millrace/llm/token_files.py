@@ -118,11 +118,15 @@ def write_tokens(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int
     Manifest: ``file``, ``part``, ``n_docs``, ``n_tokens``, ``start`` (ids in all files before it), ``least`` and
     ``most`` key. Null texts are empty: just the end id. Null keys come first.
     Repeated rows are written as often as they occur; an empty table gives an empty
-    manifest. ``width``: bytes of an id (2 for vocabularies below 65,536, else 4). Other columns are not read.
+    manifest. ``width``: bytes of an id (2 for vocabularies of 65,536 at most, else 4); too few are an error. Keys are integers. Other columns are not read.
     """
     spark = df.sparkSession
+    if max(end_id + 1, coder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True)) > 1 << (8 * width):
+        raise ValueError(f"ids of this vocabulary need more than {width} bytes")
+    if dict(df.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError("keys must be integers")
     folder = path or new_path(spark, "tokens")
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(8, -(-total // (file_mb << 20)))
     dealt = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie").drop("tie")

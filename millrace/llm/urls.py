@@ -54,23 +54,34 @@ def apply_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "n_params", "host_length", "n_labels", "hyphens", "path_length", "suffix_rate", "suffix_seen"]
 
 
-def suffix(host: str) -> str:
-    """The last two labels of a host."""
-    return ".".join(host.split(".")[-2:])
-
-
-def lexical(url: pd.Series, host: pd.Series, path: pd.Series, rates: dict[str, tuple[float, float]], base: float) -> np.ndarray:
-    """One row of features per URL; null URLs are empty."""
-    out = np.zeros((len(url), len(FEATURES)))
-    for i, (u, h, p) in enumerate(zip(url.fillna(""), host, path, strict=True)):
-        raw = np.frombuffer(u.encode(), np.uint8)
-        n = max(1, len(raw))
-        share = np.bincount(raw, minlength=1) / n
-        share = share[share > 0]
-        query = u.split("#", 1)[0].partition("?")[2]
-        rate, seen = rates.get(suffix(h), (base, 0.0))
-        out[i] = (len(u), p.count("/"), sum(c in "0123456789" for c in u) / n, float(-(share * np.log2(share)).sum()) if len(raw) else 0.0,
-                  query.count("&") + 1 if query else 0, len(h), h.count(".") + 1 if h else 0, h.count("-"), len(p), rate, seen)
+#: Of these, the ones that Spark's own functions work out.
+_NATIVE = [f for f in FEATURES if f not in ("entropy", "suffix_rate", "suffix_seen")]
+
+
+def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
+    """Features that need no Python, and ``suffix``: the last two labels of the host. Null URLs are empty."""
+    u = F.coalesce(url, F.lit(""))
+    count = lambda c, x: F.char_length(c) - F.char_length(F.replace(c, F.lit(x), F.lit("")))
+    query = F.regexp_extract(u, r"\A[^#?]*\?([^#]*)", 1)
+    out = {
+        "length": F.char_length(u), "depth": count(path, "/"), "digit_ratio": F.regexp_count(u, F.lit("[0-9]")) / F.greatest(F.lit(1), F.octet_length(u)),
+        "n_params": F.when(query != "", count(query, "&") + 1).otherwise(0), "host_length": F.char_length(host), "n_labels": F.when(host != "", count(host, ".") + 1).otherwise(0),
+        "hyphens": count(host, "-"), "path_length": F.char_length(path),
+    }
+    return {k: v.cast("double") for k, v in out.items()} | {"suffix": F.substring_index(host, ".", -2)}
+
+
+def entropy(urls: pd.Series) -> np.ndarray:
+    """Bits a byte of each URL, all at once."""
+    raw = [u.encode() for u in urls.fillna("")]
+    n = np.array([len(r) for r in raw], np.int64)
+    out = np.zeros(len(raw))
+    for lo in range(0, len(raw), 4096):  # 256 counts a row
+        size = n[lo : lo + 4096]
+        owner = np.repeat(np.arange(len(size)), size)
+        count = np.bincount(owner * 256 + np.frombuffer(b"".join(raw[lo : lo + 4096]), np.uint8), minlength=256 * len(size)).reshape(-1, 256)
+        share = count / np.maximum(size, 1)[:, None]
+        out[lo : lo + 4096] = -(share * np.log2(np.where(share > 0, share, 1))).sum(1)
     return out
 
 
@@ -145,50 +156,60 @@ class BoostedTrees:
 
 @dataclass
 class UrlModel:
+    """Trees, and block rate and count of each suffix in the sample. Tables have ``url``, ``suffix`` and the native features."""
+
     trees: BoostedTrees
     rates: dict[str, tuple[float, float]]
     base: float
 
+    def features(self, rows: pd.DataFrame) -> np.ndarray:
+        rate, seen = (rows["suffix"].map({k: v[i] for k, v in self.rates.items()}).fillna(other).to_numpy(float) for i, other in ((0, self.base), (1, 0.0)))
+        own = {"entropy": entropy(rows["url"]), "suffix_rate": rate, "suffix_seen": seen} | {f: rows[f].to_numpy(float) for f in _NATIVE}
+        return np.stack([own[f] for f in FEATURES], 1)
+
     @classmethod
     def fit(cls, labelled: pd.DataFrame) -> UrlModel:
-        """``labelled``: url, host, path and y (1: block). Rates of a suffix leave out the row's own label when fitting."""
+        """``y``: 1 for block. Rates of a suffix leave out the row's own label when fitting."""
         y = labelled["y"].to_numpy(float)
         base = float((y.sum() + 1) / (len(y) + 2))
-        ends = labelled["host"].map(suffix)
-        stats = labelled.groupby(ends)["y"].agg(["sum", "count"]) if len(labelled) else pd.DataFrame(columns=["sum", "count"])
-        rates = {k: (float((r["sum"] + 4 * base) / (r["count"] + 4)), float(np.log1p(r["count"]))) for k, r in stats.iterrows()}
-        x = lexical(labelled["url"], labelled["host"], labelled["path"], rates, base)
+        stats = labelled.groupby("suffix")["y"].agg(["sum", "count"]) if len(labelled) else pd.DataFrame(columns=["sum", "count"])
+        model = cls(BoostedTrees(), {k: (float((r["sum"] + 4 * base) / (r["count"] + 4)), float(np.log1p(r["count"]))) for k, r in stats.iterrows()}, base)
+        x = model.features(labelled)
         if len(y):
-            n, s = ends.map(stats["count"]).to_numpy(float), ends.map(stats["sum"]).to_numpy(float)
+            n, s = (labelled["suffix"].map(stats[c]).to_numpy(float) for c in ("count", "sum"))
             x[:, FEATURES.index("suffix_rate")] = (s - y + 4 * base) / (n - 1 + 4)
-        return cls(BoostedTrees().fit(x, y), rates, base)
+        model.trees.fit(x, y)
+        return model
 
-    def score(self, url: pd.Series, host: pd.Series, path: pd.Series) -> np.ndarray:
-        return self.trees.predict(lexical(url, host, path, self.rates, self.base))
+    def score(self, rows: pd.DataFrame) -> np.ndarray:
+        return self.trees.predict(self.features(rows))
 
 
 def judge_urls(df: DataFrame, key: str, url: str, rules: list[Rule], sample: int = 20_000, cut: float = 0.5) -> DataFrame:
-    """Verdict on every URL: key, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (the trees' probability of block).
+    """Verdict on every URL: key, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (the trees' probability of block, null where a rule decides).
 
     The trees are fitted on at most ``sample`` distinct URLs that a rule labels, those with
-    the least hash of the URL, so the sample does not depend on row order. They run for
-    all rows in Arrow batches; where a rule fits, its verdict stands. Null URLs and URLs
+    the least hash of the URL, so the sample does not depend on row order. Where a rule fits, its verdict stands; the other
+    URLs alone go through the trees, in Arrow batches, with features from Spark's functions. Null URLs and URLs
     without ``://`` have empty host and path, fit no rule and are judged by the trees. Repeated rows
-    are judged alike. Without labelled URLs every other URL is allowed. Other columns are dropped.
+    are judged alike. Without labelled URLs every other URL is allowed. An empty table gives an empty table. Other columns are dropped.
     """
     host, path = host_and_path(F.col("url"))
     rows = df.select(F.col(key).alias("key"), F.col(url).alias("url")).withColumn("host", host).withColumn("path", path)
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    known = rows.filter(F.col("rule").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
-    fitted = UrlModel.fit(hash_sample(known.distinct(), "url", sample).toPandas())
-    shared = df.sparkSession.sparkContext.broadcast(fitted)
+    own = lexical(F.col("url"), F.col("host"), F.col("path"))
+    known = rows.filter(F.col("rule").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y")).distinct()
+    picked = hash_sample(known, "url", sample).select("url", "y", *[c.alias(n) for n, c in own.items()])
+    shared = df.sparkSession.sparkContext.broadcast(UrlModel.fit(picked.toPandas()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = shared.value.score(b["url"], b["host"], b["path"])
-            yield b.assign(score=s, verdict=b["verdict"].where(b["verdict"].notna(), np.where(s > cut, "block", "allow"))).drop(columns="url")
+            s = shared.value.score(b)
+            yield b[["key", "host", "path"]].assign(rule=None, verdict=np.where(s > cut, "block", "allow"), score=s)
 
     kind = dict(rows.dtypes)["key"]
-    out = rows.mapInPandas(run, f"key {kind}, host string, path string, rule string, verdict string, score double")
-    return out.withColumnRenamed("key", key)
+    rest = rows.filter(F.col("rule").isNull()).select("key", "url", "host", "path", *[c.alias(n) for n, c in own.items()])
+    judged = rest.mapInPandas(run, f"key {kind}, host string, path string, rule string, verdict string, score double")
+    decided = rows.filter(F.col("rule").isNotNull()).select("key", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("score"))
+    return decided.unionByName(judged).withColumnRenamed("key", key)

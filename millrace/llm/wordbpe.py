@@ -2,9 +2,9 @@
 
 The tokenizers library gives the ids of a word; what is worked out here is only where words
 begin and end. Two splits are known: byte-level BPE with its own pattern, and a lower-casing split with
-word ends. Other tokenizers, texts with an added token's string in them, and texts with
-characters that are newer than Unicode 3.2 (whose classes differ between
-libraries) go through the library as whole texts.
+word ends. Where a text has characters that are newer than Unicode 3.2 (whose classes differ between
+libraries), the library's own split says where its words are. Other tokenizers, texts with an added token's string in them, and such
+texts under the lower-casing split go through the library as whole texts.
 """
 
 from __future__ import annotations
@@ -107,6 +107,8 @@ class WordCoder:
 
     def _slots(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         mask = len(self.keys) - 1
+        if self.n + len(keys) > mask:
+            raise ValueError("no room for so many words")
         slot, left = (keys & U(mask)).astype(np.int64), np.arange(len(keys))
         while len(left):
             s = slot[left]
@@ -139,7 +141,15 @@ class WordCoder:
         whole = np.zeros(len(texts), bool)
         if (odd := kind == UNSURE).any():
             whole[np.searchsorted(ends, np.flatnonzero(odd))] = True
-        lo, hi = self.split(cp, kind)
+        lo, hi = self.split(cp, kind) if self.split else (np.empty(0, np.int64),) * 2
+        if whole.any() and self.split and not self.lower:
+            first = np.append(0, ends[:-1] + 1)
+            cut = [(first[i] + a, first[i] + b) for i in np.flatnonzero(whole) for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(texts[i])]
+            own = ~whole[np.searchsorted(ends, lo)]
+            lo, hi = np.concatenate([np.stack([lo, hi], 1)[own], np.array(cut, np.int64).reshape(-1, 2)]).T
+            order = np.argsort(lo, kind="stable")
+            lo, hi = lo[order], hi[order]
+            whole[:] = False
         keys = spans(prefix(cp.astype(U) + U(1)), lo, hi)
         for i in np.flatnonzero(hi - lo > _LONG_WORD):
             keys[i] = int.from_bytes(hashlib.blake2b(joined[lo[i] : hi[i]].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
@@ -197,8 +207,10 @@ class WordCoder:
         """Room for twice as many words."""
         old, self.keep_words = self.keys[self.keys != 0], 2 * self.keep_words
         at = self._find(old)
+        n, self.n = self.n, 0
         self.keys, self.at = np.zeros(2 * len(self.keys), U), np.zeros(2 * len(self.at), np.int32)
         self._slots(old, at)
+        self.n = n
 
     def put(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Like :meth:`encode`, from kept words alone; a word that is not kept is an error."""

@@ -81,6 +81,38 @@ def test_decode_joins_any_ids(spark):
     assert [r.decoded for r in bpe.decode(df, "ids", path).collect()] == [library(BYTES).decode(x, skip_special_tokens=False) for x in ids] + [""]
 
 
+def test_more_words_than_room(spark, monkeypatch):
+    """Tables of 16 words: texts with many more of them are encoded all the same, and a full table is an error, not a loop."""
+    made = WordCoder.__init__
+    monkeypatch.setattr(WordCoder, "__init__", lambda self, path, keep_words=16: made(self, path, 16))
+    text = " ".join(f"word{i}" for i in range(700))
+    path = public_tokenizers.path(BYTES)
+    parts = bpe._parts(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text")
+    rows = [r.word for b in [parts.select("text", "part").toArrow().to_batches()] for x in bpe._distinct(iter(b), path) for r in x.to_pandas().itertuples()]
+    assert len(rows) == len(set(rows)) > 700
+    c = WordCoder(path)
+    with pytest.raises(ValueError, match="no room"):
+        c._slots(np.arange(1, 100, dtype=np.uint64), np.arange(99))
+    ids, _ = c.encode([text])
+    assert ids.tolist() == library(BYTES).encode(text, add_special_tokens=False).ids
+
+
+def test_texts_with_new_characters_go_through_the_table():
+    c = WordCoder(public_tokenizers.path(BYTES))
+    texts = ["plain words", "emoji 🫨 here's one", "", "two \U0001fae8\U0001fae8  x\n\u0378y", "end"]
+    _, lo, hi, _, first, whole = c.words(texts)
+    assert not whole.any() and first.tolist() == np.append(0, np.cumsum([len(c.tokenizer.pre_tokenizer.pre_tokenize_str(t)) for t in texts])).tolist()
+    assert (lo[1:] >= hi[:-1]).all()
+
+
+def test_decode_errors(spark):
+    df = spark.createDataFrame([(bytearray(brute.id_bytes([60_000])), "x")], "ids binary, decoded string")
+    with pytest.raises(ValueError, match="already"):
+        bpe.decode(df, "ids", public_tokenizers.path(BYTES))
+    with pytest.raises(Exception, match="without a piece"):
+        bpe.decode(df.drop("decoded"), "ids", public_tokenizers.path(BYTES)).collect()
+
+
 def test_bin_tree_is_first_fit_decreasing():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 50, 333):
@@ -154,6 +186,38 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0), "doc_id", 10, {"size": F.lit(1)}).collect() == []
 
 
+def test_walks_are_jump_hashing(spark):
+    """A plain walk, one key after another, gives the same shards, also where the first fold is too short for it."""
+    import hashlib
+    import math
+
+    def plain(key, n):
+        at, i = 0, 1
+        while True:
+            u = (int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:8], 16) + 1) / 2**32
+            to = math.floor((at + 1) / u)
+            if to >= n:
+                return at
+            at, i = to, i + 1
+
+    keys = [*range(200), None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for steps in (None, 2):
+        got = df.select("k", sharding.jump_shard(F.col("k"), 40, 41, 1000, most_steps=steps).alias("s")).collect()
+        assert all(r.s == [plain("" if r.k is None else r.k, n) for n in (40, 41, 1000)] for r in got) and len(got) == 201
+
+
+def test_token_files_refuse_what_does_not_fit(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    path = public_tokenizers.path(BYTES)
+    with pytest.raises(ValueError, match="more than 1 bytes"):
+        token_files.write_tokens(df, "doc_id", "text", path, 0, width=1)
+    with pytest.raises(ValueError, match="more than 2 bytes"):
+        token_files.write_tokens(df, "doc_id", "text", path, 1 << 16)
+    with pytest.raises(ValueError, match="integers"):
+        token_files.write_tokens(df.select(F.col("doc_id").cast("string"), "text"), "doc_id", "text", path, 0)
+
+
 def test_token_files(spark, tmp_path):
     df, rows = odd_docs(spark)
     path = public_tokenizers.path(BYTES)
