@@ -2,7 +2,8 @@
 
 Segments whose anchor gram repeats (:mod:`millrace.llm.repeats`) are dealt by anchor, so equal strings
 meet, and are put together to shards of about two million bytes. A segment goes in once; one that occurs several times as a
-whole goes in twice, with the bytes of its first and its last place. Each shard is sorted as a
+whole goes in twice, with the bytes of its first and its last place. Where nothing else has its anchor, neighbours of such segments with the
+same first and last texts go in as one long string, so their bytes are sorted once. Each shard is sorted as a
 suffix array by Larsson and Sadakane's refinement, with Kasai's common prefixes; strings that repeat are
 read off the array. An anchor with more segments than a shard holds is split over several shards; what repeats between them is
 found by merging the sorted runs of their strings (128-bit hashes) by binary search.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import U, prefix, ragged, spans
@@ -27,7 +29,9 @@ LONGEST = 1 << 21
 #: Bytes of a shard, with room for a last segment's two strings.
 SHARD = LONGEST - 4 * WIDEST
 #: Strings of split anchors that are merged at a time.
-MERGED = 1 << 19
+MERGED = 1 << 11
+#: Windows of a long string, about.
+LONG = 1 << 16
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +177,21 @@ def _shards(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(waiting)
 
 
+def _runs(alone: DataFrame) -> DataFrame:
+    """Segments that are the only ones with their anchor, each with the run (``r1``, ``r2``, ``run``) of neighbours that have the same two texts.
+
+    The window is over the segments of one text.
+    """
+    segs = alone.select(*SEGMENT, "first.*", F.col("last.key").alias("last_key"), F.col("last.tie").alias("last_tie"), F.col("last.place").alias("last_place"))
+    segs = segs.select(*SEGMENT, "key", *place_columns(), "last_key", "last_tie", F.col("last_place").alias("place"))
+    segs = segs.select(*SEGMENT, "key", "tie", "at", "n", "last_key", "last_tie", place_columns()[1].alias("last_at"))
+    own = W.partitionBy("key", "tie").orderBy("at")
+    before = F.lag(F.struct(F.col("at") + F.col("n"), "last_key", "last_tie", F.col("last_at") + F.col("n"), F.floor(F.col("at") / LONG))).over(own)
+    follows = before.eqNullSafe(F.struct("at", "last_key", "last_tie", "last_at", F.floor(F.col("at") / LONG)))
+    run = F.sum(F.when(follows, 0).otherwise(1)).over(own.rowsBetween(W.unboundedPreceding, 0))
+    return segs.withColumn("run", run).withColumn("r1", F.xxhash64("key", "tie", "run")).withColumn("r2", F.xxhash64(F.lit(1), "tie", "key", "run"))
+
+
 def repeated_strings(df: DataFrame, width: int, shard_bytes: int = SHARD) -> DataFrame:
     """(key, tie, at, n): runs of positions whose strings of ``width`` bytes also start anywhere else. ``df``: key, tie, text."""
 
@@ -185,10 +204,15 @@ def repeated_strings(df: DataFrame, width: int, shard_bytes: int = SHARD) -> Dat
     most = max(1, shard_bytes // (4 * width))
     parts = F.ceil(F.col("total") / most).cast("int")
     salt = F.when(parts > 1, F.pmod(F.col("whole"), parts) + 1).otherwise(0).cast("int")
-    kinds = repeated(found.distinct, ["anchor"], ["whole"], least=1).withColumn("salt", salt).withColumn("many", F.col("copies") > 1)
+    kinds = keep(repeated(found.distinct, ["anchor"], ["whole"], least=1).withColumn("salt", salt).withColumn("many", F.col("copies") > 1), "kinds")
     columns = ["anchor", "salt", "whole", "also", "many"]
-    places = kinds.select(*columns, F.explode(F.when(F.col("many"), F.array("first", "last")).otherwise(F.array("first"))).alias("p")).select(*columns, "p.*")
-    wanted = places.select("key", *place_columns(), *columns)
+    mixed = kinds.filter("total > 1")
+    places = mixed.select(*columns, F.explode(F.when(F.col("many"), F.array("first", "last")).otherwise(F.array("first"))).alias("p")).select(*columns, "p.*")
+    runs = keep(_runs(kinds.filter("total = 1")), "runs")
+    joined = runs.groupBy("r1", "r2", "run").agg(F.min(F.struct("at", "key", "tie")).alias("first"), F.min(F.struct("last_at", "last_key", "last_tie")).alias("last"), F.sum("n").alias("n"))
+    both = F.explode(F.array(F.struct("first.at", "first.key", "first.tie"), F.struct(F.col("last.last_at").alias("at"), F.col("last.last_key").alias("key"), F.col("last.last_tie").alias("tie")))).alias("p")
+    long = joined.select("n", F.col("r1").alias("anchor"), F.lit(0).alias("salt"), F.col("r2").alias("whole"), F.col("run").alias("also"), F.lit(True).alias("many"), both)
+    wanted = places.select("key", *place_columns(), *columns).drop("lead").unionByName(long.select("p.key", "p.tie", "p.at", "n", *columns))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +256,8 @@ def repeated_strings(df: DataFrame, width: int, shard_bytes: int = SHARD) -> Dat
     dealt = strings.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "whole", "also")
     done = keep(dealt.mapInArrow(sort, _FOUND.format(kind=kind)), "sorted")
     alike = done.filter("what = 1").select(F.col("x").alias("anchor"), F.col("y").alias("whole"), F.col("z").alias("also")).distinct()
-    plain = found.rows.join(alike, SEGMENT, "left_semi").select("key", *place_columns()).drop("lead")
+    of_runs = runs.join(alike.toDF("r1", "r2", "run"), ["r1", "r2", "run"]).select(*SEGMENT)
+    plain = found.rows.join(alike.unionByName(of_runs), SEGMENT, "left_semi").select("key", *place_columns()).drop("lead")
 
     def merge(bucket: pa.Table) -> pa.Table:
         """A range of hashes from all shards. Each shard's part is a run; a string of one run is looked for in all runs together."""
