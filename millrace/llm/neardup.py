@@ -247,7 +247,8 @@ def _rest(members: DataFrame, roots: DataFrame | None, texts: DataFrame, k: int,
     placed = keep(placed, "placed")
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("family"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
-    family = keep(placed.join(largest, "bucket").select("family", "node", "root").distinct(), "families")
+    # Written first, so the join below is nothing but a join, which Spark splits where a bucket is large.
+    family = keep(placed.join(keep(largest, "largest"), "bucket").select("family", "node", "root").distinct(), "families")
     sets = keep(_with_sets(texts.join(family.select("node").distinct(), "node", "left_semi"), k, "set"), "rest")
     asks = F.col("root") != F.col("family")
     blocks = lambda n, most: F.ceil(n / F.lit(float(most))).cast("int")
