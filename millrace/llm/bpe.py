@@ -29,7 +29,7 @@ from millrace.llm.wordbpe import PIECE, WordCoder, word_key
 _PAGE = 1 << 16
 
 
-def _parts(df: DataFrame, key: str, text: str, rows: int = 8192) -> DataFrame:
+def _parts(df: DataFrame, key: str, text: str, rows: int = 12288) -> DataFrame:
     """key, text, and ``part``: which ``rows`` rows of which file a row is among; every scan says the same. Rows that come from no file are written to one first."""
     part = F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {rows}")).alias("part")
     mine = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -169,7 +169,7 @@ def _text_pages(parts: DataFrame, kind: str) -> DataFrame:
     """About a megabyte of texts to a row, compressed: a third of what single rows take in a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             marks = batch.column(2).to_numpy()
             for lo, hi in _same(marks):
