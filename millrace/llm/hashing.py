@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 
 U = np.uint64
-#: Odd multipliers; an odd number has an inverse modulo 2**64. Two bases give two independent hashes, 128 bits together.
+#: Odd multipliers; an odd number has an inverse modulo 2**64. 
 _BASES, _GOLD = (U(0x9E3779B97F4A7C55), U(0xD1342543DE82EF95)), U(0x9E3779B97F4A7C15)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: The white space of words, [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Sums of powers modulo 2**64 cannot tell some texts of a thousand characters and more apart; such words get another hash.
+#: Longer words are hashed one by one.
 _LONG_WORD = 256
 
 
@@ -43,7 +46,11 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(values: np.ndarray, which: int = 0) -> np.ndarray:
-    """Sums of values[j] * base**j for j < i, for each i from 0 to n."""
+    """Sums of values[j] * base**j for j < i, for each i from 0 to n.
+
+    Such sums modulo 2**64 are linear, and some strings of a hundred symbols agree in every odd base. So they only choose
+    places (grams) and never say that two strings are equal; :func:`word_hashes` and :func:`digests` do.
+    """
     up, _ = powers(max(1, len(values)), which)
     out = np.zeros(len(values) + 1, U)
     np.cumsum(values * up[: len(values)], out=out[1:])
@@ -75,12 +82,30 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
-    out = spans(prefix(data.astype(U) + U(1), which), lo, hi, which)
-    for i in np.flatnonzero(hi - lo > _LONG_WORD):
+    """Hashes of data[lo:hi], eight bytes a round, mixed with what was there, so no sum of symbols cancels out; those of eight bytes or less and one length never agree."""
+    n = (hi - lo).astype(np.int64)
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix(n.astype(U) * _GOLD + _BASES[which])
+    rows = np.flatnonzero((n > 0) & (n <= _LONG_WORD))
+    done = 0
+    while len(rows):
+        here = n[rows] - done
+        have = eight[lo[rows] + done] & _BYTES[np.minimum(here, 8)]
+        out[rows] = mix((out[rows] ^ have) * _BASES[which]) + (have * _M1 if done else U(0))
+        rows, done = rows[here > 8], done + 8
+    for i in np.flatnonzero(n > _LONG_WORD):
         out[i] = int.from_bytes(hashlib.blake2b(data[lo[i] : hi[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
     return out
 
 
+def digests(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2 of 128 bits of the rows values[lo:hi], as two columns."""
+    raw, step = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize * int(np.prod(values.shape[1:]))
+    make = functools.partial(hashlib.blake2b, digest_size=16)
+    out = np.frombuffer(b"".join([make(raw[a:b]).digest() for a, b in zip((lo * step).tolist(), (hi * step).tolist(), strict=True)]), U).reshape(-1, 2)
+    return out[:, 0].copy(), out[:, 1].copy()
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words (n - k + 1 of them, over text bounds too)."""
     n = len(words) - k + 1

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.hashing import U, KeySet, mix, prefix, ragged, spans
+from millrace.llm.hashing import U, KeySet, digests, mix, prefix, ragged, spans
 from millrace.llm.tables import keep, key_filter, may_have, pieces
 
 #: A place: bits of the first window's number, of how many windows, and of how far the anchor is from the first window's start.
@@ -59,8 +59,8 @@ class Segments:
     lead: np.ndarray
 
 
-def segments(values: np.ndarray, more: np.ndarray, first: np.ndarray, width: int, gram_size: int, run: int = _RUN) -> Segments:
-    """``values``, ``more``: two hashes of each unit; ``first``: offsets of the texts in them (n + 1). ``at`` counts from the text's start.
+def segments(values: np.ndarray, units: np.ndarray, first: np.ndarray, width: int, gram_size: int, run: int = _RUN) -> Segments:
+    """``values``: a hash of each unit, for the choice of anchors; ``units``: rows that tell units apart; ``first``: offsets of the texts in them (n + 1). ``at`` counts from the text's start.
 
     Texts of more than ``run`` units together are looked at one by one, and a longer one in runs that overlap by a window less one unit.
     """
@@ -70,7 +70,7 @@ def segments(values: np.ndarray, more: np.ndarray, first: np.ndarray, width: int
             step = run - width + 1
             for a in range(lo, max(lo + 1, hi - width + 1), step):
                 b = min(hi, a + run)
-                s = segments(values[a:b], more[a:b], np.array([0, b - a]), width, gram_size, run)
+                s = segments(values[a:b], units[a:b], np.array([0, b - a]), width, gram_size, run)
                 parts.append(Segments(s.anchor, s.whole, s.also, s.text + i, s.at + (a - lo), s.n, s.lead))
         return Segments(*[np.concatenate([getattr(p, f) for p in parts]) for f in Segments.__dataclass_fields__])
     k = gram_size
@@ -96,8 +96,8 @@ def segments(values: np.ndarray, more: np.ndarray, first: np.ndarray, width: int
     n = np.diff(np.append(new, len(starts)))
     lead = anchor - at
     end = at + n - 1 + width
-    whole = mix(spans(pre, at, end) + lead.astype(U) * U(0xD6E8FEB86659FD93))
-    also = mix(spans(prefix(more, 1), at, end, 1) + lead.astype(U))
+    # The anchor's place is part of a segment's identity.
+    whole, also = (mix(d + lead.astype(U)) for d in digests(units, at, end))
     text = np.searchsorted(first, at, "right") - 1
     return Segments(gram[anchor], whole, also, text, at - first[text], n, lead)
 
@@ -165,7 +165,7 @@ SEGMENT = ["anchor", "whole", "also"]
 
 
 def find_repeats(df: DataFrame, units: Callable, width: int, gram_size: int, piece: int = 1 << 19) -> Repeats:
-    """``df`` has key, tie and text. ``units``: from bytes and offsets of a run of texts to two hashes of each unit and the texts' offsets."""
+    """``df`` has key, tie and text. ``units``: from bytes and offsets of a run of texts to a hash of each unit, rows that tell units apart, and the texts' offsets."""
     if not 0 < width <= WIDEST:
         raise ValueError(f"a window has 1 to {WIDEST} units")
     found = _find(df, units, width, gram_size, piece)

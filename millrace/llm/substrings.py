@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.hashing import prefix, ragged, spans, word_bounds, word_hashes
+from millrace.llm.hashing import digests, ragged, word_bounds, word_hashes
 from millrace.llm.repeats import PLACE, SEGMENT, covered, find_repeats, flat, inside, join_lists, place_columns, repeated, window_lists, with_texts
 from millrace.llm.tables import identified, keep, pieces
 
 
 def _words(data: np.ndarray, at: np.ndarray):
     lo, hi, first = word_bounds(data, at)
-    return word_hashes(data, lo, hi), word_hashes(data, lo, hi, 1), first
+    one = word_hashes(data, lo, hi)
+    return one, np.stack([one, word_hashes(data, lo, hi, 1)], 1), first
 
 
 def lengths(width: int, least: int = 5) -> list[int]:
@@ -61,7 +62,7 @@ def _level(windows: DataFrame, df: DataFrame, have: int, want: int, width: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at_ in pieces(batch, "text", 1 << 19):
-                one, two, begin = _words(data, at_)
+                _, words, begin = _words(data, at_)
                 row, (at, n, lead) = flat(part.column(3), PLACE)
                 inside(at, at + n - 1 + width, np.diff(begin)[row])
                 if want == width:
@@ -70,7 +71,7 @@ def _level(windows: DataFrame, df: DataFrame, have: int, want: int, width: int)
                     back, at, n, lead = extend(at, n, lead, have, want, width)
                     owner = row[back]
                 lo = begin[owner] + at + lead
-                hashes = [pa.array(spans(prefix(v, i), lo, lo + want, i).view(np.int64)) for i, v in enumerate((one, two))]
+                hashes = [pa.array(d.view(np.int64)) for d in digests(words, lo, lo + want)]
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([*hashes, part.column(0).take(take), part.column(1).take(take), pa.array(at), pa.array(n), pa.array(lead)], names=["hash", "also", "key", "tie", *PLACE])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.hashing import U, prefix, ragged, spans
+from millrace.llm.hashing import U, digests, ragged
 from millrace.llm.repeats import SEGMENT, WIDEST, covered, find_repeats, flat, inside, join_lists, place_columns, repeated, window_lists, with_texts
 from millrace.llm.tables import identified, keep, pieces, text_bytes
 
@@ -196,8 +196,7 @@ def repeated_strings(df: DataFrame, width: int, shard_bytes: int = SHARD) -> Dat
     """(key, tie, at, n): runs of positions whose strings of ``width`` bytes also start anywhere else. ``df``: key, tie, text."""
 
     def units(data: np.ndarray, at: np.ndarray):
-        bytes_ = data.astype(U) + U(1)
-        return bytes_, bytes_, at
+        return data.astype(U) + U(1), data, at
 
     found = find_repeats(df, units, width, max(1, width // 4), 1 << 19)
     kind = dict(df.dtypes)["key"]
@@ -247,8 +246,7 @@ def repeated_strings(df: DataFrame, width: int, shard_bytes: int = SHARD) -> Dat
             rest = np.flatnonzero(shard.column(1).to_numpy()[owner] > 0)
             if len(rest):
                 rest = rest[np.unique(classes[rest], return_index=True)[1]]
-                values = data.astype(U) + U(1)
-                one, two = (spans(prefix(values, i), starts[rest], starts[rest] + width, i).view(np.int64) for i in (0, 1))
+                one, two = (d.view(np.int64) for d in digests(data, starts[rest], starts[rest] + width))
                 mark = int.from_bytes(hashlib.blake2b(one.tobytes(), digest_size=7).digest(), "little") + number
                 yield _sent(2, shard, owner[rest], one, two, np.full(len(rest), mark), starts[rest] - at[owner[rest]], (~again[rest]).astype(np.int64))
 

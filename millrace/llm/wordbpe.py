@@ -10,7 +10,6 @@ texts under the lower-casing split go through the library as whole texts.
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 import os
 import unicodedata
@@ -18,14 +17,13 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from millrace.llm.hashing import U, prefix, ragged, spans
+from millrace.llm.hashing import U, ragged, word_hashes
 
 OTHER, LETTER, NUMBER, BLANK, END, UNSURE = range(6)
 #: White space of Unicode 3.2 as patterns with \\s know it.
 _BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The pattern of the lower-casing split.
 _CLIP_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LONG_WORD = 200
 #: Characters at once; a longer text comes alone.
 PIECE = 1 << 19
 
@@ -150,10 +148,7 @@ class WordCoder:
             order = np.argsort(lo, kind="stable")
             lo, hi = lo[order], hi[order]
             whole[:] = False
-        keys = spans(prefix(cp.astype(U) + U(1)), lo, hi)
-        for i in np.flatnonzero(hi - lo > _LONG_WORD):
-            keys[i] = int.from_bytes(hashlib.blake2b(joined[lo[i] : hi[i]].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        keys[keys == 0] = 1
+        keys = _keys(joined, cp, lo, hi)
         return joined, lo, hi, keys, np.append(0, np.searchsorted(lo, ends)), whole
 
     def _normal(self, text: str) -> str | None:
@@ -287,14 +282,20 @@ def coder(path: str) -> WordCoder:
     return WordCoder(path, 1 << 20)
 
 
+def _keys(joined: str, cp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words' bytes in UTF-8, none of them 0."""
+    raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) > len(cp):
+        at = np.zeros(len(cp) + 1, np.int64)
+        np.cumsum(1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000), out=at[1:])
+        lo, hi = at[lo], at[hi]
+    keys = word_hashes(raw, lo, hi)
+    keys[keys == 0] = 1
+    return keys
+
+
 def word_key(words: list[str]) -> np.ndarray:
     """Keys of whole words, as :meth:`WordCoder.words` gives them."""
     joined = "".join(words)
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     hi = np.cumsum(np.array([len(w) for w in words], np.int64)) if words else np.empty(0, np.int64)
-    lo = hi - np.array([len(w) for w in words], np.int64)
-    keys = spans(prefix(cp.astype(U) + U(1)), lo, hi)
-    for i in np.flatnonzero(hi - lo > _LONG_WORD):
-        keys[i] = int.from_bytes(hashlib.blake2b(words[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    keys[keys == 0] = 1
-    return keys
+    return _keys(joined, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.append(0, hi[:-1])[: len(hi)], hi)
