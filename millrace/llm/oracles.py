@@ -65,4 +65,44 @@ left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS s FROM (SELECT d.do
 SELECT k.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(g) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM kept k LEFT JOIN left_ USING (doc_id)
 """
 
-ORACLE = {"op3_near_duplicates": NEAR_DUPLICATES, "op5_sharding": SHARDING, "op6_suffixes": SUFFIXES, "op9_substrings": SUBSTRINGS}
+#: All phrases of one to five words, counted; parts looked up; the least cut; ranks.
+PHRASES = r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS p FROM docs)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+counts AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS p, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) t(k)) GROUP BY ALL HAVING count(*) >= 100),
+longer AS (SELECT * FROM counts WHERE k > 1),
+covered AS (SELECT DISTINCT lang, f, unnest([array_to_string(list_slice(string_split(p, ' '), 1, k - 1), ' '), array_to_string(list_slice(string_split(p, ' '), 2, k), ' ')]) AS p FROM longer WHERE k > 2),
+left_ AS (SELECT * FROM longer x WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = x.lang AND c.p = x.p AND c.f = x.f)),
+cuts AS (SELECT lang, p, f AS a, c, array_to_string(list_slice(string_split(p, ' '), 1, c), ' ') AS head, array_to_string(list_slice(string_split(p, ' '), c + 1, k), ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS c FROM left_)),
+scored AS (SELECT cuts.lang, cuts.p, a, c, h.f AS l, t.f AS r, n, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+ FROM cuts JOIN counts h ON h.lang = cuts.lang AND h.p = head JOIN counts t ON t.lang = cuts.lang AND t.p = tail JOIN totals ON totals.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM best)
+SELECT lang, rank, p AS phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def _lloyd(size: int, k: int, rounds: int, scale: int, seed: int) -> str:
+    """Plain rounds, one after another: the distance to each centroid, the nearest of least number, and floors of exact means."""
+    near = lambda c: f"SELECT vec_id, v, c AS cluster, d FROM (SELECT vec_id, v, c, list_sum(list_transform(range(1, {size + 1}), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS d FROM kept, {c}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT v, sha256(concat('{seed}:', vec_id)) AS h FROM kept ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"a{r} AS MATERIALIZED ({near(f'c{r}')})",
+            f"s{r} AS (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, {size + 1})) AS i FROM a{r}) GROUP BY cluster, i)",
+            f"m{r} AS (SELECT cluster, list(t // n - CASE WHEN t % n < 0 THEN 1 ELSE 0 END ORDER BY i) AS m FROM s{r} GROUP BY cluster)",
+            f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN m{r} ON c = cluster)",
+        ]
+    last = f"last AS MATERIALIZED ({near(f'c{rounds}')})"
+    return f"""WITH {", ".join([*steps, last])}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM last JOIN c{rounds} ON c = cluster"""
+
+
+CENTROIDS = _lloyd(64, 8, 10, 1024, 3)
+
+ORACLE = {"op11_phrases": PHRASES, "op13_centroids": CENTROIDS, "op3_near_duplicates": NEAR_DUPLICATES, "op5_sharding": SHARDING, "op6_suffixes": SUFFIXES, "op9_substrings": SUBSTRINGS}

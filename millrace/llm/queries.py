@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprints, neardup, packing, quality, sharding, substrings, suffixes, token_files, urls
+from millrace.llm import bpe, centroids, fingerprints, neardup, packing, phrases, quality, sharding, substrings, suffixes, token_counts, token_files, urls
 from millrace.llm.oracles import ORACLE
 from millrace.llm.tables import small_batches
 
 #: The columns that the operators read; the tables may have more.
-SCHEMAS = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "pages": "page_id bigint, url string", "labels": "doc_id bigint, quality int, toxic int"}
+SCHEMAS = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "pages": "page_id bigint, url string", "labels": "doc_id bigint, quality int, toxic int", "embeddings": "vec_id bigint, embedding array<float>"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,19 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_near_duplicates, op4_packing, op5_sharding, op6_suffixes, op7_quality, op8_token_files, op9_substrings, op10_url_filters)}
+def op11_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.collocations(table(spark, d, "documents"), "lang", "text", 100, 5, 2000, "und")
+
+
+def op12_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, d, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+def op13_centroids(spark: SparkSession, d: str) -> DataFrame:
+    assigned, found = centroids.cluster(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 8, 10, 1024, 3)
+    return centroids.with_inertia(assigned, found)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_near_duplicates, op4_packing, op5_sharding, op6_suffixes, op7_quality, op8_token_files, op9_substrings, op10_url_filters, op11_phrases, op12_token_counts, op13_centroids)}
 
 __all__ = ["ORACLE", "QUERIES", "table"]
