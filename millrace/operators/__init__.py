@@ -4,8 +4,9 @@ from millrace.operators.curate import (
     profile, verify_membership,
 )
 from millrace.operators.infer import predict
+from millrace.operators.similar import exclude_similar, representatives
 
 __all__ = [
-    "annotate", "classify_counts", "count_by", "dedup_exact", "exclude_contained", "exclude_overlap", "identify",
-    "integrate", "predict", "profile", "verify_membership",
+    "annotate", "classify_counts", "count_by", "dedup_exact", "exclude_contained", "exclude_overlap", "exclude_similar", "identify",
+    "integrate", "predict", "profile", "representatives", "verify_membership",
 ]

@@ -60,3 +60,36 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+
+
+class Workspace:
+    """Intermediate tables of one operator in the shared folder: work done once, lineage cut, lost executors survived.
+
+    The one who opens it holds the names, so two operators at a time never touch each other's tables. When it closes, all tables but the
+    result go, also after a failure.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table and read it back."""
+        path = new_path(self.spark, name)
+        self._paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Like :meth:`keep`, for a table that stays."""
+        out = self.keep(df, name)
+        self._paths.pop()
+        return out
+
+    def __exit__(self, *_) -> None:
+        for path in self._paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self._paths = []
