@@ -5,18 +5,19 @@ Three scans of the texts, each in bounded blocks of one language:
 
 1. A sketch of words and of pairs of words: each task adds its counts to cells that two hashes name; cells stop at the
    least frequency wanted. A word's or phrase's lesser cell is an upper bound of its frequency.
-2. A sketch of longer phrases, only of those whose pairs all pass the first one.
+2. A sketch of longer phrases, only of those whose pairs all pass the first one; and a filter of the words that are in such pairs.
 3. The candidates of a block, whose upper bounds and those of their parts reach the frequency, go into an Aho-Corasick
    automaton; words stand between guards (one space each, pieces end in a line feed), so only whole words match. A scan counts all
-   matches, overlaps included. Counts of all blocks are summed, and only now the frequency is tested exactly.
+   matches, overlaps included. Counts are sent on as pages, dealt by a hash of the phrase, and summed; only now the frequency is tested exactly.
 
-So an error of the sketch costs time and changes no result. The sketch's size follows the size of the texts up to a fixed bound, and it is the only
+So an error of the sketch costs time and changes no result. The sketches' size follows the size of the texts up to a fixed bound, and they are the only
 thing that is broadcast. A block's candidates go into automata of a bounded size, one after another if need be.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -143,49 +144,44 @@ class Sketch:
         return (self.cells[one] >= self.top) & (self.cells[two] >= self.top)
 
 
-def _add_up(rows: DataFrame, bits: int, top: int) -> Sketch:
-    """Sum the tasks' sketches, strip by strip; each strip's partition takes them one after another. A sketch of a bounded size reaches the driver."""
+def _add_up(rows: DataFrame, bits: int, tops: list[int]) -> list[Sketch]:
+    """Sum the tasks' sketches, strip by strip; each strip's partition takes them one after another. Sketches of a bounded size reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, have = zstandard.ZstdDecompressor(), {}
         for batch in batches:
-            for strip, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(unzip.decompress(raw), Sketch(0, top).cells.dtype)
-                have[strip] = np.minimum(have[strip].astype(np.int64) + more, top).astype(more.dtype) if strip in have else more
-        for strip, cells in have.items():
-            yield pa.RecordBatch.from_arrays([pa.array([strip], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["strip", "cells"])
-
-    out = Sketch(bits, top)
-    for row in rows.repartition("strip").mapInArrow(run, "strip int, cells binary").collect():
-        cells = np.frombuffer(bytes(row.cells), out.cells.dtype)
-        out.cells[row.strip * STRIP : row.strip * STRIP + len(cells)] = cells
+            for which, strip, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                more = np.frombuffer(unzip.decompress(raw), Sketch(0, tops[which]).cells.dtype)
+                old = have.get((which, strip))
+                have[which, strip] = more if old is None else np.minimum(old.astype(np.int64) + more, tops[which]).astype(more.dtype)
+        for (which, strip), cells in have.items():
+            yield _strip(which, strip, cells.tobytes())
+
+    out = [Sketch(bits, t) for t in tops]
+    for row in rows.repartition("which", "strip").mapInArrow(run, _STRIPS).collect():
+        cells = np.frombuffer(bytes(row.cells), out[row.which].cells.dtype)
+        out[row.which].cells[row.strip * STRIP : row.strip * STRIP + len(cells)] = cells
     return out
 
 
-def _strips(sketch: Sketch) -> Iterator[pa.RecordBatch]:
+_STRIPS = "which int, strip int, cells binary"
+
+
+def _strip(which: int, strip: int, raw: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([strip], pa.int32()), pa.array([raw], pa.binary())], names=["which", "strip", "cells"])
+
+
+def _strips(sketches: list[Sketch]) -> Iterator[pa.RecordBatch]:
     zip_ = zstandard.ZstdCompressor(level=3)
-    for lo in range(0, len(sketch.cells), STRIP):
-        cells = sketch.cells[lo : lo + STRIP]
-        if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array([lo // STRIP], pa.int32()), pa.array([zip_.compress(cells.tobytes())], pa.binary())], names=["strip", "cells"])
-
-
-def _passing(block: Block, pairs: Sketch, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For 3 words and more: phrases whose pairs all pass."""
-    at, hashes = block.phrases(2)
-    good = np.zeros(len(block.words) + longest, bool)
-    good[at[pairs.passes(hashes)]] = True
-    for k in range(3, longest + 1):
-        at, hashes = block.phrases(k)
-        ok = np.ones(len(at), bool)
-        for j in range(k - 1):
-            ok &= good[at + j]
-        yield k, at[ok], hashes[ok]
+    for which, sketch in enumerate(sketches):
+        for lo in range(0, len(sketch.cells), STRIP):
+            cells = sketch.cells[lo : lo + STRIP]
+            if cells.any():
+                yield _strip(which, lo // STRIP, zip_.compress(cells.tobytes()))
 
 
-def sketches(rows: DataFrame, least: int, longest: int) -> tuple[Sketch, Sketch]:
-    """Sketches of words and pairs, and of the longer phrases whose pairs all pass the first. ``rows``: lang, text."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def sketches(rows: DataFrame, size: int, least: int, longest: int) -> tuple[Sketch, Sketch, Sketch]:
+    """Sketches of words and pairs, and of the longer phrases whose pairs all pass the first; a filter of the words in pairs that pass. ``rows``: lang, text, of ``size`` bytes in all."""
     bits = min(LARGEST, max(SMALLEST, math.ceil(math.log2(size / 4 + 1))))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,39 +189,41 @@ def sketches(rows: DataFrame, least: int, longest: int) -> tuple[Sketch, Sketch]
         for _, block in blocks(batches):
             for k in (1, 2):
                 own.add(block.phrases(k)[1])
-        yield from _strips(own)
+        yield from _strips([own])
 
-    first = _add_up(rows.mapInArrow(short, "strip int, cells binary"), bits, least)
+    first = _add_up(rows.mapInArrow(short, _STRIPS), bits, [least])[0]
     shared = rows.sparkSession.sparkContext.broadcast(first.cells)
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, own = Sketch(bits, least, shared.value), Sketch(bits, least)
+        pairs, own, inside = Sketch(bits, least, shared.value), Sketch(bits, least), Sketch(bits, 1)
         for _, block in blocks(batches):
-            for _, _, hashes in _passing(block, pairs, longest):
-                own.add(hashes)
-        yield from _strips(own)
-
-    return first, _add_up(rows.mapInArrow(long, "strip int, cells binary"), bits, least)
-
-
-def candidates(block: Block, first: Sketch, second: Sketch, longest: int) -> tuple[np.ndarray, np.ndarray]:
+            at, hashes = block.phrases(2)
+            good = np.zeros(len(block.words) + longest, bool)
+            good[at[pairs.passes(hashes)]] = True
+            _, words = block.phrases(1)
+            inside.add(words[(good | np.append(False, good[:-1]))[: len(words)]])
+            for k in range(3, longest + 1):
+                at, hashes = block.phrases(k)
+                ok = np.ones(len(at), bool)
+                for j in range(k - 1):
+                    ok &= good[at + j]
+                own.add(hashes[ok])
+        yield from _strips([own, inside])
+
+    return first, *_add_up(rows.mapInArrow(long, _STRIPS), bits, [least, 1])
+
+
+def candidates(block: Block, first: Sketch, second: Sketch, inside: Sketch, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and numbers of words of the block's distinct phrases (words too) whose upper bounds, and those of all their parts, reach the frequency."""
-    at, hashes = block.phrases(1)
-    word = np.zeros(len(block.words) + longest, bool)
-    word[at[first.passes(hashes)]] = True
-    before = word  # phrases of k - 1 words that pass, by their first words
-    found = []
+    before, found = None, []  # phrases of k - 1 words that pass, by their first words
     for k in range(1, longest + 1):
         at, hashes = block.phrases(k)
+        ok = first.passes(hashes) & inside.passes(hashes) if k == 1 else before[at] & before[at + 1]
+        at, hashes = at[ok], hashes[ok]
         if k > 1:
-            ok = before[at] & before[at + 1]
-            at, hashes = at[ok], hashes[ok]
             ok = (first if k == 2 else second).passes(hashes)
             at, hashes = at[ok], hashes[ok]
-        else:
-            ok = word[at]
-            at, hashes = at[ok], hashes[ok]
-        before = np.zeros(len(word), bool)
+        before = np.zeros(len(block.words) + longest, bool)
         before[at] = True
         _, one = np.unique(hashes, return_index=True)
         found.append((at[one], np.full(len(one), k)))
@@ -250,24 +248,61 @@ def count_matches(guarded: str, phrases: list[str]) -> np.ndarray:
     return out
 
 
+#: Ranges of phrases that pages are dealt by: one for so many bytes of text, within these bounds.
+RANGE, FEWEST, MOST = 1 << 26, 64, 4096
+#: Rows that a task sums up before it sends them on.
+HELD = 1 << 19
+
+
+def _pages(lang: str, names: list[str], counts: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """A block's counts in pages by range of phrases, compressed."""
+    zip_ = zstandard.ZstdCompressor(level=3)
+    parts: list[list[int]] = [[] for _ in range(ranges)]
+    for i, p in enumerate(names):
+        parts[zlib.crc32(p.encode()) % ranges].append(i)
+    for r, rows in enumerate(parts):
+        if rows:
+            raw = zip_.compress("\n".join([names[i] for i in rows]).encode())
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([lang], pa.string()), pa.array([raw], pa.binary()), pa.array([counts[rows].astype("<i8").tobytes()], pa.binary())], names=["range", "lang", "phrases", "counts"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages added up: a row for each language and phrase, or several if a task meets more than HELD of them."""
+    unzip, held = zstandard.ZstdDecompressor(), {}
+
+    def rows() -> pa.RecordBatch:
+        langs, names = zip(*held, strict=True) if held else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "phrase", "f"])
+
+    for batch in batches:
+        for _, lang, raw, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for p, n in zip(unzip.decompress(raw).decode().split("\n"), np.frombuffer(counts, "<i8").tolist(), strict=True):
+                held[lang, p] = held.get((lang, p), 0) + n
+            if len(held) > HELD:
+                yield rows()
+                held.clear()
+    yield rows()
+
+
 def frequent(rows: DataFrame, least: int, longest: int) -> DataFrame:
-    """(lang, phrase, size, f): all phrases of 1 to ``longest`` words with a frequency of ``least`` or more, exact; and one row a language without a phrase, whose f is the number of all its words. ``rows``: lang, text."""
-    first, second = sketches(rows, least, longest)
-    bits, shared = first.bits, rows.sparkSession.sparkContext.broadcast((first.cells, second.cells))
+    """(lang, phrase, f): exact frequencies of ``least`` or more of phrases of 2 to ``longest`` words and of the words in them; and one row a language with an empty phrase, whose f is the number of all its words. ``rows``: lang, text."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST, max(FEWEST, size // RANGE))
+    found = sketches(rows, size, least, longest)
+    bits, shared = found[0].bits, rows.sparkSession.sparkContext.broadcast([(s.top, s.cells) for s in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = (Sketch(bits, least, c) for c in shared.value)
+        first, second, inside = (Sketch(bits, top, cells) for top, cells in shared.value)
         for lang, block in blocks(batches):
-            at, k = candidates(block, one, two, longest)
+            at, k = candidates(block, first, second, inside, longest)
             guarded, start, end = block.guarded()
-            names = [guarded[a:b] for a, b in zip(start[at].tolist(), end[at + k - 1].tolist(), strict=True)]
-            names = [p.decode() for p in names]
+            names = [guarded[a:b].decode() for a, b in zip(start[at].tolist(), end[at + k - 1].tolist(), strict=True)]
             n = count_matches(guarded.decode(), names)
-            cols = [pa.array([lang] * (len(names) + 1), pa.string()), pa.array([*(p[1:-1] for p in names), None], pa.string()), pa.array([*k.tolist(), 0], pa.int32()), pa.array([*n.tolist(), len(block.words)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "size", "f"])
+            yield from _pages(lang, [*(p[1:-1] for p in names), ""], np.append(n, len(block.words)), ranges)
 
-    counts = rows.mapInArrow(run, "lang string, phrase string, size int, f long")
-    return counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | F.col("phrase").isNull())
+    pages = rows.mapInArrow(run, "range int, lang string, phrases binary, counts binary")
+    counts = pages.repartition("range").mapInArrow(_sums, "lang string, phrase string, f long")
+    return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
 def collocations(df: DataFrame, lang: str, text: str, least: int = 100, longest: int = 5, most: int = 2000, unknown: str = "und") -> DataFrame:
@@ -284,8 +319,8 @@ def collocations(df: DataFrame, lang: str, text: str, least: int = 100, longest:
         raise ValueError("phrases have two words at least and occur once at least")
     rows = df.select(F.coalesce(F.col(lang), F.lit(unknown)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = keep(frequent(rows, least, longest), "phrases")
-    totals = counts.filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
-    counts = counts.filter("phrase IS NOT NULL")
+    totals = counts.filter("phrase = ''").select("lang", F.col("f").alias("n"))
+    counts = counts.filter("phrase <> ''").withColumn("size", F.size(F.split("phrase", " ")))
     longer = counts.filter("size > 1")
 
     # Inside a longer one of the same frequency: then also inside one that has one word more, before or after.

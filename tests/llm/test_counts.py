@@ -132,10 +132,10 @@ def test_phrases_of_small_blocks_sketches_and_automata(spark, monkeypatch):
     rows = made_texts(1, 60)
     sketches = phrases.sketches
 
-    def tiny(df, least, longest):
+    def tiny(*args):
         monkeypatch.setattr(phrases, "SMALLEST", 2)
         monkeypatch.setattr(phrases, "LARGEST", 2)
-        return sketches(df, least, longest)
+        return sketches(*args)
 
     monkeypatch.setattr(phrases, "sketches", tiny)
     df = spark.createDataFrame(rows, "lang string, text string")
