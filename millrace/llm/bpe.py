@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Each part of the input (some rows of a file) sends on its distinct words.
+1. Each part of the input (some rows of a file, of bounded size) sends on its distinct words.
 2. Dealt by word, each distinct word is encoded once.
 3. The ids go back to the parts that have the word, as pages of a dictionary; dealt by part,
    the dictionary comes first and the texts after it, and ids are put in the words' positions.
@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import U, ragged
-from millrace.llm.tables import keep, pieces
+from millrace.llm.tables import keep, pieces, text_bytes
 from millrace.llm.wordbpe import PIECE, WordCoder, word_key
 
 _PAGE = 1 << 16
+#: Bytes of texts in a part, or one longer text: what a part's dictionary and texts take in a task has a bound.
+PART = 1 << 26
 
 
 def _parts(df: DataFrame, key: str, text: str, rows: int = 12288) -> DataFrame:
@@ -39,17 +41,34 @@ def _parts(df: DataFrame, key: str, text: str, rows: int = 12288) -> DataFrame:
         return keep(mine, "texts").select("key", "text", part)
 
 
-def distinct_words(parts: DataFrame, tokenizer: str) -> DataFrame:
+class _Cut:
+    """Parts of many rows become parts of PART bytes: a task cuts each where it passes a multiple of that (``most``). Each scan cuts alike, as its tasks see the same rows."""
+
+    def __init__(self, most: int):
+        self.most, self.mark, self.size = most, None, 0
+
+    def __call__(self, marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = marks.copy()
+        for lo, hi in _same(marks):
+            if marks[lo] != self.mark:
+                self.mark, self.size = marks[lo], 0
+            ends = self.size + np.cumsum(sizes[lo:hi])
+            out[lo:hi] += (ends - sizes[lo:hi]) // self.most * -7046029254386353131
+            self.size = int(ends[-1])
+        return out
+
+
+def distinct_words(parts: DataFrame, tokenizer: str, most: int = PART) -> DataFrame:
     """(word, part): the words that each part has, as the tokenizer splits them; a few repeats are possible. Texts that cannot be split have none."""
 
-    return parts.select("text", "part").mapInArrow(lambda batches: _distinct(batches, tokenizer), "word string, part long")
+    return parts.select("text", "part").mapInArrow(lambda batches: _distinct(batches, tokenizer, most), "word string, part long")
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
-    seen, part = WordCoder(tokenizer), None
+def _distinct(batches: Iterator[pa.RecordBatch], tokenizer: str, most: int) -> Iterator[pa.RecordBatch]:
+    seen, part, cut = WordCoder(tokenizer), None, _Cut(most)
     for batch in batches:
-        for rows, _, _ in pieces(batch, "text", PIECE):
-            marks = rows.column(1).to_numpy(zero_copy_only=False)
+        for rows, _, at in pieces(batch, "text", PIECE):
+            marks = cut(rows.column(1).to_numpy(zero_copy_only=False), np.diff(at))
             for lo, hi in _same(marks):
                 if marks[lo] != part:
                     seen._clear()
@@ -124,7 +143,7 @@ def _turn(page: tuple[bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.
     return keys, np.frombuffer(raw, np.int32 if wide else np.uint16), counts
 
 
-def encode(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str, tokenizer: str, part_bytes: int = PART) -> DataFrame:
     """Ids of every whole text, as the tokenizers library gives them without special tokens added.
 
     Returns the key, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit). Null texts are empty
@@ -133,9 +152,9 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
     """
     parts = _parts(df, key, text)
     kind = dict(parts.dtypes)["key"]
-    pages = encode_words(distinct_words(parts, tokenizer), tokenizer)
+    pages = encode_words(distinct_words(parts, tokenizer, part_bytes), tokenizer)
     both = pages.select("part", F.lit(0).alias("kind"), F.lit(None).cast(f"array<{kind}>").alias("docs"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.col("ids").alias("c"))
-    both = both.unionByName(_text_pages(parts, kind))
+    both = both.unionByName(_text_pages(parts, kind, part_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, unzip = WordCoder(tokenizer), None, zstandard.ZstdDecompressor()
@@ -165,17 +184,17 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
     return dealt.mapInArrow(run, f"key {kind}, n_tokens long, ids binary").withColumnRenamed("key", key)
 
 
-def _text_pages(parts: DataFrame, kind: str) -> DataFrame:
+def _text_pages(parts: DataFrame, kind: str, most: int = PART) -> DataFrame:
     """About a megabyte of texts to a row, compressed: a third of what single rows take in a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=6)
+        zip_, cut = zstandard.ZstdCompressor(level=6), _Cut(most)
         for batch in batches:
-            marks = batch.column(2).to_numpy()
+            marks = cut(batch.column(2).to_numpy(), np.diff(text_bytes(batch.column(1))[1]))
             for lo, hi in _same(marks):
                 for rows, data, at in pieces(batch.slice(lo, hi - lo), "text", 2 * PIECE):
                     docs = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(0))
-                    yield pa.RecordBatch.from_arrays([rows.column(2).slice(0, 1), pa.array([1], pa.int32()), docs, *[pa.array([x], pa.binary()) for x in (zip_.compress(data.tobytes()), np.diff(at).astype(np.uint32).tobytes(), None)]], names=["part", "kind", "docs", "a", "b", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(marks[lo : lo + 1]), pa.array([1], pa.int32()), docs, *[pa.array([x], pa.binary()) for x in (zip_.compress(data.tobytes()), np.diff(at).astype(np.uint32).tobytes(), None)]], names=["part", "kind", "docs", "a", "b", "c"])
 
     return parts.select("key", "text", "part").mapInArrow(run, f"part long, kind int, docs array<{kind}>, a binary, b binary, c binary")
 

@@ -270,3 +270,19 @@ def test_token_queries(spark):
     five = queries.op5_sharding(spark, d).collect()
     text = dict(docs)
     assert all((r.size, r.text_crc32, r.law) == (len((text[r.doc_id] or "").encode()) + 16, zlib.crc32((text[r.doc_id] or "").encode()), "key") for r in five) and len(five) == len(docs)
+
+
+def test_parts_are_cut_by_bytes(spark, tmp_path):
+    """A few very long texts make several parts, and the ids stay the library's."""
+    texts = [f"{i} " + "long words of many kinds " * 400 + f"{i * 7}" for i in range(9)] + ["short", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    cut = bpe._Cut(25_000)
+    assert len(set(cut(np.full(9, 5), np.array([len(t) for t in texts[:9]])).tolist())) == 4
+    name = public_tokenizers.path(BYTES)
+    parts = bpe._parts(docs, "doc_id", "text")
+    rows = bpe._text_pages(parts, "bigint", 25_000).collect()
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode(docs, "doc_id", "text", name, 25_000).collect()}
+    assert got == {i: brute.id_bytes(library(BYTES).encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    words = {r.part for r in bpe.distinct_words(parts, name, 25_000).collect()}
+    assert len(words) >= 4 and {r.part for r in rows} == words
