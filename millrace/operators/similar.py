@@ -37,8 +37,13 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def _set(text: Column) -> Column:
+    return F.sort_array(F.array_distinct(_hashes(text)))
+
+
 def _identity(items: Column) -> Column:
-    return F.struct(F.xxhash64(items).alias("a"), F.xxhash64(F.lit(1), items).alias("b"))
+    # Inside transform the items are a variable, so they are worked out once and not for every hash.
+    return F.get(F.transform(F.array(items), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))), 0)
 
 
 def _rare_first(work: Workspace, tables: list[DataFrame]) -> list[DataFrame]:
@@ -122,11 +127,11 @@ def _shared(pairs: DataFrame, x: DataFrame, y: DataFrame, measure: str, percent:
     return both.filter(common >= _need(measure, percent)).drop("x_tokens", "y_tokens")
 
 
-def _word_sets(df: DataFrame, text: str) -> DataFrame:
-    """One row for each distinct set of words: id, n, tokens."""
-    rows = df.select(F.array_sort(F.array_distinct(_hashes(F.col(text)))).alias("tokens"))
+def _word_sets(work: Workspace, df: DataFrame, text: str) -> DataFrame:
+    """One row for each distinct set of words: id, n, tokens. Texts are read once."""
+    rows = work.keep(df.select(_set(F.col(text)).alias("tokens")), "tokens")
     rows = rows.select(_identity(F.col("tokens")).alias("id"), F.size("tokens").alias("n"), "tokens").filter("n > 0")
-    return rows.dropDuplicates(["id"])
+    return work.keep(rows.dropDuplicates(["id"]), "sets")
 
 
 def similar_sets(df: DataFrame, other: DataFrame, text: str, other_text: str, percent: int, work: Workspace) -> DataFrame:
@@ -134,7 +139,7 @@ def similar_sets(df: DataFrame, other: DataFrame, text: str, other_text: str, pe
 
     First each set meets one set of ``other`` for each of its prefix tokens; only those without a match then meet all.
     """
-    x, y = _rare_first(work, [_word_sets(df, text), _word_sets(other, other_text)])
+    x, y = _rare_first(work, [_word_sets(work, df, text), _word_sets(work, other, other_text)])
     mine, theirs = _other_classes(_prefixes(x, percent), (-1, 0, 1)), _prefixes(y, percent)
     first = theirs.groupBy("token", "class").agg(F.min(F.struct("id", "n", "at")).alias("f")).select("token", "class", "f.*")
     found = None
@@ -158,13 +163,13 @@ def exclude_similar(df: DataFrame, other: DataFrame, text: str, other_text: str,
     with Workspace(df.sparkSession) as work:
         found = work.result(similar_sets(df, other, text, other_text, percent, work), "excluded")
     out = F.broadcast(found) if found.count() <= most_broadcast else found
-    own = _identity(F.array_sort(F.array_distinct(_hashes(F.col(text)))))
+    own = _identity(_set(F.col(text)))
     return df.withColumn("__id", own).join(out.withColumnRenamed("id", "__id"), "__id", "left_anti").select(*df.columns)
 
 
-def _bags(df: DataFrame, key: str, text: str) -> DataFrame:
+def _bags(work: Workspace, df: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each distinct sequence of words: id, n, its least key, the sequence, and its words as a set (a repeated word counts by its occurrence)."""
-    rows = df.select(F.col(key).alias("key"), _hashes(F.col(text)).alias("sequence"))
+    rows = work.keep(df.select(F.col(key).alias("key"), _hashes(F.col(text)).alias("sequence")), "sequences")
     rows = rows.select(_identity(F.col("sequence")).alias("id"), "key", F.size("sequence").alias("n"), "sequence").filter("n > 0")
     least = rows.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
     rows = rows.select("id", "n", "sequence").dropDuplicates(["id"]).join(least, "id").select("id", "n", F.col("first.none").alias("none"), F.col("first.key").alias("key"), "sequence", F.col("sequence").alias("tokens"))
@@ -184,7 +189,7 @@ def _bags(df: DataFrame, key: str, text: str) -> DataFrame:
             done = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(mixed))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], done], names=batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return work.keep(rows.mapInArrow(run, rows.schema), "bags")
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -263,7 +268,7 @@ def representatives(df: DataFrame, key: str, text: str, percent: int = 90) -> Da
 
 
 def _representatives(df: DataFrame, key: str, text: str, percent: int, work: Workspace) -> DataFrame:
-    texts = _rare_first(work, [_bags(df, key, text)])[0]
+    texts = _rare_first(work, [_bags(work, df, key, text)])[0]
     turn = F.struct((-F.col("n")).alias("n"), "none", "key", "id")
     turns = texts.select("id", turn.alias("turn"))
     prefixes = work.keep(_prefixes(texts, percent).join(turns, "id"), "prefixes")

@@ -54,6 +54,17 @@ def exclude_contained(spark: SparkSession, d: str) -> DataFrame:
     return op.exclude_contained(load(spark, d, "documents"), load(spark, d, "benchmark"), "text", "text").select(*DOC_COLUMNS)
 
 
+def exclude_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are like no labelled one: sets of words, a Jaccard similarity of 0.8."""
+    docs = load(spark, d, "documents")
+    return op.exclude_similar(docs, op.verify_membership(docs, load(spark, d, "labels"), "doc_id"), "text", "text", 80).select(*DOC_COLUMNS)
+
+
+def representatives(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the representative that stands for it: an identity of 0.9 by aligned words, longest first."""
+    return op.representatives(load(spark, d, "documents"), "doc_id", "text", 90)
+
+
 def test_set_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Redundancy removal first, then exclusion of what another set has already."""
     return op.exclude_overlap(op.dedup_exact(load(spark, d, "documents"), "text", "doc_id"), load(spark, d, "labels"), "doc_id").select(*DOC_COLUMNS)
@@ -91,7 +102,7 @@ def curate_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, sink, "doc_id bigint, lang string, source string, n_chars bigint")
 
 
-QUERIES = {f.__name__: f for f in (source_profile, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals)}
+QUERIES = {f.__name__: f for f in (source_profile, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, exclude_similar, representatives, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals)}
 
 _DOC = "doc_id, lang, source, n_chars"
 _PROFILE = " UNION ALL ".join(
@@ -99,7 +110,15 @@ _PROFILE = " UNION ALL ".join(
     for c in DOC_COLUMNS
 )
 _TEST_SET = f"SELECT {_DOC} FROM documents d WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
+_SIMILAR = rf"""
+WITH sets AS (SELECT doc_id, lang, source, n_chars, list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS s FROM documents),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+known AS (SELECT * FROM tokens WHERE doc_id IN (SELECT doc_id FROM labels)),
+out_ AS (SELECT DISTINCT x.doc_id FROM tokens x JOIN known y ON x.t = y.t GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*)))
+SELECT {_DOC} FROM sets d WHERE NOT EXISTS (SELECT 1 FROM out_ o WHERE o.doc_id = d.doc_id)
+"""
 ORACLE = {
+    "exclude_similar": _SIMILAR,
     "source_profile": _PROFILE,
     "identify": f"SELECT {_DOC} FROM documents WHERE lang = 'en' AND n_chars >= 1000",
     "verify_membership": f"SELECT {_DOC} FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
