@@ -3,10 +3,12 @@ from millrace.operators.curate import (
     annotate, classify_counts, count_by, dedup_exact, exclude_contained, exclude_overlap, identify, integrate,
     profile, verify_membership,
 )
+from millrace.operators.evaluate import ranking_metrics, split_folds
 from millrace.operators.infer import predict
-from millrace.operators.similar import exclude_similar, representatives
+from millrace.operators.joins import as_of, in_interval
+from millrace.operators.similar import exclude_similar, representatives, similar_groups
 
 __all__ = [
-    "annotate", "classify_counts", "count_by", "dedup_exact", "exclude_contained", "exclude_overlap", "exclude_similar", "identify",
-    "integrate", "predict", "profile", "representatives", "verify_membership",
+    "annotate", "as_of", "classify_counts", "count_by", "dedup_exact", "exclude_contained", "exclude_overlap", "exclude_similar", "identify",
+    "in_interval", "integrate", "predict", "profile", "ranking_metrics", "representatives", "similar_groups", "split_folds", "verify_membership",
 ]

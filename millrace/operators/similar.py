@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import words
+from millrace.operators.curate import without_rows
 from millrace.sources import Workspace
 
 #: Tokens whose frequency is broadcast; all rarer ones come before these, by their hash.
@@ -155,16 +156,14 @@ def exclude_similar(df: DataFrame, other: DataFrame, text: str, other_text: str,
     """Rows whose set of words is not similar to that of any row of another dataset: 100 * intersection < percent * union for all of them.
 
     Every row is judged by its text, whatever its other columns are; null and blank texts have no words and are similar to nothing. An
-    empty ``other`` excludes nothing. Texts are read twice and not shuffled, if ``most_broadcast`` excluded sets or fewer (16 bytes each) are found; else
-    the last anti-join shuffles them.
+    empty ``other`` excludes nothing. Texts are read twice. Those that stay are not
+    shuffled: ``most_broadcast`` excluded sets (16 bytes each) or fewer are broadcast, of more only their buckets.
     """
     if not 0 < percent <= 100:
         raise ValueError("a similarity is 1 to 100 per cent")
     with Workspace(df.sparkSession) as work:
         found = work.result(similar_sets(df, other, text, other_text, percent, work), "excluded")
-    out = F.broadcast(found) if found.count() <= most_broadcast else found
-    own = _identity(_set(F.col(text)))
-    return df.withColumn("__id", own).join(out.withColumnRenamed("id", "__id"), "__id", "left_anti").select(*df.columns)
+    return without_rows(df, _identity(_set(F.col(text))), found.select("id.*"), most_broadcast)
 
 
 def _bags(work: Workspace, df: DataFrame, key: str, text: str) -> DataFrame:
@@ -313,3 +312,59 @@ def _representatives(df: DataFrame, key: str, text: str, percent: int, work: Wor
     out = own.join(placed, "id", "left")
     alone = F.col("identity").isNull()
     return out.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("representative")).alias("representative"), F.coalesce("identity", F.lit(1.0)).alias("identity"))
+
+
+def components(work: Workspace, links: DataFrame) -> DataFrame:
+    """(id, root) for every id with a link (x_id, y_id), root being the least id that it reaches.
+
+    Alternating stars: neighbours that are larger, then all, move to the least neighbour, by minima per id (combined on the map side) and
+    joins; links of one id are never gathered.
+    """
+    edges = work.keep(links.select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y")).filter("x <> y").distinct(), "edges")
+    state = None
+    while True:
+        both = edges.unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        edges = both.filter("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        low = edges.groupBy("x").agg(F.min("y").alias("m"))
+        moved = edges.join(low, "x").filter("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        edges = work.keep(moved.unionAll(low.toDF("x", "y")).distinct(), "edges")
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first())
+        if now == state:
+            return edges.toDF("id", "root").unionAll(edges.select(F.col("y").alias("id"), F.col("y").alias("root")).distinct())
+        state = now
+
+
+def similar_groups(df: DataFrame, key: str, text: str, percent: int = 80) -> DataFrame:
+    """Each row's key and its ``group_id``: the least key that it reaches over links between similar word sets (100 * intersection >= percent * union).
+
+    Rows with the same words are linked, however many they are; a row without words, or null, is a group of its own. Rows that share a key
+    are judged each by its text; null keys come after all others. An empty table gives an empty table. Other columns are dropped, so none can clash.
+
+    First every set meets one set for each of its prefix tokens, which settles families of close texts; then only sets that are not
+    connected yet are compared.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("a similarity is 1 to 100 per cent")
+    with Workspace(df.sparkSession) as work:
+        rows = work.keep(df.select(F.col(key).alias("key"), _set(F.col(text)).alias("tokens")), "tokens")
+        named = rows.select(_identity(F.col("tokens")).alias("id"), F.size("tokens").alias("n"), "tokens", "key")
+        sets = work.keep(named.filter("n > 0").select("id", "n", "tokens").dropDuplicates(["id"]), "sets")
+        texts = _rare_first(work, [sets])[0]
+        theirs = work.keep(_prefixes(texts, percent), "prefixes")
+        first = theirs.groupBy("token", "class").agg(F.min(F.struct("id", "n", "at")).alias("f")).select("token", "class", "f.*")
+        around = _other_classes(theirs, (-1, 0, 1))
+        pairs = split_join(_named(around, "x"), _named(first, "y"), ["token", "class"]).filter("x_id <> y_id").filter(_possible("jaccard", percent))
+        links = work.keep(_shared(pairs.select(F.least("x_id", "y_id").alias("x_id"), F.greatest("x_id", "y_id").alias("y_id")).distinct(), texts, texts, "jaccard", percent, []).select("x_id", "y_id"), "links")
+        roots = work.keep(components(work, links), "roots")
+
+        def rooted(t: DataFrame) -> DataFrame:
+            return t.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+        pairs = split_join(_named(rooted(around), "x", "root"), _named(rooted(theirs), "y", "root"), ["token", "class"]).filter("x_root <> y_root AND x_id < y_id").filter(_possible("jaccard", percent))
+        more = work.keep(_shared(pairs.select("x_id", "y_id").distinct(), texts, texts, "jaccard", percent, []).select("x_id", "y_id"), "links")
+        roots = roots if more.isEmpty() else work.keep(components(work, links.unionAll(more)), "roots")
+        own = rooted(named.select("key", "n", "id"))
+        least = own.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
+        out = own.join(least, "root", "left").select(F.col("key").alias(key), F.when(F.col("n") > 0, F.col("first.key")).otherwise(F.col("key")).alias("group_id"))
+        return work.result(out, "groups")

@@ -65,6 +65,37 @@ def representatives(spark: SparkSession, d: str) -> DataFrame:
     return op.representatives(load(spark, d, "documents"), "doc_id", "text", 90)
 
 
+def similar_groups(spark: SparkSession, d: str) -> DataFrame:
+    return op.similar_groups(load(spark, d, "documents"), "doc_id", "text", 80)
+
+
+def evaluation_split(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents in five folds; groups of similar documents stay together, and quality is spread evenly."""
+    groups = op.similar_groups(load(spark, d, "documents"), "doc_id", "text", 80)
+    return op.split_folds(load(spark, d, "labels").join(groups, "doc_id"), "group_id", "quality", 5)
+
+
+def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """How well a document's length, in steps of 2 per cent up to 10,000 characters, ranks its quality."""
+    scored = op.annotate(load(spark, d, "labels"), load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return op.ranking_metrics(scored.withColumn("score", F.least(F.floor(F.col("n_chars") / 200) / 50, F.lit(1.0))), "score", "quality")
+
+
+def last_purchase(spark: SparkSession, d: str) -> DataFrame:
+    """Each click with the user's last purchase before it, of the same week at most."""
+    events = load(spark, d, "events")
+    clicks = events.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", "value", F.col("event_id").alias("purchase"))
+    return op.as_of(clicks, bought, "ts", ["user_id"], 6 * 3600, 7 * 86400)
+
+
+def price_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose price lies within a tenth of a part's retail price times a hundred, counted by part."""
+    parts = load(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 90).alias("low"), (F.col("p_retailprice") * 110).alias("high"))
+    pairs = op.in_interval(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), parts, "o_totalprice", "low", "high")
+    return pairs.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_orders"), F.min("o_orderkey").alias("first_order"))
+
+
 def test_set_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Redundancy removal first, then exclusion of what another set has already."""
     return op.exclude_overlap(op.dedup_exact(load(spark, d, "documents"), "text", "doc_id"), load(spark, d, "labels"), "doc_id").select(*DOC_COLUMNS)
@@ -102,7 +133,7 @@ def curate_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, sink, "doc_id bigint, lang string, source string, n_chars bigint")
 
 
-QUERIES = {f.__name__: f for f in (source_profile, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, exclude_similar, representatives, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals)}
+QUERIES = {f.__name__: f for f in (source_profile, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, exclude_similar, representatives, similar_groups, evaluation_split, ranking_metrics, last_purchase, price_windows, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals)}
 
 _DOC = "doc_id, lang, source, n_chars"
 _PROFILE = " UNION ALL ".join(
@@ -117,7 +148,28 @@ known AS (SELECT * FROM tokens WHERE doc_id IN (SELECT doc_id FROM labels)),
 out_ AS (SELECT DISTINCT x.doc_id FROM tokens x JOIN known y ON x.t = y.t GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*)))
 SELECT {_DOC} FROM sets d WHERE NOT EXISTS (SELECT 1 FROM out_ o WHERE o.doc_id = d.doc_id)
 """
+_GROUPS = r"""
+WITH RECURSIVE sets AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS s FROM documents),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM tokens x JOIN tokens y ON x.t = y.t GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, min(b) AS group_id FROM reach GROUP BY a
+"""
+_METRICS = """
+WITH rows_ AS (SELECT quality AS y, least(floor(n_chars / 200) / 50, 1.0) AS s FROM labels JOIN documents USING (doc_id)),
+each AS (SELECT s, sum(y) AS pos, sum(1 - y) AS neg FROM rows_ GROUP BY s),
+ranked AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS up_pos, sum(neg) OVER (ORDER BY s DESC) AS up_neg, sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg FROM each),
+placed AS (SELECT *, n_neg - up_neg + neg / 2 AS of_pos, up_pos - pos / 2 AS of_neg FROM ranked),
+sums AS (SELECT max(n_pos) AS p, max(n_neg) AS n, sum(pos * of_pos) / (max(n_pos) * max(n_neg)) AS auc, sum(pos * of_pos * of_pos) / max(n_pos) / (max(n_neg) * max(n_neg)) AS pp, sum(neg * of_neg * of_neg) / max(n_neg) / (max(n_pos) * max(n_pos)) AS nn, sum(pos * up_pos / (up_pos + up_neg)) / max(n_pos) AS ap FROM placed),
+off AS (SELECT sum(o) / sum(n) AS e FROM (SELECT abs(sum(s) - sum(y)) AS o, count(*) AS n FROM rows_ GROUP BY least(floor(s * 10), 9))),
+half AS (SELECT *, 1.959963984540054 * sqrt((pp - auc * auc) / p + (nn - auc * auc) / n) AS h FROM sums)
+SELECT CAST(p AS BIGINT) AS n_pos, CAST(n AS BIGINT) AS n_neg, round(auc, 9) AS auc, round(greatest(auc - h, 0), 9) AS auc_low, round(least(auc + h, 1), 9) AS auc_high, round(ap, 9) AS average_precision, round(e, 9) AS calibration_error FROM half, off
+"""
 ORACLE = {
+    "similar_groups": _GROUPS,
+    "ranking_metrics": _METRICS,
+    "last_purchase": "SELECT c.event_id, c.user_id, c.ts, CASE WHEN c.ts - p.ts <= INTERVAL 7 DAY THEN p.ts END AS ts_right, CASE WHEN c.ts - p.ts <= INTERVAL 7 DAY THEN p.value END AS value_right, CASE WHEN c.ts - p.ts <= INTERVAL 7 DAY THEN p.event_id END AS purchase_right FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND c.ts >= p.ts",
+    "price_windows": "SELECT p_partkey, count(*) AS n_orders, min(o_orderkey) AS first_order FROM orders JOIN part ON o_totalprice >= p_retailprice * 90 AND o_totalprice < p_retailprice * 110 GROUP BY p_partkey",
     "exclude_similar": _SIMILAR,
     "source_profile": _PROFILE,
     "identify": f"SELECT {_DOC} FROM documents WHERE lang = 'en' AND n_chars >= 1000",

@@ -64,12 +64,47 @@ def test_exclude_contained(spark):
     assert op.exclude_contained(docs.limit(0), probes, "text", "t").count() == 0
 
 
-def test_plans(spark):
-    docs = spark.createDataFrame([(1, "a")], "id long, text string")
-    plan = lambda df: df._jdf.queryExecution().toString()
-    assert "Expand" not in plan(op.profile(docs, ["id", "text"]))
-    assert "Sort [text" not in plan(op.dedup_exact(docs, "text", "id"))
-    assert "NestedLoop" not in plan(op.exclude_contained(docs, docs.select(F.col("text").alias("t")), "text", "t"))
+def moved(df, but="no such node"):
+    """Columns that Sort and Exchange nodes of the plan carry, outside of nodes of a kind."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.initialPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    out, todo = set(), [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Sort" or node.nodeName().startswith("Exchange"):
+            out |= {a.name() for a in (node.output().apply(i) for i in range(node.output().size()))}
+        todo += [] if but in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_plans(spark, tmp_path):
+    """Texts that stay are in no Sort and no Exchange, also if nothing may be broadcast but names."""
+    spark.createDataFrame([(1, "a"), (2, "a"), (3, "one two three four five six")], "id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert "Expand" not in docs._jdf.queryExecution().toString()
+    assert "Expand" not in op.profile(docs, ["id", "text"])._jdf.queryExecution().toString()
+    probes = docs.select(F.col("text").alias("t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (op.exclude_contained(docs, probes, "text", "t"), op.exclude_similar(docs, probes, "text", "t")):
+            assert moved(out) <= {"__name", "a", "b"} and "NestedLoop" not in out._jdf.queryExecution().toString()
+        # Only where rows alike are put together, by an aggregate over just these, are texts moved.
+        out = op.dedup_exact(docs, "text", "id")
+        assert moved(out, "Aggregate") <= {"__name", "a", "b", "stays"}
+        assert "stays" in str(out._jdf.queryExecution().optimizedPlan()).split("Aggregate")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dedup_of_rows_alike(spark):
+    rows = [(1, "a", 5), (1, "a", 5), (1, "a", 4), (2, "a", 0), (3, "b", 1), (3, "b", 1), (None, "c", 1), (None, "c", 2), (0, None, 1), (0, None, 1)]
+    df = spark.createDataFrame(rows, "k long, v string, n int").withColumn("__name", F.lit("x")).repartition(3)
+    for most in (1_000_000, 0):
+        out = op.dedup_exact(df, "v", "k", most)
+        assert out.columns == df.columns
+        got = sorted(((r.k, r.v, r.n) for r in out.collect()), key=repr)
+        assert sorted((r[:2] for r in got), key=repr) == sorted([(1, "a"), (3, "b"), (None, "c"), (0, None), (0, None)], key=repr)
+        assert all(r in rows for r in got)
 
 
 def test_predict(spark):

@@ -132,3 +132,31 @@ def test_split_join_is_a_join(spark):
     right = spark.createDataFrame([(i % 4, i) for i in range(40)] + [(None, 2)], "k long, b long")
     want = sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
     assert sorted(map(tuple, similar.split_join(left, right, ["k"], 4).select("k", "a", "b").collect())) == want
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_similar_groups(spark, percent):
+    data = [*enumerate(texts(percent + 1, 200)), (None, "w1 w2 w3"), (900, None), (901, ""), (None, " ")]
+    data += [(1000 + i, data[0][1]) for i in range(40)]
+    df = spark.createDataFrame(data, "k long, text string").withColumn("group_id", F.lit("clash")).repartition(6)
+    out = similar.similar_groups(df, "k", "text", percent)
+    assert out.columns == ["k", "group_id"]
+    sets = [(k, frozenset((t or "").split())) for k, t in data]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (k, s) in enumerate(sets):
+        if s and k is not None:
+            least[root(i)] = min(k, least.get(root(i), k))
+    want = [(k, least.get(root(i)) if s else k) for i, (k, s) in enumerate(sets)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert similar.similar_groups(df.limit(0), "k", "text").count() == 0
