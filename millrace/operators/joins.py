@@ -76,19 +76,17 @@ def in_interval(points: DataFrame, intervals: DataFrame, value: str, low: str, h
     first, last = place(F.col(low)), place(F.col(high))
     sides = usable.withColumn("__first", first).withColumn("__last", last)
 
-    # Bins of a size of 1, 16 and 256: ends are covered by small ones, the middle by large ones, each stretch once.
-    def cover(a: Column, b: Column, size: int, level: int) -> Column:
-        return F.transform(F.sequence(a, b - 1), lambda i: F.struct(F.lit(level).alias("level"), i.alias("bin"))) if size else None
-
     def parts(level: int, a: Column, b: Column) -> Column:
-        """Blocks of 16**level bins for the stretch [a, b), in units of these blocks."""
-        none = F.array().cast("array<struct<level:int,bin:int>>")
-        own = lambda x, y: F.when(x < y, cover(x, y, 1, level)).otherwise(none)
+        """The stretch [a, b) of blocks of 16**level bins: its ends by such blocks, its middle by larger ones, each bin once."""
+
+        def own(x: Column, y: Column) -> Column:
+            blocks = F.transform(F.sequence(x, y - 1), lambda i: F.struct(F.lit(level).alias("level"), i.alias("bin")))
+            return F.when(x < y, blocks).otherwise(F.array().cast("array<struct<level:int,bin:int>>"))
+
         if level == 2:
             return own(a, b)
         up, down = F.ceil(a / 16).cast("int"), F.floor(b / 16).cast("int")
-        split = F.concat(own(a, up * 16), parts(level + 1, up, down), own(down * 16, b))
-        return F.when(up < down, split).otherwise(own(a, b))
+        return F.when(up < down, F.concat(own(a, up * 16), parts(level + 1, up, down), own(down * 16, b))).otherwise(own(a, b))
 
     sides = sides.withColumn("__block", F.explode(parts(0, F.col("__first"), F.col("__last") + 1))).select(*intervals.columns, F.col("__block.level").alias("__level"), F.col("__block.bin").alias("__bin"))
     spots = points.filter(F.col(value).isNotNull()).withColumn("__at", place(F.col(value)))

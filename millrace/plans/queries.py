@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from millrace import operators as op
 from millrace.sources import SCHEMAS, load, new_path, read_table, write_table
-from millrace.streaming import curate_available
+from millrace.streaming import curate_available, feed, window_aggregates
 
 DOC_COLUMNS = ["doc_id", "lang", "source", "n_chars"]
 
@@ -133,7 +133,33 @@ def curate_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, sink, "doc_id bigint, lang string, source string, n_chars bigint")
 
 
-QUERIES = {f.__name__: f for f in (source_profile, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, exclude_similar, representatives, similar_groups, evaluation_split, ranking_metrics, last_purchase, price_windows, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals)}
+def _arriving(spark: SparkSession, d: str) -> str:
+    """Events as they arrive, in files of five days; every fifth event comes a day late."""
+    events = load(spark, d, "events")
+    day = F.unix_date(F.to_date("ts")) + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    path = new_path(spark, "arriving")
+    feed(events.withColumn("batch", F.floor(day / 5)), "batch", path)
+    return path
+
+
+def hourly_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events and their value by hour and kind, from a stream; hours that are not final yet are left out."""
+    sink = new_path(spark, "hours")
+    sums = [F.count(F.lit(1)).alias("n_events"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")]
+    window_aggregates(spark, _arriving(spark, d), SCHEMAS["events"], "ts", "3 days", "1 hour", ["event_type"], sums, sink, new_path(spark, "progress"))
+    out = read_table(spark, sink, "window_start timestamp, event_type string, n_events bigint, total decimal(28,2)")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", F.col("total").cast("double").alias("total"))
+
+
+def user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of a user, which end after eight hours without an event, from a stream; open ones are left out."""
+    sink = new_path(spark, "sessions")
+    window_aggregates(spark, _arriving(spark, d), SCHEMAS["events"], "ts", "3 days", "8 hours", ["user_id"], [F.count(F.lit(1)).alias("n_events")], sink, new_path(spark, "progress"), sessions=True)
+    out = read_table(spark, sink, "window_start timestamp, window_end timestamp, user_id bigint, n_events bigint")
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "n_events")
+
+
+QUERIES = {f.__name__: f for f in (source_profile, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, exclude_similar, representatives, similar_groups, evaluation_split, ranking_metrics, last_purchase, price_windows, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals, hourly_events, user_sessions)}
 
 _DOC = "doc_id, lang, source, n_chars"
 _PROFILE = " UNION ALL ".join(
@@ -165,7 +191,19 @@ off AS (SELECT sum(o) / sum(n) AS e FROM (SELECT abs(sum(s) - sum(y)) AS o, coun
 half AS (SELECT *, 1.959963984540054 * sqrt((pp - auc * auc) / p + (nn - auc * auc) / n) AS h FROM sums)
 SELECT CAST(p AS BIGINT) AS n_pos, CAST(n AS BIGINT) AS n_neg, round(auc, 9) AS auc, round(greatest(auc - h, 0), 9) AS auc_low, round(least(auc + h, 1), 9) AS auc_high, round(ap, 9) AS average_precision, round(e, 9) AS calibration_error FROM half, off
 """
+_HOURS = """
+SELECT window_start, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM events)
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 3 DAY FROM events) GROUP BY window_start, event_type
+"""
+_SESSIONS = """
+WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)
+SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 8 HOUR AS window_end, count(*) AS n_events FROM numbered GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 8 HOUR <= (SELECT max(ts) - INTERVAL 3 DAY FROM events)
+"""
 ORACLE = {
+    "hourly_events": _HOURS,
+    "user_sessions": _SESSIONS,
     "similar_groups": _GROUPS,
     "ranking_metrics": _METRICS,
     "last_purchase": "SELECT c.event_id, c.user_id, c.ts, CASE WHEN c.ts - p.ts <= INTERVAL 7 DAY THEN p.ts END AS ts_right, CASE WHEN c.ts - p.ts <= INTERVAL 7 DAY THEN p.value END AS value_right, CASE WHEN c.ts - p.ts <= INTERVAL 7 DAY THEN p.event_id END AS purchase_right FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND c.ts >= p.ts",
