@@ -105,4 +105,24 @@ FROM last JOIN c{rounds} ON c = cluster"""
 
 CENTROIDS = _lloyd(64, 8, 10, 1024, 3)
 
-ORACLE = {"op11_phrases": PHRASES, "op13_centroids": CENTROIDS, "op3_near_duplicates": NEAR_DUPLICATES, "op5_sharding": SHARDING, "op6_suffixes": SUFFIXES, "op9_substrings": SUBSTRINGS}
+#: Words, symbols, lines and windows of three words, by document.
+QUALITY_COUNTS = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '{_W}') GROUP BY doc_id),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs))),
+again AS (SELECT doc_id, count(DISTINCT p) AS n_again FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE k > 1) GROUP BY doc_id),
+counts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+ CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_again, 0) AS BIGINT) AS n_repeat_words FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+"""
+
+#: The longest rule that fits.
+URL_RULES = r"""
+WITH rules(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (SELECT page_id, rule, verdict FROM parts JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
+SELECT page_id, host, path, rule, verdict AS by_rule FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+ORACLE = {"quality_counts": QUALITY_COUNTS, "url_rules": URL_RULES, "op11_phrases": PHRASES, "op13_centroids": CENTROIDS, "op3_near_duplicates": NEAR_DUPLICATES, "op5_sharding": SHARDING, "op6_suffixes": SUFFIXES, "op9_substrings": SUBSTRINGS}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,20 @@ def op13_centroids(spark: SparkSession, d: str) -> DataFrame:
     return centroids.with_inertia(assigned, found)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_near_duplicates, op4_packing, op5_sharding, op6_suffixes, op7_quality, op8_token_files, op9_substrings, op10_url_filters, op11_phrases, op12_token_counts, op13_centroids)}
+def quality_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts and the base rules of op7, which SQL can say."""
+    none = quality.LikelihoodRatio(np.zeros(1 << quality.BITS), 0.0)
+    out = quality.judge(table(spark, d, "documents"), {"doc_id": F.col("doc_id")}, "text", none)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Host, path and rule of op10, and the verdict of the rule, which SQL can say."""
+    host, path = urls.host_and_path(F.col("url"))
+    rule, verdict = urls.apply_rules(host, path, URL_RULES)
+    return table(spark, d, "pages").select("page_id", host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("by_rule"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_near_duplicates, op4_packing, op5_sharding, op6_suffixes, op7_quality, op8_token_files, op9_substrings, op10_url_filters, op11_phrases, op12_token_counts, op13_centroids, quality_counts, url_rules)}
 
 __all__ = ["ORACLE", "QUERIES", "table"]

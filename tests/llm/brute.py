@@ -88,6 +88,22 @@ def repeated_words(docs: list[tuple[int, str | None]], width: int) -> list[tuple
     return out
 
 
+def without_repeated_words(docs: list[tuple[int, str]], width: int) -> dict[int, str]:
+    """Texts with each run of removed words cut from its first word to the next kept one."""
+    seen, out = set(), {}
+    for i, t in sorted(docs):
+        words = list(WORDS.finditer(t))
+        gone = [False] * len(words)
+        for j in range(len(words) - width + 1):
+            w = tuple(m[0] for m in words[j : j + width])
+            if w in seen:
+                gone[j : j + width] = [True] * width
+            seen.add(w)
+        ends = [m.start() for m in words[1:]] + [len(t)]
+        out[i] = t[: words[0].start()] + "".join(t[m.start() : e] for m, e, g in zip(words, ends, gone, strict=True) if not g) if words else t
+    return out
+
+
 def quality_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = text or ""

@@ -74,10 +74,24 @@ def test_packing(spark, docs):
     assert check_packed(corpus_pipeline.pack(spark, docs, SF).collect(), pairs(docs), 4096) < 0.1
 
 
-def test_run_and_empty_input(spark):
+def test_run_from_end_to_end(spark):
+    """The packed tokens are those of the texts that brute force leaves, stage after stage."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = dict(pairs(table))
+    model = quality.fit(table.select("doc_id", "text"), "doc_id", "text", spark.read.parquet(f"{SF}/labels.parquet"), F.col("quality") == 1)
+    scores = {r.doc_id: r.score for r in quality.score(table, {"doc_id": F.col("doc_id")}, "text", model).collect()}
+    counts = {i: brute.quality_counts(t) for i, t in docs.items()}
+    good = {i for i, n in counts.items() if n[0] >= 50 and 100 * n[4] <= 50 * n[0] and scores[i] >= model.threshold}
+    alone = {i for i, (_, c) in brute.near_duplicates([(i, docs[i]) for i in good], 5, 80).items() if c == i}
+    left = brute.without_repeated_words([(i, docs[i]) for i in alone], 20)
+    assert 0 < len(alone) < len(good) < len(docs) and left != {i: docs[i] for i in alone}
     rows = corpus_pipeline.run(spark, SF).collect()
+    assert check_packed(rows, sorted(left.items()), 4096) < 0.1
+    assert {r.doc_id for r in rows} == alone
+
+
+def test_every_stage_on_an_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert rows and {r.doc_id for r in rows} < {r.doc_id for r in docs.select("doc_id").collect()}
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
