@@ -115,15 +115,19 @@ def dedup_exact(df: DataFrame, key: str, order: str, most_broadcast: int = 1_000
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows per value of the keys."""
+    """Rows per value of the keys; a key called ``n_rows`` is an error."""
+    if "n_rows" in keys:
+        raise ValueError("n_rows is the count")
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def classify_counts(df: DataFrame, key: str, taxonomy: DataFrame, label: str) -> DataFrame:
     """Label rows through a taxonomy and count by label.
 
-    Counting by key comes first: the join then sees one row per key, and a hot key costs nothing.
+    Counting by key comes first: the join then sees one row per key, and a hot key costs nothing. A key or label called ``n_rows`` is an error.
     """
+    if "n_rows" in (key, label):
+        raise ValueError("n_rows is the count")
     per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
     return per_key.join(taxonomy.select(key, label), key).groupBy(label).agg(F.sum("n_rows").alias("n_rows"))
 

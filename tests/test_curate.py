@@ -1,6 +1,7 @@
 """Each step on hand-made rows: null keys, repeated keys on both sides, empty inputs."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +111,10 @@ def test_dedup_of_rows_alike(spark):
 def test_predict(spark):
     out = op.predict(items(spark), lambda: lambda x: pd.Series(x["k"].fillna(0) * 2.0), ["k"], "p", T.DoubleType())
     assert sorted(r.p for r in out.collect()) == [0.0, 0.0, 2.0, 2.0, 4.0]
+    assert op.predict(items(spark, ()), lambda: lambda x: x["k"] * 1.0, ["k"], "p", T.DoubleType()).count() == 0
+    for bad in (lambda: op.predict(items(spark), lambda: None, ["k"], "v", T.DoubleType()), lambda: op.count_by(items(spark).withColumnRenamed("k", "n_rows"), "n_rows"), lambda: op.classify_counts(items(spark), "k", items(spark), "n_rows")):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_files_and_streams(spark, tmp_path):
