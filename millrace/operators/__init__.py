@@ -7,8 +7,9 @@ from millrace.operators.evaluate import ranking_metrics, split_folds
 from millrace.operators.infer import predict
 from millrace.operators.joins import as_of, in_interval
 from millrace.operators.similar import exclude_similar, representatives, similar_groups
+from millrace.operators.structure import candidate_keys, inclusions
 
 __all__ = [
-    "annotate", "as_of", "classify_counts", "count_by", "dedup_exact", "exclude_contained", "exclude_overlap", "exclude_similar", "identify",
-    "in_interval", "integrate", "predict", "profile", "ranking_metrics", "representatives", "similar_groups", "split_folds", "verify_membership",
+    "annotate", "as_of", "candidate_keys", "classify_counts", "count_by", "dedup_exact", "exclude_contained", "exclude_overlap", "exclude_similar", "identify",
+    "in_interval", "inclusions", "integrate", "predict", "profile", "ranking_metrics", "representatives", "similar_groups", "split_folds", "verify_membership",
 ]

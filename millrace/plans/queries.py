@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import operators as op
-from millrace.sources import SCHEMAS, load, new_path, read_table, write_table
+from millrace.sources import SCHEMAS, Workspace, load, new_path, read_table, write_table
 from millrace.streaming import curate_available, feed, window_aggregates
 
 DOC_COLUMNS = ["doc_id", "lang", "source", "n_chars"]
@@ -18,6 +21,30 @@ def source_profile(spark: SparkSession, d: str) -> DataFrame:
     return op.profile(load(spark, d, "documents"), DOC_COLUMNS)
 
 
+#: Columns that a key is looked for among.
+_KEYS = {
+    "documents": ["doc_id", "lang", "source", "n_chars"], "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role"], "orders": ["o_orderkey", "o_custkey", "o_orderdate"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"], "events": ["event_id", "user_id", "event_type"],
+}
+#: Columns whose values may lie within another's.
+_VALUES = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderdate"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"], "documents": ["doc_id", "text", "lang"], "labels": ["doc_id"], "benchmark": ["item_id", "text"],
+}
+
+
+def candidate_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The least sets of one or two columns that name a row."""
+    found = [op.candidate_keys(load(spark, d, t), columns).select(F.lit(t).alias("table_name"), F.col("columns").alias("key_columns")) for t, columns in _KEYS.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def inclusions(spark: SparkSession, d: str) -> DataFrame:
+    """Columns whose values all occur in another column."""
+    out = op.inclusions(spark, {t: load(spark, d, t).select(*columns) for t, columns in _VALUES.items()})
+    return out.select(F.col("column").alias("column_name"), "within", "n_values")
+
+
 def identify(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
     return op.identify(docs, (F.col("lang") == "en") & (F.col("n_chars") >= 1000)).select(*DOC_COLUMNS)
@@ -133,20 +160,19 @@ def curate_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, sink, "doc_id bigint, lang string, source string, n_chars bigint")
 
 
-def _arriving(spark: SparkSession, d: str) -> str:
+def _arriving(spark: SparkSession, d: str, path: str) -> str:
     """Events as they arrive, in files of five days; every fifth event comes a day late."""
     events = load(spark, d, "events")
     day = F.unix_date(F.to_date("ts")) + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
-    path = new_path(spark, "arriving")
     feed(events.withColumn("batch", F.floor(day / 5)), "batch", path)
     return path
 
 
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     """Events and their value by hour and kind, from a stream; hours that are not final yet are left out."""
-    sink = new_path(spark, "hours")
-    sums = [F.count(F.lit(1)).alias("n_events"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")]
-    window_aggregates(spark, _arriving(spark, d), SCHEMAS["events"], "ts", "3 days", "1 hour", ["event_type"], sums, sink, new_path(spark, "progress"))
+    sink, sums = new_path(spark, "hours"), [F.count(F.lit(1)).alias("n_events"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")]
+    with Workspace(spark) as work:
+        window_aggregates(spark, _arriving(spark, d, work.path("arriving")), SCHEMAS["events"], "ts", "3 days", "1 hour", ["event_type"], sums, sink, work.path("progress"))
     out = read_table(spark, sink, "window_start timestamp, event_type string, n_events bigint, total decimal(28,2)")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", F.col("total").cast("double").alias("total"))
 
@@ -154,12 +180,13 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of a user, which end after eight hours without an event, from a stream; open ones are left out."""
     sink = new_path(spark, "sessions")
-    window_aggregates(spark, _arriving(spark, d), SCHEMAS["events"], "ts", "3 days", "8 hours", ["user_id"], [F.count(F.lit(1)).alias("n_events")], sink, new_path(spark, "progress"), sessions=True)
+    with Workspace(spark) as work:
+        window_aggregates(spark, _arriving(spark, d, work.path("arriving")), SCHEMAS["events"], "ts", "3 days", "8 hours", ["user_id"], [F.count(F.lit(1)).alias("n_events")], sink, work.path("progress"), sessions=True)
     out = read_table(spark, sink, "window_start timestamp, window_end timestamp, user_id bigint, n_events bigint")
     return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "n_events")
 
 
-QUERIES = {f.__name__: f for f in (source_profile, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, exclude_similar, representatives, similar_groups, evaluation_split, ranking_metrics, last_purchase, price_windows, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals, hourly_events, user_sessions)}
+QUERIES = {f.__name__: f for f in (source_profile, candidate_keys, inclusions, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, exclude_similar, representatives, similar_groups, evaluation_split, ranking_metrics, last_purchase, price_windows, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals, hourly_events, user_sessions)}
 
 _DOC = "doc_id, lang, source, n_chars"
 _PROFILE = " UNION ALL ".join(
@@ -201,7 +228,21 @@ numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBO
 SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 8 HOUR AS window_end, count(*) AS n_events FROM numbered GROUP BY user_id, k
 HAVING max(ts) + INTERVAL 8 HOUR <= (SELECT max(ts) - INTERVAL 3 DAY FROM events)
 """
+_whole = lambda cs: " AND ".join(f"count({c}) = count(*)" for c in cs)
+_tells = lambda t, cs: f"(SELECT count(*) > 0 AND {_whole(cs)} AND count(DISTINCT ({', '.join(cs)})) = count(*) FROM {t})"
+_CANDIDATE_KEYS = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{','.join(cs)}' AS key_columns WHERE {_tells(t, cs)}" + "".join(f" AND NOT {_tells(t, (c,))}" for c in cs if len(cs) > 1)
+    for t, columns in _KEYS.items() for size in (1, 2) for cs in combinations(columns, size)
+)
+_of_kind = {c: kind.replace("int", "bigint") if kind == "int" else kind for t in _VALUES for c, kind in (x.split() for x in SCHEMAS[t].replace("array<float>", "list").split(", "))}
+_columns = [(t, c) for t, cs in _VALUES.items() for c in cs]
+_INCLUSIONS = " UNION ALL ".join(
+    f"SELECT '{t}.{c}' AS column_name, '{u}.{e}' AS within, count(DISTINCT {c}) AS n_values FROM {t} HAVING count({c}) > 0 AND count(*) FILTER ({c} IS NOT NULL AND {c} NOT IN (SELECT {e} FROM {u} WHERE {e} IS NOT NULL)) = 0"
+    for t, c in _columns for u, e in _columns if (t, c) != (u, e) and _of_kind[c] == _of_kind[e]
+)
 ORACLE = {
+    "candidate_keys": _CANDIDATE_KEYS,
+    "inclusions": _INCLUSIONS,
     "hourly_events": _HOURS,
     "user_sessions": _SESSIONS,
     "similar_groups": _GROUPS,

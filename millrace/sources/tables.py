@@ -75,10 +75,14 @@ class Workspace:
     def __enter__(self) -> Workspace:
         return self
 
+    def path(self, name: str) -> str:
+        """A path that goes when the workspace closes."""
+        self._paths.append(new_path(self.spark, name))
+        return self._paths[-1]
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and read it back."""
-        path = new_path(self.spark, name)
-        self._paths.append(path)
+        path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Batches that :func:`feed` writes at most.
+MOST_BATCHES = 1000
+
 
 def window_aggregates(
     spark: SparkSession, source: str, schema: str, time: str, delay: str, size: str, keys: list[str], aggregates: list[Column], sink: str, checkpoint: str, sessions: bool = False, files_per_batch: int = 1,
@@ -46,7 +49,9 @@ def first_arrivals(spark: SparkSession, source: str, schema: str, key: str, time
 
 
 def feed(df: DataFrame, batch: str, path: str) -> None:
-    """Write a table as files that arrive one batch after another, by the numbers in a column (which is left out); a null number comes first."""
-    numbers = sorted((r[0] for r in df.select(batch).distinct().limit(1000).collect()), key=lambda b: (b is not None, b or 0))
+    """Write a table as files that arrive one batch after another, by the numbers in a column (which is left out); a null number comes first. More than MOST_BATCHES are an error."""
+    numbers = sorted((r[0] for r in df.select(batch).distinct().limit(MOST_BATCHES + 1).collect()), key=lambda b: (b is not None, b or 0))
+    if len(numbers) > MOST_BATCHES:
+        raise ValueError(f"more than {MOST_BATCHES} batches")
     for number in numbers:
         df.filter(F.col(batch).eqNullSafe(F.lit(number))).drop(batch).write.mode("append").parquet(path)
