@@ -1,7 +1,7 @@
 """Repeated byte strings through suffix arrays.
 
 Segments whose anchor gram repeats (:mod:`millrace.llm.repeats`) are dealt by anchor, so equal strings
-meet, and are put together to shards of about two million bytes. A segment goes in once; one that occurs several times as a
+meet, and are put together to shards of about a million bytes. A segment goes in once; one that occurs several times as a
 whole goes in twice, with the bytes of its first and its last place. Where nothing else has its anchor, neighbours of such segments with the
 same first and last texts go in as one long string, so their bytes are sorted once. Each shard is sorted as a
 suffix array by Larsson and Sadakane's refinement, with Kasai's common prefixes; strings that repeat are
@@ -26,8 +26,10 @@ from millrace.llm.tables import identified, keep, pieces, text_bytes
 
 #: Bytes of a suffix array at most: three numbers below it fit in 63 bits.
 LONGEST = 1 << 21
-#: Bytes of a shard, with room for a last segment's two strings.
-SHARD = LONGEST - 4 * WIDEST
+#: Bytes of a shard, with room for a last segment's two strings; the arrays of a shard of half the longest size stay nearer to the processor.
+SHARD = LONGEST // 2 - 4 * WIDEST
+#: Bytes of text whose segments are found together, for the same reason.
+FOUND_TOGETHER = 1 << 17
 #: Strings of split anchors that are merged at a time.
 MERGED = 1 << 11
 #: Windows of a long string, about.
@@ -198,7 +200,7 @@ def repeated_strings(df: DataFrame, width: int, shard_bytes: int = SHARD) -> Dat
     def units(data: np.ndarray, at: np.ndarray):
         return data.astype(U) + U(1), data, at
 
-    found = find_repeats(df, units, width, max(1, width // 4), 1 << 19)
+    found = find_repeats(df, units, width, max(1, width // 4), FOUND_TOGETHER)
     kind = dict(df.dtypes)["key"]
     most = max(1, shard_bytes // (4 * width))
     parts = F.ceil(F.col("total") / most).cast("int")
