@@ -64,17 +64,17 @@ def inclusions(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
         own = []
         for c, kind in df.dtypes:
             if kind in FAMILIES:
-                own.append(F.struct(F.lit(len(names)).alias("i"), F.col(c).isNull().alias("null"), F.lit(FAMILIES[kind]).alias("family"), *_value(F.col(c).cast(FAMILIES[kind]))))
+                own.append(F.struct(F.lit(len(names)).alias("i"), F.col(c).isNull().alias("missing"), F.lit(FAMILIES[kind]).alias("family"), *_value(F.col(c).cast(FAMILIES[kind]))))
                 names.append(f"{table}.{c}")
         if own:
-            parts.append(df.select(F.explode(F.array(*own)).alias("v")).select("v.*").filter("NOT null").drop("null").distinct())
+            parts.append(df.select(F.explode(F.array(*own)).alias("v")).select("v.*").filter("NOT missing").drop("missing").distinct())
     columns = spark.createDataFrame(list(enumerate(names)), "i int, name string")
     if not parts:
         return spark.createDataFrame([], "column string, within string, n_values bigint")
     values = reduce(DataFrame.unionAll, parts).groupBy("family", "a", "b").agg(F.array_sort(F.collect_set("i")).alias("s"))
     pairs = values.select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    own = pairs.filter("x = y").select("x", F.col("n").alias("all"))
-    found = pairs.filter("x <> y").join(own, "x").filter("n = all")
+    own = pairs.filter("x = y").select("x", F.col("n").alias("own"))
+    found = pairs.filter("x <> y").join(own, "x").filter("n = own")
     # A row for each column: few.
     one, two = (F.broadcast(columns.toDF(s, out)) for s, out in (("x", "column"), ("y", "within")))
     return found.join(one, "x").join(two, "y").select("column", "within", F.col("n").alias("n_values"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import operators as op
+from millrace.functions import words
 from millrace.sources import SCHEMAS, Workspace, load, new_path, read_table, write_table
 from millrace.streaming import curate_available, feed, window_aggregates
 
@@ -108,6 +109,23 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     return op.ranking_metrics(scored.withColumn("score", F.least(F.floor(F.col("n_chars") / 200) / 50, F.lit(1.0))), "score", "quality")
 
 
+def evaluate_model(spark: SparkSession, d: str) -> DataFrame:
+    """A linear model of quality, fitted on four folds and judged on the fifth: similar documents are never on both sides."""
+    text = F.col("text")
+    docs = load(spark, d, "documents")
+    features = docs.select(
+        "doc_id", F.log1p(F.char_length(text)).alias("length"), (F.size(F.array_distinct(words(text))) / F.greatest(F.size(words(text)), F.lit(1))).alias("distinct"),
+        (F.regexp_count(text, F.lit("[^A-Za-z ]")) / F.greatest(F.char_length(text), F.lit(1))).alias("others"), (F.col("lang") == "en").cast("int").alias("english"),
+    )
+    inputs = ["length", "distinct", "others", "english"]
+    split = op.split_folds(load(spark, d, "labels").join(op.similar_groups(docs, "doc_id", "text", 80), "doc_id"), "group_id", "quality", 5)
+    with Workspace(spark) as work:
+        rows, path = work.keep(split.join(features, "doc_id"), "features"), work.path("model")
+        op.save_model(spark, op.fit_linear(rows.filter("fold <> 0"), inputs, "quality"), path)
+        scored = op.predict(rows.filter("fold = 0"), op.linear_model(op.load_model(spark, path)), inputs, "score", T.DoubleType())
+        return work.result(op.ranking_metrics(scored, "score", "quality", digits=6), "metrics")
+
+
 def last_purchase(spark: SparkSession, d: str) -> DataFrame:
     """Each click with the user's last purchase before it, of the same week at most."""
     events = load(spark, d, "events")
@@ -186,7 +204,7 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "n_events")
 
 
-QUERIES = {f.__name__: f for f in (source_profile, candidate_keys, inclusions, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, exclude_similar, representatives, similar_groups, evaluation_split, ranking_metrics, last_purchase, price_windows, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals, hourly_events, user_sessions)}
+QUERIES = {f.__name__: f for f in (source_profile, candidate_keys, inclusions, identify, verify_membership, annotate, integrate_parties, classify_counts, dedup_exact, exclude_overlap, exclude_contained, exclude_similar, representatives, similar_groups, evaluation_split, ranking_metrics, evaluate_model, last_purchase, price_windows, test_set_pipeline, dataset_counts, model_predict, construct_dataset, curate_arrivals, hourly_events, user_sessions)}
 
 _DOC = "doc_id, lang, source, n_chars"
 _PROFILE = " UNION ALL ".join(

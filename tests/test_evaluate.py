@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace import operators as op
 from millrace.operators import evaluate
@@ -145,3 +146,20 @@ def test_in_interval(spark, bins):
     assert op.in_interval(a.limit(0), b, "x", "lo", "hi", ("k",)).count() == 0 == op.in_interval(a, b.limit(0), "x", "lo", "hi", ("k",)).count()
     with pytest.raises(ValueError, match="both sides"):
         op.in_interval(a, b, "x", "lo", "hi")
+
+
+# -- a model
+
+
+def test_linear_model(spark, tmp_path):
+    rng = random.Random(3)
+    data = [(1e6 + rng.random(), rng.randrange(5), 7.0) for _ in range(200)]
+    data = [(a, b, c, 3 * a - 2 * b + 5) for a, b, c in data] + [(None, 1, 7.0, 1.0), (1e6, 1, math.nan, 1.0)]
+    df = spark.createDataFrame(data, "a double, b int, c double, y double").repartition(4)
+    model = op.fit_linear(df, ["a", "b", "c"], "y")
+    assert model["weights"] == pytest.approx([3, -2, 0], abs=1e-4)
+    op.save_model(spark, model, f"{tmp_path}/model")
+    assert op.load_model(spark, f"{tmp_path}/model") == model
+    out = op.predict(df, op.linear_model(model), ["a", "b", "c"], "p", T.DoubleType()).collect()
+    assert all(r.p == pytest.approx(r.y, abs=1e-2) for r in out if r.a is not None and not math.isnan(r.c)) and sum(r.p is None or math.isnan(r.p) for r in out) == 2
+    assert op.fit_linear(df.limit(0), ["a", "b"], "y") == {"inputs": ["a", "b"], "weights": [0.0, 0.0], "bias": 0.0}
