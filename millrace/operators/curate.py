@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import words
@@ -100,9 +99,9 @@ def dedup_exact(df: DataFrame, key: str, order: str, most_broadcast: int = 1_000
     with Workspace(df.sparkSession) as work:
         names = df.filter(F.col(key).isNotNull()).select(by.alias("by"), F.struct(F.col(order).alias("order"), _name(*df.columns).alias("name")).alias("row"))
         names = names.groupBy("by", "row").agg(F.count(F.lit(1)).alias("copies"))
-        least = F.min("row").over(W.partitionBy("by"))
-        # Of one row, or of rows alike, the window sees one name; a key with very many different rows is sorted by name, and spills.
-        touched = names.withColumn("least", least).filter("row <> least OR copies > 1").select("row.name.*", (F.col("row") == F.col("least")).alias("stays"))
+        # A minimum combines on the map side, and a join with one row a key can be split, so a key with very many rows is no hot one.
+        least = names.groupBy("by").agg(F.min("row").alias("least"))
+        touched = names.join(least, "by").filter("row <> least OR copies > 1").select("row.name.*", (F.col("row") == F.col("least")).alias("stays"))
         touched = work.result(touched, "touched")
     clear, rest = split_rows(df, _name(*df.columns), touched, most_broadcast)
     named = touched.select(F.struct("a", "b").alias("__name"), "stays")

@@ -17,7 +17,7 @@ def predict(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.
 
     ``make_model`` runs once per task and returns a function of a batch of the
     input columns. Batches are Arrow batches; no shuffle, order and rows kept. Nulls reach the model as pandas
-    shows them (NaN or None); an empty table gives an empty table. A column that is called like ``output`` already is an error.
+    shows them (NaN or None), and NaN comes back as null, in all columns; an empty table gives an empty table. A column that is called like ``output`` already is an error.
     """
     if output in df.columns:
         raise ValueError(f"there is a column {output} already")

@@ -129,19 +129,23 @@ def _shared(pairs: DataFrame, x: DataFrame, y: DataFrame, measure: str, percent:
 
 
 def _word_sets(work: Workspace, df: DataFrame, text: str) -> DataFrame:
-    """One row for each distinct set of words: id, n, tokens. Texts are read once."""
-    rows = work.keep(df.select(_set(F.col(text)).alias("tokens")), "tokens")
-    rows = rows.select(_identity(F.col("tokens")).alias("id"), F.size("tokens").alias("n"), "tokens").filter("n > 0")
-    return work.keep(rows.dropDuplicates(["id"]), "sets")
+    """One row for each distinct set of words: id (a number), name, n, tokens. Texts are read once."""
+    tokens = work.keep(df.select(_set(F.col(text)).alias("tokens")), "tokens")
+    rows = tokens.select(_identity(F.col("tokens")).alias("name"), F.size("tokens").alias("n"), "tokens").filter("n > 0")
+    out = work.keep(rows.dropDuplicates(["name"]).select(F.monotonically_increasing_id().alias("id"), "name", "n", "tokens"), "sets")
+    work.drop(tokens)
+    return out
 
 
 def similar_sets(df: DataFrame, other: DataFrame, text: str, other_text: str, percent: int, work: Workspace) -> DataFrame:
-    """(id): word sets of ``df`` with 100 * intersection >= percent * union for any set of ``other``.
+    """(a, b): names of the word sets of ``df`` with 100 * intersection >= percent * union for any set of ``other``.
 
     First each set meets one set of ``other`` for each of its prefix tokens; only those without a match then meet all.
     """
-    x, y = _rare_first(work, [_word_sets(work, df, text), _word_sets(work, other, other_text)])
-    mine, theirs = _other_classes(_prefixes(x, percent), (-1, 0, 1)), _prefixes(y, percent)
+    sets = [_word_sets(work, df, text), _word_sets(work, other, other_text)]
+    x, y = _rare_first(work, sets)
+    work.drop(*sets)
+    mine, theirs = _prefixes(x, percent), _other_classes(_prefixes(y, percent), (-1, 0, 1))
     first = theirs.groupBy("token", "class").agg(F.min(F.struct("id", "n", "at")).alias("f")).select("token", "class", "f.*")
     found = None
     for there in (first, theirs):
@@ -149,7 +153,7 @@ def similar_sets(df: DataFrame, other: DataFrame, text: str, other_text: str, pe
         pairs = split_join(_named(left, "x"), _named(there, "y"), ["token", "class"]).filter(_possible("jaccard", percent)).select("x_id", "y_id").distinct()
         new = work.keep(_shared(pairs, x, y, "jaccard", percent, []).select(F.col("x_id").alias("id")).distinct(), "similar")
         found = new if found is None else found.unionAll(new)
-    return found
+    return x.join(found, "id", "left_semi").select("name.*")
 
 
 def exclude_similar(df: DataFrame, other: DataFrame, text: str, other_text: str, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -163,13 +167,13 @@ def exclude_similar(df: DataFrame, other: DataFrame, text: str, other_text: str,
         raise ValueError("a similarity is 1 to 100 per cent")
     with Workspace(df.sparkSession) as work:
         found = work.result(similar_sets(df, other, text, other_text, percent, work), "excluded")
-    return without_rows(df, _identity(_set(F.col(text))), found.select("id.*"), most_broadcast)
+    return without_rows(df, _identity(_set(F.col(text))), found, most_broadcast)
 
 
 def _bags(work: Workspace, df: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each distinct sequence of words: id, n, its least key, the sequence, and its words as a set (a repeated word counts by its occurrence)."""
-    rows = work.keep(df.select(F.col(key).alias("key"), _hashes(F.col(text)).alias("sequence")), "sequences")
-    rows = rows.select(_identity(F.col("sequence")).alias("id"), "key", F.size("sequence").alias("n"), "sequence").filter("n > 0")
+    sequences = work.keep(df.select(F.col(key).alias("key"), _hashes(F.col(text)).alias("sequence")), "sequences")
+    rows = sequences.select(_identity(F.col("sequence")).alias("id"), "key", F.size("sequence").alias("n"), "sequence").filter("n > 0")
     least = rows.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
     rows = rows.select("id", "n", "sequence").dropDuplicates(["id"]).join(least, "id").select("id", "n", F.col("first.none").alias("none"), F.col("first.key").alias("key"), "sequence", F.col("sequence").alias("tokens"))
 
@@ -188,7 +192,9 @@ def _bags(work: Workspace, df: DataFrame, key: str, text: str) -> DataFrame:
             done = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(mixed))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], done], names=batch.schema.names)
 
-    return work.keep(rows.mapInArrow(run, rows.schema), "bags")
+    out = work.keep(rows.mapInArrow(run, rows.schema), "bags")
+    work.drop(sequences)
+    return out
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -267,7 +273,9 @@ def representatives(df: DataFrame, key: str, text: str, percent: int = 90) -> Da
 
 
 def _representatives(df: DataFrame, key: str, text: str, percent: int, work: Workspace) -> DataFrame:
-    texts = _rare_first(work, [_bags(work, df, key, text)])[0]
+    bags = _bags(work, df, key, text)
+    texts = _rare_first(work, [bags])[0]
+    work.drop(bags)
     turn = F.struct((-F.col("n")).alias("n"), "none", "key", "id")
     turns = texts.select("id", turn.alias("turn"))
     prefixes = work.keep(_prefixes(texts, percent).join(turns, "id"), "prefixes")
@@ -351,6 +359,7 @@ def similar_groups(df: DataFrame, key: str, text: str, percent: int = 80) -> Dat
         named = rows.select(_identity(F.col("tokens")).alias("id"), F.size("tokens").alias("n"), "tokens", "key")
         sets = work.keep(named.filter("n > 0").select("id", "n", "tokens").dropDuplicates(["id"]), "sets")
         texts = _rare_first(work, [sets])[0]
+        work.drop(sets)
         theirs = work.keep(_prefixes(texts, percent), "prefixes")
         first = theirs.groupBy("token", "class").agg(F.min(F.struct("id", "n", "at")).alias("f")).select("token", "class", "f.*")
         around = _other_classes(theirs, (-1, 0, 1))

@@ -70,7 +70,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self._paths = spark, []
+        self.spark, self._paths, self._kept = spark, [], []
 
     def __enter__(self) -> Workspace:
         return self
@@ -84,7 +84,17 @@ class Workspace:
         """Write a table and read it back."""
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._kept.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete kept tables that nothing reads any more, before the workspace closes."""
+        for df in tables:
+            gone = [path for kept, path in self._kept if kept is df]
+            self._kept = [x for x in self._kept if x[0] is not df]
+            self._paths = [x for x in self._paths if x not in gone]
+            self._delete(gone)
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """Like :meth:`keep`, for a table that stays."""
@@ -92,8 +102,11 @@ class Workspace:
         self._paths.pop()
         return out
 
-    def __exit__(self, *_) -> None:
-        for path in self._paths:
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        self._paths = []
+
+    def __exit__(self, *_) -> None:
+        self._delete(self._paths)
+        self._paths, self._kept = [], []

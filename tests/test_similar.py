@@ -125,6 +125,11 @@ def test_a_workspace_clears_up(spark):
     with Workspace(spark) as work:
         kept = work.result(work.keep(df, "gone").filter("id > 0"), "stays")
     assert kept.count() == 2
+    with Workspace(spark) as work:
+        early, late = work.keep(df, "early"), work.keep(df, "late")
+        path = Path(work._paths[0].removeprefix("file://"))
+        work.drop(early)
+        assert not path.exists() and late.count() == 3
 
 
 def test_split_join_is_a_join(spark):
