@@ -64,7 +64,7 @@ def distinct_words(parts: DataFrame, tokenizer: str, most: int = PART) -> DataFr
     return parts.select("text", "part").mapInArrow(lambda batches: _distinct(batches, tokenizer, most), "word string, part long")
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], tokenizer: str, most: int) -> Iterator[pa.RecordBatch]:
+def _distinct(batches: Iterator[pa.RecordBatch], tokenizer: str, most: int = PART) -> Iterator[pa.RecordBatch]:
     seen, part, cut = WordCoder(tokenizer), None, _Cut(most)
     for batch in batches:
         for rows, _, at in pieces(batch, "text", PIECE):
