@@ -1,15 +1,19 @@
 """Similar texts: exclusion by the words that two texts share, and redundancy removal by alignment.
 
 Both find candidates by prefix filtering. Tokens have one order, rare ones first; two sets that share enough have a
-token in common among the first few of each (their prefixes), of about the same length. Such pairs are then compared in
+token in common among the first few of each (their prefixes). How rare a token is comes from a sketch of counts over all texts, which decides the order
+only: any order gives the same pairs. A token whose cell was counted once is in one set alone, so it is left out. Pairs
+with a common token are ruled out by an upper bound of what they share, and those left are compared in
 full, so nothing is lost and nothing is guessed. A token with many rows is split into cells by both sides' rows, and
 groups of copies collapse first: equal sets are one, and close ones are settled by one of them before pairs are made.
 
-Texts are words between ASCII white space. Tokens are 64-bit hashes of words; sets and sequences are told apart by 128 bits.
+Texts are words between ASCII white space, and stay where they are: what is written of each set is its prefix and 128 bytes of counts, and only
+texts in pairs that pass the bound are read again and moved. Tokens are 64-bit hashes of words; sets and sequences are told apart by 128 bits.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import words
-from millrace.operators.curate import without_rows
+from millrace.operators.curate import split_rows, without_rows
 from millrace.sources import Workspace
 
-#: Tokens whose frequency is broadcast; all rarer ones come before these, by their hash.
-FREQUENT = 1 << 16
+#: Cells of the sketch of counts at most, a byte each where it is broadcast.
+FREQUENT = 1 << 24
+#: Cells that go on together.
+PAGE = 1 << 16
+#: Cells of a set's counts, for the upper bound of what two sets share.
+BOUND = 128
+#: Items (8 bytes each) that are broadcast for the comparison of pairs.
+SMALL = 1 << 21
 #: Rows of one token, on either side, that are joined in one cell.
 CELL = 1 << 12
 #: Rounds in which a family is settled by its first row.
@@ -47,30 +57,85 @@ def _identity(items: Column) -> Column:
     return F.get(F.transform(F.array(items), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))), 0)
 
 
-def _rare_first(work: Workspace, tables: list[DataFrame]) -> list[DataFrame]:
-    """The tables (id, n, tokens, and more) with ``tokens`` in one order for all: rare ones first. FREQUENT rows reach the driver."""
-    spark = tables[0].sparkSession
-    tokens = tables[0].select(F.explode("tokens").alias("t"))
-    for other in tables[1:]:
-        tokens = tokens.unionAll(other.select(F.explode("tokens").alias("t")))
-    top = tokens.groupBy("t").count().filter("count > 1").orderBy(F.desc("count"), "t").limit(FREQUENT).collect()
-    names = np.array([r.t for r in top], np.int64)
-    order = np.argsort(names)
-    shared = spark.sparkContext.broadcast((names[order], (len(top) - order).astype(np.int64)))  # 0: not frequent
+def _mixed(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Words of sequences as sets, in order by owner: the first occurrence keeps the word's hash, further ones are mixed with their number, one to one."""
+    flat = flat[np.lexsort((flat, owner))]
+    new = np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))[: len(flat)]
+    start = np.flatnonzero(new)
+    number = np.arange(len(flat)) - np.repeat(start, np.diff(np.append(start, len(flat))))
+    mixed = flat.view(np.uint64) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.where(number > 0, (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), mixed).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+
+def _tokens(column: pa.Array, bags: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a list column, the row of each, and how many each row has."""
+    flat, size = column.flatten().to_numpy(), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    return (_mixed(flat, owner) if bags else flat), owner, size
+
+
+def _cell(tokens: np.ndarray, cells: int) -> np.ndarray:
+    return (tokens.view(np.uint64) % np.uint64(cells)).astype(np.int64)
+
+
+def _rarity(items: list[DataFrame], bags: bool) -> np.ndarray:
+    """A byte for each cell of a sketch of all tokens: 0 for none, 1 for one, then steps of an eighth of a doubling. FREQUENT bytes reach the driver at most.
+
+    Tasks count in 16 bits and send compressed pages on; a cell that is full there stays so, which changes no order of rare ones.
+    """
+    cells = min(FREQUENT, 1 << max(16, (256 * sum(t.count() for t in items)).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(cells, np.uint16)
         for batch in batches:
-            at = batch.schema.get_field_index("tokens")
-            column = batch.column(at)
-            flat, size = column.flatten().to_numpy(), column.value_lengths().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(size)), size)
-            place = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
-            by = np.where(known[place] == flat, rank[place], 0) if len(known) else np.zeros(len(flat), np.int64)
-            done = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat[np.lexsort((flat, by, owner))]))
-            yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            at, n = np.unique(_cell(_tokens(batch.column(0), bags)[0], cells), return_counts=True)
+            own[at] = np.minimum(own[at] + n, 65535)
+        for page, lo in enumerate(range(0, cells, PAGE)):
+            if own[lo : lo + PAGE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([zlib.compress(own[lo : lo + PAGE].tobytes(), 1)], pa.binary())], names=["page", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[page] = total.get(page, 0) + np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
+        for page, n in total.items():
+            byte = np.where(n > 0, np.minimum(1 + np.floor(8 * np.log2(np.maximum(n, 1))), 255), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([byte.tobytes()], pa.binary())], names=["page", "counts"])
+
+    kind, pages = "page int, counts binary", None
+    for t in items:
+        part = t.select("items").mapInArrow(count, kind)
+        pages = part if pages is None else pages.unionAll(part)
+    out = np.zeros(cells, np.uint8)
+    for r in pages.repartition("page").mapInArrow(add, kind).toLocalIterator():
+        out[r.page * PAGE : r.page * PAGE + len(r.counts)] = np.frombuffer(r.counts, np.uint8)
+    return out
+
 
-    return [work.keep(t.mapInArrow(run, t.schema), "ordered") for t in tables]
+def _indexed(items: list[DataFrame], percent: int, bags: bool) -> list[DataFrame]:
+    """Of tables (items, name, n) one row for each different name: name, n, ``bound`` (counts of its tokens by cell), and of its prefix, the first n - ceil(percent * n / 100) + 1
+    tokens, those that may be elsewhere: ``tokens`` with their places ``ats``. Texts are read twice and not moved."""
+    shared = items[0].sparkSession.sparkContext.broadcast(_rarity(items, bags))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            flat, owner, size = _tokens(batch.column(0), bags)
+            by = rarity[_cell(flat, len(rarity))]
+            order = np.lexsort((flat, by, owner))
+            begin = np.append(0, np.cumsum(size))
+            at = np.arange(len(flat)) - begin[owner]
+            some = (at < (size - -(-size * percent // 100) + 1)[owner]) & (by[order] > 1)
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(owner[some], minlength=len(size)))).astype(np.int32))
+            bound = np.bincount(owner * BOUND + (flat.view(np.uint64) >> np.uint64(57)).astype(np.int64), minlength=len(size) * BOUND)
+            bound = pa.array([r.tobytes() for r in np.minimum(bound, 255).astype(np.uint8).reshape(-1, BOUND)], pa.binary())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (flat[order][some], at[some].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], bound, *lists], names=["name", "n", "bound", "tokens", "ats"])
+
+    kind = "name struct<a:bigint,b:bigint>, n int, bound binary, tokens array<bigint>, ats array<int>"
+    # Empty ones go here: a filter before would be pushed below the hashing, which would be done twice.
+    return [t.select("items", "name", "n").mapInArrow(run, kind).filter("n > 0").dropDuplicates(["name"]) for t in items]
 
 
 def _length_class(n: Column, percent: int) -> Column:
@@ -78,14 +143,15 @@ def _length_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else n.cast("int")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, class, id, n, at): the first n - ceil(percent * n / 100) + 1 tokens of each set."""
-    most = F.col("n") - _ceil(F.col("n") * percent, 100) + 1
-    return sets.select("id", "n", _length_class(F.col("n"), percent).alias("class"), F.posexplode(F.slice("tokens", F.lit(1), most)).alias("at", "token"))
+def _prefixes(sets: DataFrame, percent: int, *more: str) -> DataFrame:
+    """(id, n, class, token, at, and more): a row for each token of a prefix that may be elsewhere."""
+    return sets.select("id", "n", *more, _length_class(F.col("n"), percent).alias("class"), F.explode(F.arrays_zip("tokens", "ats")).alias("t")).select("id", "n", *more, "class", F.col("t.tokens").alias("token"), F.col("t.ats").alias("at"))
 
 
-def _other_classes(rows: DataFrame, steps: tuple[int, ...]) -> DataFrame:
-    return rows.withColumn("class", F.explode(F.array(*[F.col("class") + s for s in steps])))
+def _firsts(rows: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+    """The row of least id of each token and class, as it is met by rows of classes ``steps`` away."""
+    first = rows.groupBy("token", "class").agg(F.min(F.struct("id", "n", "at")).alias("f"))
+    return first.select("token", F.explode(F.array(*[F.col("class") + s for s in steps])).alias("class"), "f.*")
 
 
 def split_join(left: DataFrame, right: DataFrame, on: list[str], most: int = CELL) -> DataFrame:
@@ -93,6 +159,7 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], most: int = CEL
     count = lambda t, c: t.groupBy(*on).agg(F.count(F.lit(1)).alias(c))
     parts = lambda c: F.ceil(F.col(c) / most).cast("int")
     hot = count(left, "__l").join(count(right, "__r"), on).filter((F.col("__l") > most) | (F.col("__r") > most)).select(*on, parts("__l").alias("__l"), parts("__r").alias("__r"))
+    hot = F.broadcast(hot)  # a row for ``most`` rows at most
 
     def dealt(t: DataFrame, own: str, other: str, seed: int) -> DataFrame:
         seen = t.join(hot, on, "left")
@@ -103,7 +170,7 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], most: int = CEL
 
 
 def _named(rows: DataFrame, side: str, *columns: str) -> DataFrame:
-    return rows.select("token", "class", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *columns)])
+    return rows.select("token", *[c for c in ("class",) if c in rows.columns], *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *columns)])
 
 
 def _need(measure: str, percent: int) -> Column:
@@ -120,39 +187,77 @@ def _possible(measure: str, percent: int) -> Column:
     return (short * 100 >= long * percent) & (room >= _need(measure, percent))
 
 
-def _shared(pairs: DataFrame, x: DataFrame, y: DataFrame, measure: str, percent: int, more: list[str]) -> DataFrame:
-    """Pairs (x_id, y_id) that share enough tokens of their full sets, with the columns ``more`` of both sides."""
-    side = lambda t, s: t.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "tokens", *more)])
-    both = pairs.join(side(x, "x"), "x_id").join(side(y, "y"), "y_id")
-    common = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return both.filter(common >= _need(measure, percent)).drop("x_tokens", "y_tokens")
-
+def _bounded(work: Workspace, pairs: DataFrame, x: DataFrame, y: DataFrame, measure: str, percent: int) -> DataFrame:
+    """Different pairs (x_id, y_id) that may share enough: sets share no more than the sum of the lesser counts of their cells. A full cell rules nothing out."""
+    side = lambda t, s: t.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("bound").alias(f"{s}_bound"))
+    both = pairs.distinct().join(side(x, "x"), "x_id").join(side(y, "y"), "y_id").select("x_id", "y_id", _need(measure, percent).alias("need"), "x_bound", "y_bound")
 
-def _word_sets(work: Workspace, df: DataFrame, text: str) -> DataFrame:
-    """One row for each distinct set of words: id (a number), name, n, tokens. Texts are read once."""
-    tokens = work.keep(df.select(_set(F.col(text)).alias("tokens")), "tokens")
-    rows = tokens.select(_identity(F.col("tokens")).alias("name"), F.size("tokens").alias("n"), "tokens").filter("n > 0")
-    out = work.keep(rows.dropDuplicates(["name"]).select(F.monotonically_increasing_id().alias("id"), "name", "n", "tokens"), "sets")
-    work.drop(tokens)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BOUND) for c in (3, 4))
+                good = (np.minimum(a, b).sum(1, dtype=np.int64) >= batch.column(2).to_numpy()) | (np.maximum(a, b).max(1) == 255)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], names=["x_id", "y_id"])
+
+    return work.keep(both.mapInArrow(run, "x_id bigint, y_id bigint"), "pairs")
+
+
+def _read_again(work: Workspace, items: DataFrame, sets: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """(id, items) of the sets ``ids``, from their texts: only those of these names are moved."""
+    names = work.keep(sets.join(ids.distinct(), "id", "left_semi").select("id", "name"), "names")
+    _, some = split_rows(items.select("items", "name"), F.col("name"), names.select("name.*"), most_broadcast)
+    named = names.select("id", F.col("name").alias("__name"))
+    found = some.select("items", "__name").join(F.broadcast(named) if names.count() <= most_broadcast else named, "__name").select("id", "items")
+    return work.keep(found.dropDuplicates(["id"]), "items")
+
+
+def _both(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs with the items of both. A side of SMALL items or fewer is broadcast, so pairs among few texts, however many, don't each move them."""
+    for t, s in ((x, "x"), (y, "y")):
+        few = (t.agg(F.sum(F.size("items"))).first()[0] or 0) <= SMALL
+        t = t.toDF(f"{s}_id", f"{s}_items")
+        pairs = pairs.join(F.broadcast(t) if few else t, f"{s}_id")
+    return pairs
+
+
+def _shared(work: Workspace, pairs: DataFrame, x: tuple[DataFrame, DataFrame], y: tuple[DataFrame, DataFrame], percent: int) -> DataFrame:
+    """Pairs (x_id, y_id) that are similar by their full sets; ``x`` and ``y``: items and sets of a side."""
+    left = _bounded(work, pairs, x[1], y[1], "jaccard", percent)
+    if x is y:
+        full = _read_again(work, *x, left.select(F.col("x_id").alias("id")).unionAll(left.select("y_id")))
+        sides = (full, full)
+    else:
+        sides = (_read_again(work, *x, left.select(F.col("x_id").alias("id"))), _read_again(work, *y, left.select(F.col("y_id").alias("id"))))
+    both = _both(left, *sides).withColumn("x_n", F.size("x_items")).withColumn("y_n", F.size("y_items"))
+    out = work.keep(both.filter(F.size(F.array_intersect("x_items", "y_items")) >= _need("jaccard", percent)).select("x_id", "y_id"), "links")
+    work.drop(left, *sides)
     return out
 
 
+def _set_items(df: DataFrame, text: str, *more: Column) -> DataFrame:
+    items = df.select(_set(F.col(text)).alias("items"), *more)
+    return items.select("*", _identity(F.col("items")).alias("name"), F.size("items").alias("n"))
+
+
+def _numbered(t: DataFrame) -> DataFrame:
+    return t.select(F.monotonically_increasing_id().alias("id"), "*")
+
+
 def similar_sets(df: DataFrame, other: DataFrame, text: str, other_text: str, percent: int, work: Workspace) -> DataFrame:
     """(a, b): names of the word sets of ``df`` with 100 * intersection >= percent * union for any set of ``other``.
 
-    First each set meets one set of ``other`` for each of its prefix tokens; only those without a match then meet all.
+    Sets that ``other`` has itself need no comparison. Of the rest each meets one set of ``other`` for each of its prefix tokens; only those without a match then meet all.
     """
-    sets = [_word_sets(work, df, text), _word_sets(work, other, other_text)]
-    x, y = _rare_first(work, sets)
-    work.drop(*sets)
-    mine, theirs = _prefixes(x, percent), _other_classes(_prefixes(y, percent), (-1, 0, 1))
-    first = theirs.groupBy("token", "class").agg(F.min(F.struct("id", "n", "at")).alias("f")).select("token", "class", "f.*")
-    found = None
-    for there in (first, theirs):
-        left = mine if found is None else mine.join(found, "id", "left_anti")
-        pairs = split_join(_named(left, "x"), _named(there, "y"), ["token", "class"]).filter(_possible("jaccard", percent)).select("x_id", "y_id").distinct()
-        new = work.keep(_shared(pairs, x, y, "jaccard", percent, []).select(F.col("x_id").alias("id")).distinct(), "similar")
-        found = new if found is None else found.unionAll(new)
+    items = [_set_items(t, c) for t, c in ((df, text), (other, other_text))]
+    x, y = (work.keep(_numbered(t), "sets") for t in _indexed(items, percent, False))
+    found = work.keep(x.join(y.select("name"), "name", "left_semi").select("id"), "similar")
+    theirs = _prefixes(y, percent)
+    for once in (True, False):
+        mine = _prefixes(x.join(found, "id", "left_anti"), percent)
+        there, on = (_firsts(theirs, (-1, 0, 1)), ["token", "class"]) if once else (theirs.drop("class"), ["token"])
+        pairs = split_join(_named(mine if once else mine.drop("class"), "x"), _named(there, "y"), on).filter(_possible("jaccard", percent)).select("x_id", "y_id")
+        new = _shared(work, pairs, (items[0], x), (items[1], y), percent)
+        found = found.unionAll(new.select(F.col("x_id").alias("id")).distinct())
     return x.join(found, "id", "left_semi").select("name.*")
 
 
@@ -160,8 +265,8 @@ def exclude_similar(df: DataFrame, other: DataFrame, text: str, other_text: str,
     """Rows whose set of words is not similar to that of any row of another dataset: 100 * intersection < percent * union for all of them.
 
     Every row is judged by its text, whatever its other columns are; null and blank texts have no words and are similar to nothing. An
-    empty ``other`` excludes nothing. Texts are read twice. Those that stay are not
-    shuffled: ``most_broadcast`` excluded sets (16 bytes each) or fewer are broadcast, of more only their buckets.
+    empty ``other`` excludes nothing. Texts are read several times. Those that stay are not
+    shuffled, unless they nearly match: ``most_broadcast`` excluded sets (16 bytes each) or fewer are broadcast, of more only their buckets.
     """
     if not 0 < percent <= 100:
         raise ValueError("a similarity is 1 to 100 per cent")
@@ -170,33 +275,6 @@ def exclude_similar(df: DataFrame, other: DataFrame, text: str, other_text: str,
     return without_rows(df, _identity(_set(F.col(text))), found, most_broadcast)
 
 
-def _bags(work: Workspace, df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each distinct sequence of words: id, n, its least key, the sequence, and its words as a set (a repeated word counts by its occurrence)."""
-    sequences = work.keep(df.select(F.col(key).alias("key"), _hashes(F.col(text)).alias("sequence")), "sequences")
-    rows = sequences.select(_identity(F.col("sequence")).alias("id"), "key", F.size("sequence").alias("n"), "sequence").filter("n > 0")
-    least = rows.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
-    rows = rows.select("id", "n", "sequence").dropDuplicates(["id"]).join(least, "id").select("id", "n", F.col("first.none").alias("none"), F.col("first.key").alias("key"), "sequence", F.col("sequence").alias("tokens"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(5)
-            flat, size = column.flatten().to_numpy(), column.value_lengths().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((flat, owner))
-            new = np.append(True, (flat[order][1:] != flat[order][:-1]) | (owner[order][1:] != owner[order][:-1]))[: len(flat)]
-            start = np.flatnonzero(new)
-            number = np.arange(len(flat)) - np.repeat(start, np.diff(np.append(start, len(flat))))
-            # The first occurrence keeps the word's hash; further ones are mixed with their number, one to one.
-            mixed = flat[order].view(np.uint64) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = np.where(number > 0, (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), mixed).view(np.int64)
-            done = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(mixed))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], done], names=batch.schema.names)
-
-    out = work.keep(rows.mapInArrow(run, rows.schema), "bags")
-    work.drop(sequences)
-    return out
-
-
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences, or ``most`` + 1 if it is larger: only cells within ``most`` of the diagonal are worked out."""
     if len(a) < len(b):
@@ -233,9 +311,17 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(row[m - n + most])
 
 
-def _aligned(pairs: DataFrame, x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two sequences share, repeated ones by their occurrence."""
+    (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
+def _aligned(work: Workspace, pairs: DataFrame, items: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(x_id, y_id, identity): pairs with 100 * (longest - edits) >= percent * longest; the shared words are counted before sequences are aligned."""
-    rows = _shared(pairs, x, y, "edits", percent, ["sequence"]).select("x_id", "y_id", "x_sequence", "y_sequence")
+    left = _bounded(work, pairs, sets, sets, "edits", percent)
+    full = _read_again(work, items, sets, left.select(F.col("x_id").alias("id")).unionAll(left.select("y_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,14 +330,15 @@ def _aligned(pairs: DataFrame, x: DataFrame, y: DataFrame, percent: int) -> Data
                 a, b = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
                 long = max(len(a), len(b))
                 most = (100 - percent) * long // 100
-                e = edits(a, b, most)
+                e = edits(a, b, most) if _overlap(a, b) >= long - most else most + 1
                 good.append(e <= most)
                 identity.append((long - e) / long)
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(identity, pa.float64()).filter(keep)], names=["x_id", "y_id", "identity"])
 
-    kind = "struct<a:bigint,b:bigint>"
-    return rows.mapInArrow(run, f"x_id {kind}, y_id {kind}, identity double")
+    out = work.keep(_both(left, full, full).select("x_id", "y_id", "x_items", "y_items").mapInArrow(run, "x_id bigint, y_id bigint, identity double"), "aligned")
+    work.drop(left, full)
+    return out
 
 
 def representatives(df: DataFrame, key: str, text: str, percent: int = 90) -> DataFrame:
@@ -273,51 +360,52 @@ def representatives(df: DataFrame, key: str, text: str, percent: int = 90) -> Da
 
 
 def _representatives(df: DataFrame, key: str, text: str, percent: int, work: Workspace) -> DataFrame:
-    bags = _bags(work, df, key, text)
-    texts = _rare_first(work, [bags])[0]
-    work.drop(bags)
-    turn = F.struct((-F.col("n")).alias("n"), "none", "key", "id")
-    turns = texts.select("id", turn.alias("turn"))
-    prefixes = work.keep(_prefixes(texts, percent).join(turns, "id"), "prefixes")
-    left = work.keep(turns, "undecided")
+    items = df.select(F.col(key).alias("key"), _hashes(F.col(text)).alias("items"))
+    own = items.select("key", "items", _identity(F.col("items")).alias("name"), F.size("items").alias("n"))
+    items = own.drop("key")
+    least = own.groupBy("name").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
+    # Numbers go up in the order in which texts are taken.
+    turns = _indexed([items], percent, True)[0].join(least, "name").orderBy(F.desc("n"), "first.none", "first.key", "name")
+    texts = work.keep(_numbered(turns).select("id", "name", "n", "bound", "tokens", "ats", F.col("first.key").alias("key")), "sets")
+    left = work.keep(texts.select("id"), "undecided")
     chosen, members = [], []
+
+    def least_links(found: DataFrame) -> DataFrame:
+        return work.keep(found.groupBy("x_id").agg(F.min(F.struct("y_id", "identity")).alias("m")).select(F.col("x_id").alias("id"), F.col("m.y_id").alias("to"), "m.identity"), "members")
+
+    def earlier(x: DataFrame, y: DataFrame) -> DataFrame:
+        return split_join(_named(x.drop("class"), "x"), _named(y.drop("class"), "y"), ["token"]).filter("y_id < x_id").filter(_possible("edits", percent)).select("x_id", "y_id")
+
     for _ in range(ROUNDS):
-        mine = prefixes.join(left.select("id"), "id", "left_semi")
-        first = mine.groupBy("token", "class").agg(F.min("turn").alias("first"))
+        mine = _prefixes(texts.join(left, "id", "left_semi"), percent)
         # Longer texts that are close enough are in the same class or the next.
-        seen = _other_classes(mine.select("id", "n", "at", "turn", "token", "class"), (0, 1)).join(first, ["token", "class"])
-        heads = work.keep(seen.groupBy("id").agg(F.min("first").alias("first"), F.first("turn").alias("turn")).filter("first = turn").select("id", "turn"), "heads")
-        theirs = mine.join(heads.select("id"), "id", "left_semi")
-        others = _other_classes(mine.join(heads.select("id"), "id", "left_anti"), (0, 1))
-        pairs = split_join(_named(others, "x", "turn"), _named(theirs, "y", "turn"), ["token", "class"]).filter("y_turn < x_turn").filter(_possible("edits", percent)).select("x_id", "y_id").distinct()
-        found = _aligned(pairs, texts, texts, percent).join(turns.toDF("y_id", "y_turn"), "y_id")
-        new = work.keep(found.groupBy("x_id").agg(F.min(F.struct("y_turn", "y_id", "identity")).alias("m")).select(F.col("x_id").alias("id"), F.col("m.y_id").alias("to"), "m.identity"), "members")
+        seen = mine.select("id", "token", "class").join(_firsts(mine, (0, -1)).select("token", "class", F.col("id").alias("first")), ["token", "class"])
+        later = work.keep(seen.groupBy("id").agg(F.min("first").alias("first")).filter("first < id").select("id"), "later")
+        heads = work.keep(left.join(later, "id", "left_anti"), "heads")
+        new = least_links(_aligned(work, earlier(mine.join(later, "id", "left_semi"), mine.join(heads, "id", "left_semi")), items, texts, percent))
         chosen.append(heads)
         members.append(new)
-        left = work.keep(left.join(heads.select("id").unionAll(new.select("id")), "id", "left_anti"), "undecided")
+        left = work.keep(later.join(new.select("id"), "id", "left_anti"), "undecided")
         if left.isEmpty():
             break
     else:
-        mine = prefixes.join(left.select("id"), "id", "left_semi")
-        pairs = split_join(_named(_other_classes(mine, (0, 1)), "x", "turn"), _named(mine, "y", "turn"), ["token", "class"]).filter("y_turn < x_turn").filter(_possible("edits", percent)).select("x_id", "y_id").distinct()
-        links = work.keep(_aligned(pairs, texts, texts, percent).join(turns.toDF("y_id", "y_turn"), "y_id").withColumnRenamed("x_id", "id"), "links")
+        mine = _prefixes(texts.join(left, "id", "left_semi"), percent)
+        links = _aligned(work, earlier(mine, mine), items, texts, percent)
         while not left.isEmpty():
             # Without a link to an undecided text before it, a text is a representative; what is linked to one is decided too.
-            heads = work.keep(left.join(links.select("id").distinct(), "id", "left_anti"), "heads")
-            found = links.join(heads.select(F.col("id").alias("y_id")), "y_id", "left_semi")
-            new = work.keep(found.groupBy("id").agg(F.min(F.struct("y_turn", "y_id", "identity")).alias("m")).select("id", F.col("m.y_id").alias("to"), "m.identity"), "members")
+            heads = work.keep(left.join(links.select(F.col("x_id").alias("id")).distinct(), "id", "left_anti"), "heads")
+            new = least_links(links.join(heads.select(F.col("id").alias("y_id")), "y_id", "left_semi"))
             chosen.append(heads)
             members.append(new)
-            gone = heads.select("id").unionAll(new.select("id"))
+            gone = heads.unionAll(new.select("id"))
             left = work.keep(left.join(gone, "id", "left_anti"), "undecided")
-            links = work.keep(links.join(new.select("id"), "id", "left_anti").join(new.select(F.col("id").alias("y_id")), "y_id", "left_anti"), "links")
+            links = work.keep(links.join(new.select(F.col("id").alias("x_id")), "x_id", "left_anti").join(new.select(F.col("id").alias("y_id")), "y_id", "left_anti"), "links")
     decided = None
     for part in [c.select("id", F.col("id").alias("to"), F.lit(1.0).alias("identity")) for c in chosen] + members:
         decided = part if decided is None else decided.unionAll(part)
     names = texts.select(F.col("id").alias("to"), F.col("key").alias("representative"))
-    placed = decided.join(names, "to").select("id", "representative", "identity")
-    own = df.select(F.col(key).alias("key"), _identity(_hashes(F.col(text))).alias("id"))
-    out = own.join(placed, "id", "left")
+    placed = decided.join(names, "to").join(texts.select("id", "name"), "id").select("name", "representative", "identity")
+    out = own.select("key", "name").join(placed, "name", "left")
     alone = F.col("identity").isNull()
     return out.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("representative")).alias("representative"), F.coalesce("identity", F.lit(1.0)).alias("identity"))
 
@@ -355,25 +443,23 @@ def similar_groups(df: DataFrame, key: str, text: str, percent: int = 80) -> Dat
     if not 0 < percent <= 100:
         raise ValueError("a similarity is 1 to 100 per cent")
     with Workspace(df.sparkSession) as work:
-        rows = work.keep(df.select(F.col(key).alias("key"), _set(F.col(text)).alias("tokens")), "tokens")
-        named = rows.select(_identity(F.col("tokens")).alias("id"), F.size("tokens").alias("n"), "tokens", "key")
-        sets = work.keep(named.filter("n > 0").select("id", "n", "tokens").dropDuplicates(["id"]), "sets")
-        texts = _rare_first(work, [sets])[0]
-        work.drop(sets)
-        theirs = work.keep(_prefixes(texts, percent), "prefixes")
-        first = theirs.groupBy("token", "class").agg(F.min(F.struct("id", "n", "at")).alias("f")).select("token", "class", "f.*")
-        around = _other_classes(theirs, (-1, 0, 1))
-        pairs = split_join(_named(around, "x"), _named(first, "y"), ["token", "class"]).filter("x_id <> y_id").filter(_possible("jaccard", percent))
-        links = work.keep(_shared(pairs.select(F.least("x_id", "y_id").alias("x_id"), F.greatest("x_id", "y_id").alias("y_id")).distinct(), texts, texts, "jaccard", percent, []).select("x_id", "y_id"), "links")
+        named = _set_items(df, text, F.col(key).alias("key"))
+        side = named.drop("key")
+        side = (side, work.keep(_numbered(_indexed([side], percent, False)[0]), "sets"))
+        mine = _prefixes(side[1], percent)
+        pairs = split_join(_named(mine, "x"), _named(_firsts(mine, (-1, 0, 1)), "y"), ["token", "class"]).filter("x_id <> y_id").filter(_possible("jaccard", percent))
+        links = _shared(work, pairs.select(F.least("x_id", "y_id").alias("x_id"), F.greatest("x_id", "y_id").alias("y_id")), side, side, percent)
         roots = work.keep(components(work, links), "roots")
 
         def rooted(t: DataFrame) -> DataFrame:
             return t.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-        pairs = split_join(_named(rooted(around), "x", "root"), _named(rooted(theirs), "y", "root"), ["token", "class"]).filter("x_root <> y_root AND x_id < y_id").filter(_possible("jaccard", percent))
-        more = work.keep(_shared(pairs.select("x_id", "y_id").distinct(), texts, texts, "jaccard", percent, []).select("x_id", "y_id"), "links")
+        mine = _prefixes(rooted(side[1]), percent, "root").drop("class")
+        pairs = split_join(_named(mine, "x", "root"), _named(mine, "y", "root"), ["token"]).filter("x_root <> y_root AND x_id < y_id").filter(_possible("jaccard", percent))
+        more = _shared(work, pairs.select("x_id", "y_id"), side, side, percent)
         roots = roots if more.isEmpty() else work.keep(components(work, links.unionAll(more)), "roots")
-        own = rooted(named.select("key", "n", "id"))
-        least = own.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
-        out = own.join(least, "root", "left").select(F.col("key").alias(key), F.when(F.col("n") > 0, F.col("first.key")).otherwise(F.col("key")).alias("group_id"))
+        placed = rooted(side[1].select("id", "name")).select("name", "root")
+        own = named.select("key", "name").join(placed, "name", "left")
+        least = own.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
+        out = own.join(least, "root", "left").select(F.col("key").alias(key), F.when(F.col("root").isNotNull(), F.col("first.key")).otherwise(F.col("key")).alias("group_id"))
         return work.result(out, "groups")

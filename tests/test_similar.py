@@ -165,3 +165,21 @@ def test_similar_groups(spark, percent):
     want = [(k, least.get(root(i)) if s else k) for i, (k, s) in enumerate(sets)]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
     assert similar.similar_groups(df.limit(0), "k", "text").count() == 0
+
+
+def test_only_prefixes_of_sets_are_written(spark, monkeypatch):
+    # Words of one text alone are in no prefix row, so what is written is a fraction of the words.
+    rng = random.Random(4)
+    data = [(i, " ".join("w%d" % (rng.randrange(300) if j % 4 == 0 else 1000 * (i + 1) + j) for j in range(200))) for i in range(60)]
+    data += [(100 + i, t.replace(" ", "  ", 3) + " more") for i, t in data[:6]]
+    kept, keep = [], Workspace.keep
+
+    def noted(self, df, name):
+        out = keep(self, df, name)
+        kept.append((name, sum(out.select(F.sum(F.size(c))).first()[0] or 0 for c, kind in out.dtypes if kind == "array<bigint>")))
+        return out
+
+    monkeypatch.setattr(Workspace, "keep", noted)
+    got = {r.k: r.group_id for r in similar.similar_groups(spark.createDataFrame(data, "k long, text string"), "k", "text", 80).collect()}
+    assert got == {k: k - 100 if k >= 100 else k for k, _ in data}
+    assert sum(n for _, n in kept) < 0.5 * sum(len(set(t.split())) for _, t in data)
