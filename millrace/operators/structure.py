@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sets of columns that are counted in one scan; more take further scans.
 AT_ONCE = 64
+#: Part of all values, by their hash, in which repeats are looked for first: a repeat found there is one, whatever the rest is.
+SLICE = 256
 #: Types whose values are compared with each other, and the type they are compared as.
 FAMILIES = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double", "string": "string", "date": "date", "timestamp": "timestamp", "timestamp_ntz": "timestamp_ntz", "boolean": "boolean"}
 
@@ -23,32 +24,33 @@ def _value(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b")]
 
 
-def _distinct(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[int, bool]]:
-    """For each set of columns its number of distinct values, and whether any of its columns is null anywhere."""
-    out = {}
+def _repeating(df: DataFrame, sets: list[tuple[str, ...]], part: int) -> set[tuple[str, ...]]:
+    """Sets of columns with a value that two rows have, among the values whose hash is a multiple of ``part``: all rows of such a value are looked at."""
+    out = set()
     for lo in range(0, len(sets), AT_ONCE):
         some = sets[lo : lo + AT_ONCE]
-        null = lambda s: reduce(lambda x, y: x | y, [F.col(c).isNull() for c in s])
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *_value(*map(F.col, s)), null(s).alias("null")) for i, s in enumerate(some)])).alias("v")
-        values = df.select(each).select("v.*").groupBy("i", "a", "b").agg(F.max("null").alias("null"))
-        out |= {s: (0, False) for s in some} | {some[r.i]: (r.n, r.null) for r in values.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.max("null").alias("null")).collect()}
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *_value(*map(F.col, s))) for i, s in enumerate(some)])).alias("v")
+        values = df.select(each).select("v.*").filter(F.col("a") % part == 0).groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        out |= {some[r.i] for r in values.filter("n > 1").select("i").distinct().collect()}
     return out
 
 
 def candidate_keys(df: DataFrame, columns: list[str], most: int = 2) -> DataFrame:
     """(``columns``, ``size``): the least sets of up to ``most`` columns whose values together are never null and never repeat; names joined by commas, in the order given.
 
-    Level by level: a set is counted only if no part of it is a key, none of its columns has nulls, and its columns' distinct values
-    could tell all rows apart. An empty table has no keys.
+    Level by level: a set is looked at only if no part of it is a key and none of its columns has nulls. One part in SLICE of its values
+    comes first, with all their rows; a set with a repeat there is no key. Only the others, keys or nearly so, have all their values shuffled. An empty table has no keys.
     """
-    spark, n = df.sparkSession, df.count()
+    spark = df.sparkSession
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     keys: list[tuple[str, ...]] = []
-    distinct = _distinct(df, [(c,) for c in columns])
-    usable = [c for c in columns if not distinct[(c,)][1]]
-    for size in range(1, most + 1 if n else 1):
-        sets = [s for s in combinations(usable, size) if not any(set(k) <= set(s) for k in keys) and prod(distinct[(c,)][0] for c in s) >= n]
-        found = distinct if size == 1 else _distinct(df, sets)
-        keys += [s for s in sets if found[s][0] == n]
+    usable = [c for i, c in enumerate(columns) if counts[f"c{i}"] == counts.n]
+    for size in range(1, most + 1 if counts.n else 1):
+        sets = [s for s in combinations(usable, size) if not any(set(k) <= set(s) for k in keys)]
+        for part in (SLICE, 1):
+            repeat = _repeating(df, sets, part)
+            sets = [s for s in sets if s not in repeat]
+        keys += sets
     return spark.createDataFrame([(",".join(k), len(k)) for k in keys], "columns string, size int")
 
 

@@ -29,6 +29,16 @@ def test_candidate_keys(spark, monkeypatch, most):
     assert op.candidate_keys(df.limit(0), names, most).count() == 0
 
 
+def test_only_keys_have_all_their_values_shuffled(spark, monkeypatch):
+    looked, repeating = [], structure._repeating
+    monkeypatch.setattr(structure, "_repeating", lambda df, sets, part: looked.append((part, list(sets))) or repeating(df, sets, part))
+    df = spark.range(20_000).select("id", (F.col("id") % 9000).alias("d"), F.greatest("id", F.lit(1)).alias("nearly"), (F.col("id") % 100).alias("m"))
+    assert [r.columns for r in op.candidate_keys(df, df.columns).collect()] == ["id", "d,nearly", "nearly,m"]
+    # A column with a single repeat passes the first look and is found out by the second.
+    assert looked[1][0] == looked[3][0] == 1 and {("id",), ("nearly",)} <= set(looked[1][1]) and ("d",) not in looked[1][1]
+    assert looked[3][1] == [("d", "nearly"), ("nearly", "m")]
+
+
 def test_inclusions(spark):
     a = spark.createDataFrame([(1, "x", 1.5, None), (2, "y", 2.0, None), (2, None, 2.0, None)], "k int, s string, f double, none int")
     b = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (None, "1")], "id long, t string").withColumn("list", F.array("t"))
