@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,18 +12,20 @@ MOST_BATCHES = 1000
 
 
 def window_aggregates(
-    spark: SparkSession, source: str, schema: str, time: str, delay: str, size: str, keys: list[str], aggregates: list[Column], sink: str, checkpoint: str, sessions: bool = False, files_per_batch: int = 1,
+    spark: SparkSession, source: str, schema: str, time: str, delay: str, size: str, keys: list[str], aggregates: list[Column], sink: str, checkpoint: str, sessions: bool = False, files_per_batch: int | None = 1,
 ) -> int:
     """Aggregate the files not seen before by window and keys, append what is final to ``sink`` (Parquet), and stop; returns how many rows came too late (those of one window and key in one task count once).
 
     Windows are tumbling ones of ``size``, or sessions of one key that end when nothing has come for ``size``. A window is final, and
     is written once, when its end is not after the watermark: the latest time seen, less ``delay``. Open windows stay in the state that the
     checkpoint keeps; they are neither lost nor written twice by a restart, and later files may still complete them. Rows whose window was closed by the
-    watermark that a batch before the last one has set are dropped and counted; none within ``delay`` of the latest is. Rows without a time belong to no window. A null key is a key.
+    watermark that a batch before the last one has set are dropped and counted; none within ``delay`` of the latest is. A batch has ``files_per_batch``
+    files, or with None all that are there: what arrives together then has one watermark, and the number of batches is that of the arrivals, however many files each has. Rows without a time belong to no window. A null key is a key.
 
     State is one row per open window and key, so it is bounded by ``delay`` and the number of keys, not by the length of the stream.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    reader = spark.readStream.schema(schema)
+    stream = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(source)
     stream = stream.withColumn(time, F.col(time).cast("timestamp")).filter(F.col(time).isNotNull()).withWatermark(time, delay)
     window = (F.session_window if sessions else F.window)(time, size).alias("window")
     out = stream.groupBy(window, *keys).agg(*aggregates)
@@ -48,10 +52,11 @@ def first_arrivals(spark: SparkSession, source: str, schema: str, key: str, time
     query.awaitTermination()
 
 
-def feed(df: DataFrame, batch: str, path: str) -> None:
-    """Write a table as files that arrive one batch after another, by the numbers in a column (which is left out); a null number comes first. More than MOST_BATCHES are an error."""
+def feed(df: DataFrame, batch: str, path: str, arrived: Callable[[], object] = lambda: None) -> None:
+    """Write a table as files that arrive one batch after another, by the numbers in a column (which is left out); a null number comes first. ``arrived`` is called after each. More than MOST_BATCHES are an error."""
     numbers = sorted((r[0] for r in df.select(batch).distinct().limit(MOST_BATCHES + 1).collect()), key=lambda b: (b is not None, b or 0))
     if len(numbers) > MOST_BATCHES:
         raise ValueError(f"more than {MOST_BATCHES} batches")
     for number in numbers:
         df.filter(F.col(batch).eqNullSafe(F.lit(number))).drop(batch).write.mode("append").parquet(path)
+        arrived()

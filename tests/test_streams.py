@@ -63,3 +63,15 @@ def test_first_arrivals(spark, tmp_path):
     arrive(spark, f"{tmp_path}/in", [[(20, "b", 6), (25, "a", 7)], [(200, "c", 8)], [(201, "c", 11)], [(300, "a", 9), (300, "b", 10)]], 2)
     assert go() == [1, 2, 3, 5, 8, 9, 10]
     assert go() == [1, 2, 3, 5, 8, 9, 10]
+
+
+def test_what_arrives_together_is_one_batch(spark, tmp_path):
+    # The files of an arrival come in any order: one at a time, 100 would close the window of 5.
+    rows = [(at(m), "a", 1, b) for b, ms in enumerate([(100, 5, 50, 61), (90, 99, 160), (300,)]) for m in ms]
+    df = spark.createDataFrame(rows, SCHEMA + ", batch int").repartition(8, "ts")
+    late = []
+    feed(df, "batch", f"{tmp_path}/in", lambda: late.append(run(spark, tmp_path, files_per_batch=None)))
+    assert late == [0, 0, 0]
+    assert windows(spark, f"{tmp_path}/out") == sorted([(m, "a", n, n) for m, n in ((0, 1), (50, 1), (60, 1), (90, 2), (100, 1), (160, 1))], key=repr)
+    commits = [f for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit()]
+    assert len(commits) <= 6 < len(list((tmp_path / "in").glob("part-*")))
