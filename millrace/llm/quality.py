@@ -15,11 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import U, gram_hashes, word_bounds, word_hashes
 from millrace.llm.repeats import split_by, text_key
-from millrace.llm.tables import hash_sample, pieces
+from millrace.llm.tables import pieces
 from millrace.llm.tables import keep as keep_table
 
 #: The characters that count as symbols.
@@ -85,12 +86,12 @@ class LikelihoodRatio:
         return out
 
 
-def fit(df: DataFrame, key: str, text: str, labels: DataFrame, good: Column, sample: int = 20_000, most_broadcast: int = 1_000_000) -> LikelihoodRatio:
-    """The model: raw counts from all of ``df``, target counts from all trusted documents of one half, the threshold from labelled documents of the other.
+def fit(df: DataFrame, key: str, text: str, labels: DataFrame, good: Column, most_broadcast: int = 1_000_000) -> LikelihoodRatio:
+    """The model: raw counts from all of ``df``, target counts from all trusted documents of one half, the threshold from all labelled documents of the other.
 
     ``labels`` has the key and whatever ``good`` looks at; a key with several labels is good if all are. The key's hash deals labels to
     halves, so no document is scored by its own counts. Texts of the first half's good keys are found through a bit filter and a
-    join, which broadcasts the labels if there are ``most_broadcast`` or fewer, else shuffles these texts. For the threshold at most ``sample`` keys of the second half are used, those with the least hash. Without
+    join, which broadcasts the labels if there are ``most_broadcast`` or fewer, else shuffles these texts. Those of the second half are found alike, scored, and counted by score. Without
     good labels the target is the raw corpus, and every score is 0 and kept.
 
     The threshold: between the scores of good and other documents, the one that makes the sum of
@@ -110,21 +111,33 @@ def fit(df: DataFrame, key: str, text: str, labels: DataFrame, good: Column, sam
     if not target.sum():
         return LikelihoodRatio(np.zeros(1 << BITS), 0.0)
     ratio = LikelihoodRatio.of(target.astype(float), raw.astype(float))
-    held = texts(keep_table(hash_sample(known.filter("half = 1"), "key", sample), "held"))
-    held = score(held, {"good": F.col("good")}, "text", LikelihoodRatio(ratio, 0.0)).select("good", "score", "n_words").filter("n_words > 0").toPandas()
-    return LikelihoodRatio(ratio, _threshold(held["score"].to_numpy(), held["good"].to_numpy() == 1))
-
-
-def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
-    if not good.any() or good.all():
-        return float(scores.min()) - 1.0 if len(scores) else -np.inf
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    lost = np.append(0, np.cumsum(g)) / g.sum()
-    passed = ((~g).sum() - np.append(0, np.cumsum(~g))) / (~g).sum()
-    k = int(np.argmin(10 * lost + passed))
-    below = s[k - 1] if k else s[0] - 1.0
-    return float((below + s[k]) / 2) if k < len(s) else float(s[-1])
+    held = score(texts(known.filter("half = 1")), {"good": F.col("good")}, "text", LikelihoodRatio(ratio, 0.0)).filter("n_words > 0").select("good", "score")
+    return LikelihoodRatio(ratio, _threshold(keep_table(held, "held")))
+
+
+def _threshold(held: DataFrame, cells: int = 1024) -> float:
+    """The best cut between different scores of rows (good: 1 or 0, score); of equally good ones the lowest.
+
+    Rows are counted by score first. Scores are dealt to ``cells`` by quantiles, whose totals are summed up from the lowest, and only within a cell
+    are scores sorted: a row for each cell and the best cut reach the driver.
+    """
+    each = keep_table(held.groupBy("score").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b")), "scores")
+    all_ = each.agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.min("score").alias("least"), F.percentile_approx("score", [i / cells for i in range(1, cells)], 10_000).alias("cuts")).first()
+    if not all_.g or not all_.b:
+        return -np.inf if all_.least is None else all_.least - 1.0
+    cuts = sorted(set(all_.cuts or []))
+    line = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    placed = each.withColumn("cell", F.size(F.filter(line, lambda x: x < F.col("score"))))
+    before = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # over ``cells`` rows at most
+    totals = placed.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.max("score").alias("last"))
+    totals = totals.select("cell", *[F.coalesce(f.over(before), o).alias(n) for n, f, o in (("g0", F.sum("g"), F.lit(0)), ("b0", F.sum("b"), F.lit(0)), ("below0", F.max("last"), F.lit(None)))])
+    own = W.partitionBy("cell").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    upto = lambda n: F.col(f"{n}0") + F.coalesce(F.sum(n).over(own), F.lit(0))
+    # A cut lies before each score, between it and the one below.
+    cuts = placed.join(F.broadcast(totals), "cell").select("score", upto("g").alias("lost"), upto("b").alias("out"), F.coalesce(F.max("score").over(own), "below0").alias("below"))
+    cost = 10 * F.col("lost") / F.lit(float(all_.g)) + (F.lit(float(all_.b)) - F.col("out")) / F.lit(float(all_.b))
+    best = cuts.agg(F.min(F.struct(cost.alias("cost"), "score", "below")).alias("m")).first().m
+    return ((best.score - 1.0 if best.below is None else best.below) + best.score) / 2
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

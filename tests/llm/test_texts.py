@@ -505,3 +505,21 @@ def test_boosted_trees_on_held_out_urls(spark):
     assert ((model.score(rest) >= 0.5) == (rest["y"] == 1)).mean() > 0.92
     assert (urls.UrlModel.fit(made[:2000]).score(rest) == model.score(rest)).all()
     assert (urls.UrlModel.fit(made[:0]).score(rest) == 0.5).all()
+
+
+def test_the_threshold_is_the_best_cut_of_all_held_labels(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 40, 700):
+        scores, good = np.round(rng.normal(size=n) + (many := rng.random(n) < 0.7), 1), many
+        held = spark.createDataFrame([(int(g), float(x)) for g, x in zip(good, scores, strict=True)], "good int, score double")
+        levels = np.unique(scores)
+        cost = [10 * (scores[good] < x).sum() / good.sum() + (scores[~good] >= x).sum() / (~good).sum() if good.any() and not good.all() else 0 for x in levels]
+        k = int(np.argmin(cost))
+        want = levels[0] - 1.0 if not good.any() or good.all() else ((levels[k - 1] if k else levels[0] - 1.0) + levels[k]) / 2
+        for cells in (1, 7, 1024):
+            assert quality._threshold(held, cells) == pytest.approx(want)
+    n, seen = 45_000, []
+    docs = spark.range(n).select(F.col("id").alias("k"), F.concat(F.lit("word "), (F.col("id") % 7).cast("string")).alias("text"))
+    monkeypatch.setattr(quality, "_threshold", lambda held, *_: seen.append(held.count()) or 0.0)
+    quality.fit(docs, "k", "text", docs.select("k", (F.col("k") % 2).alias("q")), F.col("q") == 1)
+    assert seen == [docs.filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(2)) == 1).count()] and seen[0] > 20_000
