@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.sources import Workspace
+
 
 def as_of(left: DataFrame, right: DataFrame, time: str, keys: list[str], slice_seconds: int, tolerance_seconds: int | None = None, suffix: str = "_right") -> DataFrame:
     """All rows of ``left``, each with the last row of ``right`` that has its keys and a time not after its own; null columns if there is none.
@@ -96,5 +98,58 @@ def in_interval(points: DataFrame, intervals: DataFrame, value: str, low: str, h
     return joined.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("__level", "__bin")
 
 
+def interval_summary(points: DataFrame, intervals: DataFrame, value: str, least: str, low: str, high: str, cells: int = 1024) -> DataFrame:
+    """All rows of ``intervals``, with ``n_points``, how many points have low <= value < high, and ``least_point``, the least ``least`` among these (null without any). Both may repeat rows.
+
+    No pair is made, so the work grows with the rows of both sides and not with their product. Values and bounds are numbers. Points are counted by value first, and equal intervals are one. Values get
+    their place in order: they are dealt to ``cells`` by quantiles, whose totals are broadcast, and sorted within a cell together with the bounds. What is below a bound
+    gives the count. For the least, nodes of 16, 256, ... places hold theirs, and an interval is a stretch of at most 30 nodes of each size. A null or NaN value or bound
+    matches nothing, and neither does an empty interval.
+    """
+    clash = {"n_points", "least_point"} & set(intervals.columns)
+    if clash:
+        raise ValueError(f"columns are there already: {sorted(clash)}")
+    number = lambda c: F.col(c).cast("double")
+    good = lambda c: number(c).isNotNull() & ~F.isnan(number(c))
+    with Workspace(points.sparkSession) as work:
+        each = work.keep(points.filter(good(value)).groupBy(number(value).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(least).alias("m")), "values")
+        wanted = work.keep(intervals.filter(good(low) & good(high) & (F.col(low) < F.col(high))).select(number(low).alias("lo"), number(high).alias("hi")).distinct(), "intervals")
+        cuts = sorted(set(each.agg(F.percentile_approx("v", [i / cells for i in range(1, cells)], 10_000).alias("q")).first().q or []))
+        line = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+        bounds = wanted.select(F.col("lo").alias("v")).unionAll(wanted.select("hi")).distinct().select("v", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(dict(each.dtypes)["m"]).alias("m"), F.lit(0).alias("point"))
+        rows = each.select("v", "n", "m", F.lit(1).alias("point")).unionAll(bounds).withColumn("cell", F.size(F.filter(line, lambda x: x <= F.col("v"))))
+        earlier = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # over ``cells`` rows at most
+        totals = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("point").alias("k")).select("cell", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("n", "k")])
+        # A bound comes before a value that is equal to it.
+        own = W.partitionBy("cell").orderBy("v", "point").rowsBetween(W.unboundedPreceding, -1)
+        below = [(F.col(f"{c}0") + F.coalesce(F.sum(f).over(own), F.lit(0))).alias(o) for c, f, o in (("n", "n", "below"), ("k", "point", "place"))]
+        placed = work.keep(rows.join(F.broadcast(totals), "cell").select("v", "m", "point", *below), "placed")
+        at = placed.filter("point = 0")
+        ends = wanted.join(at.select(F.col("v").alias("lo"), F.col("below").alias("a"), F.col("place").alias("first")), "lo").join(at.select(F.col("v").alias("hi"), F.col("below").alias("b"), F.col("place").alias("last")), "hi")
+        ends = work.keep(ends.filter("a < b").select("lo", "hi", (F.col("b") - F.col("a")).alias("n"), "first", "last"), "ends")
+
+        levels = max(1, -(-max(1, each.count()).bit_length() // 4))
+
+        def nodes(level: int, a: Column, b: Column) -> Column:
+            """The stretch [a, b) of nodes of 16**level places."""
+
+            def one(x: Column, y: Column) -> Column:
+                found = F.transform(F.sequence(x, y - 1), lambda i: F.struct(F.lit(level).alias("level"), i.alias("node")))
+                return F.when(x < y, found).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+
+            if level == levels:
+                return one(a, b)
+            up, down = F.shiftright(a + 15, 4), F.shiftright(b, 4)
+            return F.when(up < down, F.concat(one(a, up * 16), nodes(level + 1, up, down), one(down * 16, b))).otherwise(one(a, b))
+
+        above = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright("place", 4 * i).alias("node")) for i in range(levels + 1)])).alias("x")
+        tree = placed.filter("point = 1").select(above, "m").groupBy("x").agg(F.min("m").alias("m"))
+        pieces = ends.select("lo", "hi", F.explode(nodes(0, F.col("first"), F.col("last"))).alias("x"))
+        low_ones = pieces.join(tree, "x").groupBy("lo", "hi").agg(F.min("m").alias("m"))
+        found = work.result(ends.join(low_ones, ["lo", "hi"]).select("lo", "hi", "n", "m"), "summaries")
+    out = intervals.join(found, (number(low) == F.col("lo")) & (number(high) == F.col("hi")), "left")
+    return out.select(*[intervals[c] for c in intervals.columns], F.coalesce("n", F.lit(0)).alias("n_points"), F.col("m").alias("least_point"))
+
+
 def _is_time(df: DataFrame, column: str) -> bool:
     return dict(df.dtypes)[column] in ("timestamp", "timestamp_ntz", "date")

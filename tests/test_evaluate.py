@@ -163,3 +163,23 @@ def test_linear_model(spark, tmp_path):
     out = op.predict(df, op.linear_model(model), ["a", "b", "c"], "p", T.DoubleType()).collect()
     assert all(r.p == pytest.approx(r.y, abs=1e-2) for r in out if r.a is not None and r.c is not None) and sum(r.p is None for r in out) == 2
     assert op.fit_linear(df.limit(0), ["a", "b"], "y") == {"inputs": ["a", "b"], "weights": [0.0, 0.0], "bias": 0.0}
+
+
+@pytest.mark.parametrize("cells", [1, 5, 1024])
+def test_interval_summary(spark, cells):
+    import random
+
+    from millrace.operators import interval_summary
+
+    rng = random.Random(cells)
+    points = [(i, rng.choice((float(rng.randrange(40)), rng.random() * 900))) for i in range(700)] + [(-1, None), (-2, float("nan"))]
+    rng.shuffle(points)
+    ends = [None, float("nan"), 0.0, 3.0, 3.5, 17.0, -5.0, 2000.0] + [rng.random() * 900 for _ in range(20)]
+    intervals = [(k, rng.choice(ends), rng.choice(ends)) for k in range(200)]
+    out = interval_summary(spark.createDataFrame(points, "i long, v double").repartition(5), spark.createDataFrame(intervals, "k long, a double, b double"), "v", "i", "a", "b", cells)
+    inside = lambda a, b: [i for i, v in points if None not in (a, b, v) and a <= v < b]
+    got = {r.k: (r.n_points, r.least_point) for r in out.collect()}
+    assert got == {k: (len(inside(a, b)), min(inside(a, b), default=None)) for k, a, b in intervals}
+    # Every point lies in every interval: pairs would be 2.5e9.
+    many = interval_summary(spark.range(50_000).select("id", F.col("id").alias("v")), spark.range(50_000).select("id", (-F.col("id")).alias("a"), (F.col("id") + 50_000).alias("b")).withColumnRenamed("id", "k"), "v", "id", "a", "b", cells)
+    assert many.agg(F.min("n_points"), F.max("n_points"), F.max("least_point"), F.count("k")).first() == (50_000, 50_000, 0, 50_000)
