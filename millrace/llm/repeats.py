@@ -164,16 +164,17 @@ class Repeats:
 SEGMENT = ["anchor", "whole", "also"]
 
 
-def find_repeats(df: DataFrame, units: Callable, width: int, gram_size: int, piece: int = 1 << 19) -> Repeats:
-    """``df`` has key, tie and text. ``units``: from bytes and offsets of a run of texts to a hash of each unit, rows that tell units apart, and the texts' offsets."""
+def find_repeats(df: DataFrame, units: Callable, width: int, gram_size: int, piece: int = 1 << 19, last: bool = True) -> Repeats:
+    """``df`` has key, tie and text. ``units``: from bytes and offsets of a run of texts to a hash of each unit, rows that tell units apart, and the texts' offsets. Without ``last`` the last places are left out."""
     if not 0 < width <= WIDEST:
         raise ValueError(f"a window has 1 to {WIDEST} units")
     found = _find(df, units, width, gram_size, piece)
-    by = F.when(F.col("known"), F.xxhash64("key", "tie", "place")).otherwise(F.col("anchor"))
+    # Rows that go on in any case stay with their text, so their keys compress; one that meets an anchor there by chance only goes on as well.
+    by = F.when(F.col("known"), F.col("tie")).otherwise(F.col("anchor"))
     met = F.count(F.lit(1)).over(W.partitionBy("by"))
     rows = keep(found.withColumn("by", by).withColumn("__n", met).filter("place IS NOT NULL AND (known OR __n > 1)").drop("by", "__n", "known"), "repeats")
     where = F.struct("key", "tie", "place")
-    distinct = rows.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("copies"), F.min(where).alias("first"), F.max(where).alias("last"))
+    distinct = rows.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("copies"), F.min(where).alias("first"), *([F.max(where).alias("last")] if last else []))
     return Repeats(rows, keep(distinct, "segments"))
 
 

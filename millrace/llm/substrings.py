@@ -82,7 +82,7 @@ def _level(windows: DataFrame, df: DataFrame, have: int, want: int, width: int)
 def repeated_windows(df: DataFrame, width: int) -> DataFrame:
     """(key, tie, at, n): runs of windows whose words also start earlier (smaller key, then tie, or earlier in the text). ``df``: key, tie, text."""
     have, *levels = lengths(width)
-    found = find_repeats(df, _words, width, have)
+    found = find_repeats(df, _words, width, have, last=False)
     # Every place of a segment but the first: all its windows start earlier.
     where: Column = F.struct("key", "tie", "place")
     first = found.distinct.filter("copies > 1").select(*SEGMENT, "first")

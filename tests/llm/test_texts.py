@@ -523,3 +523,14 @@ def test_the_threshold_is_the_best_cut_of_all_held_labels(spark, monkeypatch):
     monkeypatch.setattr(quality, "_threshold", lambda held, *_: seen.append(held.count()) or 0.0)
     quality.fit(docs, "k", "text", docs.select("k", (F.col("k") % 2).alias("q")), F.col("q") == 1)
     assert seen == [docs.filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(2)) == 1).count()] and seen[0] > 20_000
+
+
+def test_segments_without_their_last_places(spark):
+    from millrace.llm import repeats
+    from millrace.llm.tables import identified
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 3, 60 + i % 2))) for i in range(12)], "k long, text string")
+    rows = identified(docs, key=F.col("k"), text=F.col("text"))
+    found = [repeats.find_repeats(rows, substrings._words, 20, 5, last=last) for last in (True, False)]
+    assert "last" in found[0].distinct.columns and "last" not in found[1].distinct.columns
+    assert sorted(found[0].distinct.drop("last").collect()) == sorted(found[1].distinct.collect())
