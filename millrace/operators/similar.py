@@ -1,14 +1,15 @@
 """Similar texts: exclusion by the words that two texts share, and redundancy removal by alignment.
 
-Both find candidates by prefix filtering. Tokens have one order, rare ones first; two sets that share enough have a
-token in common among the first few of each (their prefixes). How rare a token is comes from a sketch of counts over all texts, which decides the order
-only: any order gives the same pairs. A token whose cell was counted once is in one set alone, so it is left out. Pairs
-with a common token are ruled out by an upper bound of what they share, and those left are compared in
+Both find candidates by prefix filtering. Tokens have one order, rare ones first; two sets that share enough have SHARED tokens (or all that
+they need) in common among the first few of each, with enough tokens behind them. How rare a token is comes from a sketch of counts over all texts, which decides the order
+only: any order gives the same pairs. A token whose cell was counted once is in one set alone, so it is left out. Pairs with
+enough common tokens are ruled out by an upper bound of what they share, and those left are compared in
 full, so nothing is lost and nothing is guessed. A token with many rows is split into cells by both sides' rows, and
-groups of copies collapse first: equal sets are one, and close ones are settled by one of them before pairs are made.
+groups of copies collapse first: equal sets are one, and families of close ones, found by least hashes (bands), are settled by one of them before pairs are made.
+Bands need not find all of a family: what they miss is compared like all the rest.
 
-Texts are words between ASCII white space, and stay where they are: what is written of each set is its prefix and 128 bytes of counts, and only
-texts in pairs that pass the bound are read again and moved. Tokens are 64-bit hashes of words; sets and sequences are told apart by 128 bits.
+Texts are words between ASCII white space, and stay where they are: what is written of each is its prefix, its bands and 128 bytes of counts, and only
+texts in pairs that pass the bound are read again, found by a hash of the whole text, and moved. Tokens are 64-bit hashes of words; texts, sets and sequences are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import words
 from millrace.operators.curate import split_rows, without_rows
@@ -35,8 +37,14 @@ BOUND = 128
 SMALL = 1 << 21
 #: Rows of one token, on either side, that are joined in one cell.
 CELL = 1 << 12
+#: Tokens that two prefixes have in common, if so many are needed at all.
+SHARED = 2
+#: Bands of a set, and least hashes in each.
+BANDS, BAND_ROWS = 8, 4
 #: Rounds in which a family is settled by its first row.
-ROUNDS = 3
+ROUNDS = 2
+#: Rows that are broadcast.
+FEW = 1_000_000
 
 
 def _ceil(a: Column, b: int) -> Column:
@@ -52,6 +60,15 @@ def _set(text: Column) -> Column:
     return F.sort_array(F.array_distinct(_hashes(text)))
 
 
+def _place(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def _few(t: DataFrame) -> DataFrame:
+    """A kept table, to be broadcast if it has FEW rows at most."""
+    return F.broadcast(t) if t.count() <= FEW else t
+
+
 def _identity(items: Column) -> Column:
     # Inside transform the items are a variable, so they are worked out once and not for every hash.
     return F.get(F.transform(F.array(items), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))), 0)
@@ -113,10 +130,34 @@ def _rarity(items: list[DataFrame], bags: bool) -> np.ndarray:
     return out
 
 
-def _indexed(items: list[DataFrame], percent: int, bags: bool) -> list[DataFrame]:
-    """Of tables (items, name, n) one row for each different name: name, n, ``bound`` (counts of its tokens by cell), and of its prefix, the first n - ceil(percent * n / 100) + 1
-    tokens, those that may be elsewhere: ``tokens`` with their places ``ats``. Texts are read twice and not moved."""
-    shared = items[0].sparkSession.sparkContext.broadcast(_rarity(items, bags))
+def _bands(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """BANDS hashes of each row's tokens: rows with nearly the same tokens agree in some, most likely."""
+    out = np.zeros((len(size), BANDS), np.uint64)
+    if len(flat):
+        some = size > 0
+        start = (np.cumsum(size) - size)[some]
+        numbers = np.random.default_rng(7).integers(1 << 62, size=(BANDS, BAND_ROWS, 2), dtype=np.uint64)
+        for band in range(BANDS):
+            own = np.full(len(start), band, np.uint64)
+            for a, b in numbers[band]:
+                own = (own ^ np.minimum.reduceat((flat.view(np.uint64) ^ a) * (b | np.uint64(1)), start)) * np.uint64(0x9E3779B97F4A7C15)
+                own ^= own >> np.uint64(31)
+            out[some, band] = own
+    return out.view(np.int64)
+
+
+def _need(measure: str, percent: int, x: Column | None = None, y: Column | None = None) -> Column:
+    """The least number of tokens that sets of x and y tokens must share."""
+    x, y = F.col("x_n") if x is None else x, F.col("y_n") if y is None else y
+    return _ceil((x + y) * percent, 100 + percent) if measure == "jaccard" else _ceil(F.greatest(x, y) * percent, 100)
+
+
+def _indexed(work: Workspace, tables: list[tuple[DataFrame, str, list[str]]], percent: int, bags: bool) -> list[DataFrame]:
+    """Of tables (rows, text column, more columns) what is worked with, a row for each row: id, name of the set (or sequence), n, place (of the whole text), the columns, ``bands``, ``bound`` (counts of
+    its tokens by cell), and of its prefix, the first n - ceil(percent * n / 100) + SHARED tokens, those that may be elsewhere: ``tokens`` with their places ``ats`` and whether they may be in more than CELL rows.
+    Texts are read twice and not moved."""
+    items = [df.select((_hashes if bags else _set)(F.col(text)).alias("items"), _place(F.col(text)).alias("place"), *more) for df, text, more in tables]
+    shared, hot = items[0].sparkSession.sparkContext.broadcast(_rarity(items, bags)), 1 + int(8 * np.log2(CELL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
@@ -126,16 +167,27 @@ def _indexed(items: list[DataFrame], percent: int, bags: bool) -> list[DataFrame
             order = np.lexsort((flat, by, owner))
             begin = np.append(0, np.cumsum(size))
             at = np.arange(len(flat)) - begin[owner]
-            some = (at < (size - -(-size * percent // 100) + 1)[owner]) & (by[order] > 1)
+            some = (at < (size - -(-size * percent // 100) + SHARED)[owner]) & (by[order] > 1)
             ends = pa.array(np.append(0, np.cumsum(np.bincount(owner[some], minlength=len(size)))).astype(np.int32))
             bound = np.bincount(owner * BOUND + (flat.view(np.uint64) >> np.uint64(57)).astype(np.int64), minlength=len(size) * BOUND)
             bound = pa.array([r.tobytes() for r in np.minimum(bound, 255).astype(np.uint8).reshape(-1, BOUND)], pa.binary())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (flat[order][some], at[some].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], bound, *lists], names=["name", "n", "bound", "tokens", "ats"])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(_bands(flat, size).ravel()))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (flat[order][some], at[some].astype(np.int32), by[order][some] >= hot)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], bound, bands, *lists], names=[*batch.schema.names[1:], "bound", "bands", "tokens", "ats", "often"])
+
+    out = []
+    for t in items:
+        t = t.select("items", _identity(F.col("items")).alias("name"), F.size("items").alias("n"), *t.columns[1:])
+        kind = T.StructType(t.schema.fields[1:] + T._parse_datatype_string("bound binary, bands array<bigint>, tokens array<bigint>, ats array<int>, often array<boolean>").fields)
+        out.append(work.keep(_numbered(t.mapInArrow(run, kind)), "rows"))
+    return out
 
-    kind = "name struct<a:bigint,b:bigint>, n int, bound binary, tokens array<bigint>, ats array<int>"
-    # Empty ones go here: a filter before would be pushed below the hashing, which would be done twice.
-    return [t.select("items", "name", "n").mapInArrow(run, kind).filter("n > 0").dropDuplicates(["name"]) for t in items]
+
+def _different(work: Workspace, rows: DataFrame) -> DataFrame:
+    """One row for each different set that has words: the first. Those of copies are found by name; the rows themselves don't move."""
+    names = rows.filter("n > 0").groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("name", "first")
+    copies = work.keep(rows.select("id", "name").join(_few(work.keep(names, "names")), "name").filter("id <> first").select("id"), "copies")
+    return rows.filter("n > 0").join(_few(copies), "id", "left_anti")
 
 
 def _length_class(n: Column, percent: int) -> Column:
@@ -143,54 +195,68 @@ def _length_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else n.cast("int")
 
 
-def _prefixes(sets: DataFrame, percent: int, *more: str) -> DataFrame:
-    """(id, n, class, token, at, and more): a row for each token of a prefix that may be elsewhere."""
-    return sets.select("id", "n", *more, _length_class(F.col("n"), percent).alias("class"), F.explode(F.arrays_zip("tokens", "ats")).alias("t")).select("id", "n", *more, "class", F.col("t.tokens").alias("token"), F.col("t.ats").alias("at"))
-
+def _prefixes(sets: DataFrame, percent: int, full: tuple[int, ...], short: tuple[int, ...], *more: str) -> DataFrame:
+    """(key, id, n, at, often, and more): a row for each token of a prefix that may be elsewhere, as it is met by sets of classes ``full`` away, and
+    of classes ``short`` away with none of fewer words (at a Jaccard similarity), which need a shorter prefix."""
+    rows = sets.select("id", "n", *more, _length_class(F.col("n"), percent).alias("class"), F.explode(F.arrays_zip("tokens", "ats", "often")).alias("t"))
+    few = F.array(*[F.col("class") + s for s in full]) if full else F.array().cast("array<int>")
+    if short:
+        early = F.col("t.ats") < F.col("n") - _need("jaccard", percent, F.col("n"), F.col("n")) + SHARED
+        few = F.when(early, F.array(*[F.col("class") + s for s in (*full, *short)])).otherwise(few)
+    rows = rows.withColumn("class", F.explode(few))
+    # Keys that agree by chance only bring more candidates.
+    return rows.select(F.xxhash64("t.tokens", "class").alias("key"), "id", "n", F.col("t.ats").alias("at"), F.col("t.often").alias("often"), *more)
 
-def _firsts(rows: DataFrame, steps: tuple[int, ...]) -> DataFrame:
-    """The row of least id of each token and class, as it is met by rows of classes ``steps`` away."""
-    first = rows.groupBy("token", "class").agg(F.min(F.struct("id", "n", "at")).alias("f"))
-    return first.select("token", F.explode(F.array(*[F.col("class") + s for s in steps])).alias("class"), "f.*")
 
+def split_join(left: DataFrame, right: DataFrame, on: list[str], most: int = CELL, *, often: tuple[str, str] | None = None) -> DataFrame:
+    """Equi-join in which a key with more than ``most`` rows on a side is cut into cells: its rows are dealt to parts on their own side and copied to the parts of the other.
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], most: int = CELL) -> DataFrame:
-    """Equi-join in which a key with more than ``most`` rows on a side is cut into cells: its rows are dealt to parts on their own side and copied to the parts of the other."""
-    count = lambda t, c: t.groupBy(*on).agg(F.count(F.lit(1)).alias(c))
+    ``often``: columns of either side that are true wherever a key may have so many rows, so that others need not be counted; they are dropped.
+    """
+    count = lambda t, c: (t.filter(c.replace("__", "__often_")) if often else t).groupBy(*on).agg(F.count(F.lit(1)).alias(c))
     parts = lambda c: F.ceil(F.col(c) / most).cast("int")
+    if often:
+        left, right = left.withColumnRenamed(often[0], "__often_l"), right.withColumnRenamed(often[1], "__often_r")
     hot = count(left, "__l").join(count(right, "__r"), on).filter((F.col("__l") > most) | (F.col("__r") > most)).select(*on, parts("__l").alias("__l"), parts("__r").alias("__r"))
     hot = F.broadcast(hot)  # a row for ``most`` rows at most
 
     def dealt(t: DataFrame, own: str, other: str, seed: int) -> DataFrame:
         seen = t.join(hot, on, "left")
         mine = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in t.columns]), F.coalesce(F.col(own), F.lit(1))).cast("int")
-        return seen.select(*t.columns, mine.alias(f"{own}_part"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)).alias(f"{other}_part"))
+        return seen.select(*[c for c in t.columns if not c.startswith("__often_")], mine.alias(f"{own}_part"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)).alias(f"{other}_part"))
 
     return dealt(left, "__l", "__r", 1).join(dealt(right, "__r", "__l", 2), [*on, "__l_part", "__r_part"]).drop("__l_part", "__r_part")
 
 
-def _named(rows: DataFrame, side: str, *columns: str) -> DataFrame:
-    return rows.select("token", *[c for c in ("class",) if c in rows.columns], *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *columns)])
+def _possible(measure: str, percent: int) -> Column:
+    """Lengths are close enough, and enough tokens follow the common one, if it is among the first SHARED of them."""
+    short, long = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    room = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) + (SHARED - 1)
+    return (short * 100 >= long * percent) & (room >= _need(measure, percent))
 
 
-def _need(measure: str, percent: int) -> Column:
-    """The least number of tokens that x and y must share."""
-    if measure == "jaccard":
-        return _ceil((F.col("x_n") + F.col("y_n")) * percent, 100 + percent)
-    return _ceil(F.greatest("x_n", "y_n") * percent, 100)
+def _candidates(x: DataFrame, y: DataFrame, on: Column, measure: str, percent: int) -> DataFrame:
+    """(x_id, y_id, need): pairs of prefix rows for which ``on`` holds, that have SHARED tokens in common where they need so many."""
+    x, y = (t.select("key", *[F.col(c).alias(f"{s}_{c}") for c in t.columns if c != "key"]) for t, s in ((x, "x"), (y, "y")))
+    met = split_join(x, y, ["key"], often=("x_often", "y_often")).filter(on & _possible(measure, percent))
+    counted = met.groupBy("x_id", "y_id").agg(F.count(F.lit(1)).alias("shared"), F.max(_need(measure, percent)).alias("need"))
+    return counted.filter(F.col("shared") >= F.least(F.lit(SHARED), F.col("need"))).select("x_id", "y_id", "need")
 
 
-def _possible(measure: str, percent: int) -> Column:
-    """Lengths are close enough, and enough tokens can follow or precede the shared one."""
-    short, long = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    room = F.least("x_at", "y_at") + 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
-    return (short * 100 >= long * percent) & (room >= _need(measure, percent))
+def _in_bands(x: DataFrame, y: DataFrame, measure: str, percent: int) -> DataFrame:
+    """(x_id, y_id, need): of each band of a set of ``x``, the first set of ``y``, where lengths are close enough."""
+    rows = lambda t: t.select("id", "n", F.explode("bands").alias("band"))
+    first = rows(y).groupBy("band").agg(F.min(F.struct("id", "n")).alias("y"), F.count(F.lit(1)).alias("rows"))
+    first = (first.filter("rows > 1") if x is y else first).select("band", F.col("y.id").alias("y_id"), F.col("y.n").alias("y_n"))
+    pairs = rows(x).select("band", F.col("id").alias("x_id"), F.col("n").alias("x_n")).join(first, "band")
+    close = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    return (pairs.filter("x_id <> y_id") if x is y else pairs).filter(close).select("x_id", "y_id", _need(measure, percent).alias("need")).distinct()
 
 
-def _bounded(work: Workspace, pairs: DataFrame, x: DataFrame, y: DataFrame, measure: str, percent: int) -> DataFrame:
-    """Different pairs (x_id, y_id) that may share enough: sets share no more than the sum of the lesser counts of their cells. A full cell rules nothing out."""
-    side = lambda t, s: t.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("bound").alias(f"{s}_bound"))
-    both = pairs.distinct().join(side(x, "x"), "x_id").join(side(y, "y"), "y_id").select("x_id", "y_id", _need(measure, percent).alias("need"), "x_bound", "y_bound")
+def _bounded(work: Workspace, pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs (x_id, y_id) that may share ``need``: sets share no more than the sum of the lesser counts of their cells. A full cell rules nothing out."""
+    side = lambda t, s: t.select(F.col("id").alias(f"{s}_id"), F.col("bound").alias(f"{s}_bound"))
+    both = work.keep(pairs, "candidates").join(side(x, "x"), "x_id").join(side(y, "y"), "y_id").select("x_id", "y_id", "need", "x_bound", "y_bound")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,13 +268,15 @@ def _bounded(work: Workspace, pairs: DataFrame, x: DataFrame, y: DataFrame, meas
     return work.keep(both.mapInArrow(run, "x_id bigint, y_id bigint"), "pairs")
 
 
-def _read_again(work: Workspace, items: DataFrame, sets: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """(id, items) of the sets ``ids``, from their texts: only those of these names are moved."""
-    names = work.keep(sets.join(ids.distinct(), "id", "left_semi").select("id", "name"), "names")
-    _, some = split_rows(items.select("items", "name"), F.col("name"), names.select("name.*"), most_broadcast)
-    named = names.select("id", F.col("name").alias("__name"))
-    found = some.select("items", "__name").join(F.broadcast(named) if names.count() <= most_broadcast else named, "__name").select("id", "items")
-    return work.keep(found.dropDuplicates(["id"]), "items")
+def _read_again(work: Workspace, texts: DataFrame, items: Column, sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items) of the sets ``ids``, from their texts (a column ``text``): they are found by a hash of the whole text, and only words of these are hashed and moved."""
+    ids = work.keep(ids.distinct(), "ids")
+    names = work.keep(sets.select("id", "place").join(_few(ids), "id", "left_semi"), "names")
+    _, some = split_rows(texts, _place(F.col("text")), names.select("place.*"), FEW)
+    found = some.select("text", "__name").join(_few(names.select("id", F.col("place").alias("__name"))), "__name").select("id", items.alias("items"))
+    out = work.keep(found.dropDuplicates(["id"]), "items")
+    work.drop(ids, names)
+    return out
 
 
 def _both(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
@@ -221,44 +289,42 @@ def _both(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def _shared(work: Workspace, pairs: DataFrame, x: tuple[DataFrame, DataFrame], y: tuple[DataFrame, DataFrame], percent: int) -> DataFrame:
-    """Pairs (x_id, y_id) that are similar by their full sets; ``x`` and ``y``: items and sets of a side."""
-    left = _bounded(work, pairs, x[1], y[1], "jaccard", percent)
+    """Pairs (x_id, y_id) that are similar by their full sets; ``x`` and ``y``: texts and sets of a side."""
+    left, items = _bounded(work, pairs, x[1], y[1]), _set(F.col("text"))
     if x is y:
-        full = _read_again(work, *x, left.select(F.col("x_id").alias("id")).unionAll(left.select("y_id")))
+        full = _read_again(work, x[0], items, x[1], left.select(F.col("x_id").alias("id")).unionAll(left.select("y_id")))
         sides = (full, full)
     else:
-        sides = (_read_again(work, *x, left.select(F.col("x_id").alias("id"))), _read_again(work, *y, left.select(F.col("y_id").alias("id"))))
+        sides = (_read_again(work, x[0], items, x[1], left.select(F.col("x_id").alias("id"))), _read_again(work, y[0], items, y[1], left.select(F.col("y_id").alias("id"))))
     both = _both(left, *sides).withColumn("x_n", F.size("x_items")).withColumn("y_n", F.size("y_items"))
     out = work.keep(both.filter(F.size(F.array_intersect("x_items", "y_items")) >= _need("jaccard", percent)).select("x_id", "y_id"), "links")
     work.drop(left, *sides)
     return out
 
 
-def _set_items(df: DataFrame, text: str, *more: Column) -> DataFrame:
-    items = df.select(_set(F.col(text)).alias("items"), *more)
-    return items.select("*", _identity(F.col("items")).alias("name"), F.size("items").alias("n"))
-
-
 def _numbered(t: DataFrame) -> DataFrame:
     return t.select(F.monotonically_increasing_id().alias("id"), "*")
 
 
-def similar_sets(df: DataFrame, other: DataFrame, text: str, other_text: str, percent: int, work: Workspace) -> DataFrame:
-    """(a, b): names of the word sets of ``df`` with 100 * intersection >= percent * union for any set of ``other``.
+def similar_texts(df: DataFrame, other: DataFrame, text: str, other_text: str, percent: int, work: Workspace) -> DataFrame:
+    """(a, b): places of the texts of ``df`` whose word sets have 100 * intersection >= percent * union for any set of ``other``.
 
-    Sets that ``other`` has itself need no comparison. Of the rest each meets one set of ``other`` for each of its prefix tokens; only those without a match then meet all.
+    Sets that ``other`` has itself need no comparison. Of the rest each meets one set of ``other`` for each of its bands; only those without a match then meet all.
     """
-    items = [_set_items(t, c) for t, c in ((df, text), (other, other_text))]
-    x, y = (work.keep(_numbered(t), "sets") for t in _indexed(items, percent, False))
-    found = work.keep(x.join(y.select("name"), "name", "left_semi").select("id"), "similar")
-    theirs = _prefixes(y, percent)
-    for once in (True, False):
-        mine = _prefixes(x.join(found, "id", "left_anti"), percent)
-        there, on = (_firsts(theirs, (-1, 0, 1)), ["token", "class"]) if once else (theirs.drop("class"), ["token"])
-        pairs = split_join(_named(mine if once else mine.drop("class"), "x"), _named(there, "y"), on).filter(_possible("jaccard", percent)).select("x_id", "y_id")
-        new = _shared(work, pairs, (items[0], x), (items[1], y), percent)
-        found = found.unionAll(new.select(F.col("x_id").alias("id")).distinct())
-    return x.join(found, "id", "left_semi").select("name.*")
+    rows = _indexed(work, [(df, text, []), (other, other_text, [])], percent, False)
+    sets = [_different(work, t) for t in rows]
+    sides = [(t.select(F.col(c).alias("text")), s) for t, c, s in zip((df, other), (text, other_text), sets, strict=True)]
+    x, y = sets
+    found = work.keep(x.select("id", "name").join(y.select("name"), "name", "left_semi").select("id"), "similar")
+    x = x.join(_few(found), "id", "left_anti")
+    new = _shared(work, _in_bands(x, y, "jaccard", percent), *sides, percent)
+    new = work.keep(new.select(F.col("x_id").alias("id")).distinct(), "similar")
+    found, x = found.unionAll(new), x.join(_few(new), "id", "left_anti")
+    # A set of y that has no more words than those of x, as it is one class up, is met by its shorter prefix.
+    pairs = _candidates(_prefixes(x, percent, (0,), ()), _prefixes(y, percent, (-1, 0), (1,)), F.lit(True), "jaccard", percent)
+    found = found.unionAll(_shared(work, pairs, *sides, percent).select(F.col("x_id").alias("id")).distinct())
+    names = work.keep(sets[0].select("id", "name").join(_few(work.keep(found, "similar")), "id", "left_semi").select("name"), "names")
+    return rows[0].select("name", "place").join(_few(names), "name", "left_semi").select("place.*").distinct()
 
 
 def exclude_similar(df: DataFrame, other: DataFrame, text: str, other_text: str, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -266,13 +332,13 @@ def exclude_similar(df: DataFrame, other: DataFrame, text: str, other_text: str,
 
     Every row is judged by its text, whatever its other columns are; null and blank texts have no words and are similar to nothing. An
     empty ``other`` excludes nothing. Texts are read several times. Those that stay are not
-    shuffled, unless they nearly match: ``most_broadcast`` excluded sets (16 bytes each) or fewer are broadcast, of more only their buckets.
+    shuffled, unless they nearly match: ``most_broadcast`` excluded texts (16 bytes each) or fewer are broadcast, of more only their buckets.
     """
     if not 0 < percent <= 100:
         raise ValueError("a similarity is 1 to 100 per cent")
     with Workspace(df.sparkSession) as work:
-        found = work.result(similar_sets(df, other, text, other_text, percent, work), "excluded")
-    return without_rows(df, _identity(_set(F.col(text))), found, most_broadcast)
+        found = work.result(similar_texts(df, other, text, other_text, percent, work), "excluded")
+    return without_rows(df, _place(F.col(text)), found, most_broadcast)
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -318,10 +384,10 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n[i], m[j]).sum())
 
 
-def _aligned(work: Workspace, pairs: DataFrame, items: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _aligned(work: Workspace, pairs: DataFrame, texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(x_id, y_id, identity): pairs with 100 * (longest - edits) >= percent * longest; the shared words are counted before sequences are aligned."""
-    left = _bounded(work, pairs, sets, sets, "edits", percent)
-    full = _read_again(work, items, sets, left.select(F.col("x_id").alias("id")).unionAll(left.select("y_id")))
+    left = _bounded(work, pairs, sets, sets)
+    full = _read_again(work, texts, _hashes(F.col("text")), sets, left.select(F.col("x_id").alias("id")).unionAll(left.select("y_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,8 +416,8 @@ def representatives(df: DataFrame, key: str, text: str, percent: int = 90) -> Da
     are representatives does not depend on how the table is stored. Rows with the same words have one representative, the least key among them. Rows without words stand for
     themselves. Rows that share a key are judged each by its text. An empty table gives an empty table. Other columns are dropped, so none can clash.
 
-    Rounds: a text that comes first for all its prefix tokens is a representative, and settles what is close to it; after
-    ROUNDS such rounds the texts still undecided are compared pair by pair, and links are resolved in order.
+    Rounds: a text close to the first one of a band is put aside with it, if that one is not put aside itself. The others are compared pair by pair, and links are resolved in order. Texts that
+    were put aside with one that is no representative then come back, until there are none: whoever is close to an earlier representative decides nothing about others.
     """
     if not 0 < percent <= 100:
         raise ValueError("an identity is 1 to 100 per cent")
@@ -359,53 +425,59 @@ def representatives(df: DataFrame, key: str, text: str, percent: int = 90) -> Da
         return work.result(_representatives(df, key, text, percent, work), "representatives")
 
 
+def _resolved(work: Workspace, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, to, identity) of ids that have all links (x_id, y_id, identity) to earlier ones: to itself, if it is linked to no earlier representative, or to the first of them."""
+    left, decided = texts, None
+    while not left.isEmpty():
+        # Without a link to an undecided text before it, a text is a representative; what is linked to one is decided too.
+        heads = work.keep(left.join(links.select(F.col("x_id").alias("id")).distinct(), "id", "left_anti"), "heads")
+        found = links.join(heads.select(F.col("id").alias("y_id")), "y_id", "left_semi")
+        found = found.groupBy("x_id").agg(F.min(F.struct("y_id", "identity")).alias("m")).select(F.col("x_id").alias("id"), F.col("m.y_id").alias("to"), "m.identity")
+        new = work.keep(heads.select("id", F.col("id").alias("to"), F.lit(1.0).alias("identity")).unionAll(found), "members")
+        decided = new if decided is None else decided.unionAll(new)
+        left = work.keep(left.join(new, "id", "left_anti"), "undecided")
+        gone = new.filter("id <> to").select("id")
+        links = work.keep(links.join(gone, links.x_id == gone.id, "left_anti").join(gone, links.y_id == gone.id, "left_anti"), "links")
+    return work.keep(decided if decided is not None else texts.select("id", F.col("id").alias("to"), F.lit(1.0).alias("identity")), "decided")
+
+
 def _representatives(df: DataFrame, key: str, text: str, percent: int, work: Workspace) -> DataFrame:
-    items = df.select(F.col(key).alias("key"), _hashes(F.col(text)).alias("items"))
-    own = items.select("key", "items", _identity(F.col("items")).alias("name"), F.size("items").alias("n"))
-    items = own.drop("key")
-    least = own.groupBy("name").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
+    rows = _indexed(work, [(df.select(F.col(text).alias("text"), F.col(key).alias("key")), "text", ["key"])], percent, True)[0]
+    texts = df.select(F.col(text).alias("text"))
+    least = rows.filter("n > 0").groupBy("name").agg(F.min("id").alias("row"), F.min("n").alias("n"), F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
     # Numbers go up in the order in which texts are taken.
-    turns = _indexed([items], percent, True)[0].join(least, "name").orderBy(F.desc("n"), "first.none", "first.key", "name")
-    texts = work.keep(_numbered(turns).select("id", "name", "n", "bound", "tokens", "ats", F.col("first.key").alias("key")), "sets")
-    left = work.keep(texts.select("id"), "undecided")
-    chosen, members = [], []
+    turns = work.keep(_numbered(least.orderBy(F.desc("n"), "first.none", "first.key", "name")).select("id", "row", "name", F.col("first.key").alias("key")), "turns")
+    sets = work.keep(rows.drop("name", "key").withColumnRenamed("id", "row").join(turns.select("id", "row"), "row").drop("row"), "sets")
 
-    def least_links(found: DataFrame) -> DataFrame:
-        return work.keep(found.groupBy("x_id").agg(F.min(F.struct("y_id", "identity")).alias("m")).select(F.col("x_id").alias("id"), F.col("m.y_id").alias("to"), "m.identity"), "members")
-
-    def earlier(x: DataFrame, y: DataFrame) -> DataFrame:
-        return split_join(_named(x.drop("class"), "x"), _named(y.drop("class"), "y"), ["token"]).filter("y_id < x_id").filter(_possible("edits", percent)).select("x_id", "y_id")
+    def compared(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Links of ``x`` to earlier ones among ``y``, which have as many words or more."""
+        return _aligned(work, _candidates(_prefixes(x, percent, (0,), ()), _prefixes(y, percent, (-1, 0), ()), F.expr("y_id < x_id"), "edits", percent), texts, sets, percent)
 
+    aside, rest = None, sets
     for _ in range(ROUNDS):
-        mine = _prefixes(texts.join(left, "id", "left_semi"), percent)
-        # Longer texts that are close enough are in the same class or the next.
-        seen = mine.select("id", "token", "class").join(_firsts(mine, (0, -1)).select("token", "class", F.col("id").alias("first")), ["token", "class"])
-        later = work.keep(seen.groupBy("id").agg(F.min("first").alias("first")).filter("first < id").select("id"), "later")
-        heads = work.keep(left.join(later, "id", "left_anti"), "heads")
-        new = least_links(_aligned(work, earlier(mine.join(later, "id", "left_semi"), mine.join(heads, "id", "left_semi")), items, texts, percent))
-        chosen.append(heads)
-        members.append(new)
-        left = work.keep(later.join(new.select("id"), "id", "left_anti"), "undecided")
-        if left.isEmpty():
+        near = _aligned(work, _in_bands(rest, rest, "edits", percent), texts, sets, percent)
+        near = work.keep(near.join(near.select(F.col("x_id").alias("y_id")).distinct(), "y_id", "left_anti").groupBy("x_id").agg(F.min(F.struct("y_id", "identity")).alias("m")).select(F.col("x_id").alias("id"), F.col("m.y_id").alias("to"), "m.identity"), "aside")
+        if near.isEmpty():
             break
-    else:
-        mine = _prefixes(texts.join(left, "id", "left_semi"), percent)
-        links = _aligned(work, earlier(mine, mine), items, texts, percent)
-        while not left.isEmpty():
-            # Without a link to an undecided text before it, a text is a representative; what is linked to one is decided too.
-            heads = work.keep(left.join(links.select(F.col("x_id").alias("id")).distinct(), "id", "left_anti"), "heads")
-            new = least_links(links.join(heads.select(F.col("id").alias("y_id")), "y_id", "left_semi"))
-            chosen.append(heads)
-            members.append(new)
-            gone = heads.unionAll(new.select("id"))
-            left = work.keep(left.join(gone, "id", "left_anti"), "undecided")
-            links = work.keep(links.join(new.select(F.col("id").alias("x_id")), "x_id", "left_anti").join(new.select(F.col("id").alias("y_id")), "y_id", "left_anti"), "links")
-    decided = None
-    for part in [c.select("id", F.col("id").alias("to"), F.lit(1.0).alias("identity")) for c in chosen] + members:
-        decided = part if decided is None else decided.unionAll(part)
-    names = texts.select(F.col("id").alias("to"), F.col("key").alias("representative"))
-    placed = decided.join(names, "to").join(texts.select("id", "name"), "id").select("name", "representative", "identity")
-    out = own.select("key", "name").join(placed, "name", "left")
+        aside = near if aside is None else aside.unionAll(near)
+        # A head may be close to another's head, but is not put aside, so it goes out of the next round.
+        rest = rest.join(_few(work.keep(near.select("id").unionAll(near.select("to")).distinct(), "settled")), "id", "left_anti")
+    left = sets if aside is None else sets.join(_few(work.keep(aside.select("id"), "aside")), "id", "left_anti")
+    here = work.keep(left.select("id"), "undecided")
+    links = compared(left, left)
+    decided = _resolved(work, here, links)
+    while aside is not None:
+        back = work.keep(aside.join(decided.filter("id = to").select("to"), "to", "left_anti"), "back")
+        if back.isEmpty():
+            break
+        new, old = (sets.join(_few(t), "id", "left_semi") for t in (back.select("id"), here))
+        links = links.unionAll(compared(new, old)).unionAll(compared(old, new)).unionAll(compared(new, new))
+        here = work.keep(here.unionAll(back.select("id")), "undecided")
+        aside = work.keep(aside.join(back.select("id"), "id", "left_anti"), "aside")
+        decided = _resolved(work, here, links)
+    decided = decided if aside is None else decided.unionAll(aside.select(*decided.columns))
+    placed = decided.join(turns.select(F.col("id").alias("to"), F.col("key").alias("representative")), "to").join(turns.select("id", "name"), "id").select("name", "representative", "identity")
+    out = rows.select("key", "name").join(placed, "name", "left")
     alone = F.col("identity").isNull()
     return out.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("representative")).alias("representative"), F.coalesce("identity", F.lit(1.0)).alias("identity"))
 
@@ -437,29 +509,28 @@ def similar_groups(df: DataFrame, key: str, text: str, percent: int = 80) -> Dat
     Rows with the same words are linked, however many they are; a row without words, or null, is a group of its own. Rows that share a key
     are judged each by its text; null keys come after all others. An empty table gives an empty table. Other columns are dropped, so none can clash.
 
-    First every set meets one set for each of its prefix tokens, which settles families of close texts; then only sets that are not
+    First every set meets one set for each of its bands, which settles families of close texts; then only sets that are not
     connected yet are compared.
     """
     if not 0 < percent <= 100:
         raise ValueError("a similarity is 1 to 100 per cent")
     with Workspace(df.sparkSession) as work:
-        named = _set_items(df, text, F.col(key).alias("key"))
-        side = named.drop("key")
-        side = (side, work.keep(_numbered(_indexed([side], percent, False)[0]), "sets"))
-        mine = _prefixes(side[1], percent)
-        pairs = split_join(_named(mine, "x"), _named(_firsts(mine, (-1, 0, 1)), "y"), ["token", "class"]).filter("x_id <> y_id").filter(_possible("jaccard", percent))
-        links = _shared(work, pairs.select(F.least("x_id", "y_id").alias("x_id"), F.greatest("x_id", "y_id").alias("y_id")), side, side, percent)
+        rows = _indexed(work, [(df.select(F.col(text).alias("text"), F.col(key).alias("key")), "text", ["key"])], percent, False)[0]
+        sets = _different(work, rows)
+        side = (df.select(F.col(text).alias("text")), sets)
+        links = _shared(work, _in_bands(sets, sets, "jaccard", percent), side, side, percent)
         roots = work.keep(components(work, links), "roots")
 
         def rooted(t: DataFrame) -> DataFrame:
-            return t.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+            return t.join(_few(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-        mine = _prefixes(rooted(side[1]), percent, "root").drop("class")
-        pairs = split_join(_named(mine, "x", "root"), _named(mine, "y", "root"), ["token"]).filter("x_root <> y_root AND x_id < y_id").filter(_possible("jaccard", percent))
-        more = _shared(work, pairs.select("x_id", "y_id"), side, side, percent)
+        # The longer set of a pair is x, so y is of its class or the one before.
+        apart = F.expr("x_root <> y_root AND (y_n < x_n OR y_n = x_n AND y_id < x_id)")
+        x, y = (_prefixes(rooted(sets), percent, full, short, "root") for full, short in (((0,), ()), ((), (0, 1))))
+        more = _shared(work, _candidates(x, y, apart, "jaccard", percent), side, side, percent)
         roots = roots if more.isEmpty() else work.keep(components(work, links.unionAll(more)), "roots")
-        placed = rooted(side[1].select("id", "name")).select("name", "root")
-        own = named.select("key", "name").join(placed, "name", "left")
+        placed = rooted(sets.select("id", "name")).select("name", "root")
+        own = rows.select("key", "name").join(placed, "name", "left")
         least = own.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("first"))
         out = own.join(least, "root", "left").select(F.col("key").alias(key), F.when(F.col("root").isNotNull(), F.col("first.key")).otherwise(F.col("key")).alias("group_id"))
         return work.result(out, "groups")

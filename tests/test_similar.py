@@ -183,3 +183,66 @@ def test_only_prefixes_of_sets_are_written(spark, monkeypatch):
     got = {r.k: r.group_id for r in similar.similar_groups(spark.createDataFrame(data, "k long, text string"), "k", "text", 80).collect()}
     assert got == {k: k - 100 if k >= 100 else k for k, _ in data}
     assert sum(n for _, n in kept) < 0.5 * sum(len(set(t.split())) for _, t in data)
+
+
+def scattered(n=150, words=30, pool=400):
+    """Texts that have a word in common with many others, and a few near copies of the first ones."""
+    rng = random.Random(11)
+    data = [(i, " ".join("p%d" % w for w in rng.sample(range(pool), words))) for i in range(n)]
+    return data + [(1000 + i, t + " more%d" % i) for i, t in data[:5]]
+
+
+def counted_pairs(monkeypatch):
+    """Numbers of different pairs that go to the comparison."""
+    got, bounded = [], similar._bounded
+
+    def noted(work, pairs, *more):
+        got.append(pairs.select("x_id", "y_id").distinct().count())
+        return bounded(work, pairs, *more)
+
+    monkeypatch.setattr(similar, "_bounded", noted)
+    return got
+
+
+@pytest.mark.parametrize("query", ["similar_groups", "exclude_similar", "representatives"])
+def test_texts_with_one_word_in_common_make_no_pair(spark, monkeypatch, query):
+    got, data = counted_pairs(monkeypatch), scattered()
+    df = spark.createDataFrame(data, "k long, text string").repartition(3)
+    near = {k: k - 1000 if query == "similar_groups" else k for k, _ in data if k >= 1000}
+    if query == "similar_groups":
+        out = {r.k: r.group_id for r in similar.similar_groups(df, "k", "text", 80).collect()}
+        assert out == {k: near.get(k, k) for k, _ in data}
+    elif query == "representatives":
+        out = {r.k: r.representative for r in representatives(df, "k", "text", 90).collect()}
+        assert out == {k: k + 1000 if k < 5 else k for k, _ in data}
+    else:
+        out = exclude_similar(df.filter("k < 1000"), df.filter("k >= 20"), "text", "text", 80)
+        assert sorted(r.k for r in out.collect()) == list(range(5, 20))
+    assert sum(got) <= 150
+
+
+def test_bands_that_are_wrong_change_nothing(spark, monkeypatch):
+    # Every text is put aside with the one before it if they are close, whether that one becomes a representative or not.
+    monkeypatch.setattr(similar, "_in_bands", lambda x, y, measure, percent: x.select(F.col("id").alias("x_id"), (F.col("id") - 1).alias("y_id"), F.lit(0).alias("need")).filter("y_id >= 0"))
+    words = ["a%d" % i for i in range(20)]
+    chain = [" ".join(["b%d" % i for i in range(step)] + words[step:]) for step in range(0, 9)]
+    data = [*enumerate(chain), *((100 + i, t) for i, t in enumerate(texts(3, 60)))]
+    out = representatives(spark.createDataFrame(data, "k long, text string").coalesce(1), "k", "text", 90).collect()
+    assert {r.representative for r in out} == {k for k, _ in greedy(data, 90)}
+
+
+def test_tokens_of_many_rows_are_met_in_cells(spark, monkeypatch):
+    data = [*enumerate(texts(8, 120, 12))]
+    df = spark.createDataFrame(data, "k long, text string")
+    want = sorted(map(tuple, similar.similar_groups(df, "k", "text", 70).collect()))
+    seen, split = [], similar.split_join
+
+    def noted(left, right, on, **more):
+        out = split(left, right, on, 4, **more)
+        seen.append((out.count(), left.alias("l").join(right.alias("r"), on).count(), left.filter(more["often"][0]).count()))
+        return out
+
+    monkeypatch.setattr(similar, "CELL", 4)
+    monkeypatch.setattr(similar, "split_join", noted)
+    assert sorted(map(tuple, similar.similar_groups(df, "k", "text", 70).collect())) == want
+    assert all(a == b for a, b, _ in seen) and sum(n for *_, n in seen)
