@@ -342,39 +342,33 @@ def exclude_similar(df: DataFrame, other: DataFrame, text: str, other_text: str,
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences, or ``most`` + 1 if it is larger: only cells within ``most`` of the diagonal are worked out."""
+    """Edit distance of two sequences, or ``most`` + 1 if it is larger: a column of the table is worked out at once, its steps up and down as the bits of two numbers (Myers 1999, Hyyrö 2003)."""
     if len(a) < len(b):
         a, b = b, a
-    n, m = len(a), len(b)
-    if n - m > most:
+    if len(a) - len(b) > most:
         return most + 1
-    lead = int(np.argmin(np.append(a[:m] == b, False)))  # an equal beginning costs nothing
+    lead = int(np.argmin(np.append(a[: len(b)] == b, False)))  # an equal beginning or end costs nothing
     a, b = a[lead:], b[lead:]
-    n, m = n - lead, m - lead
+    tail = int(np.argmin(np.append(a[::-1][: len(b)] == b[::-1], False)))
+    a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    n, m = len(a), len(b)
     if not m:
         return n
-    width = 2 * most + 1
-    steps = np.arange(width)
-    padded = np.full(m + 2 * width, 0, b.dtype)
-    padded[width : width + m] = b
-    there = np.zeros(len(padded), bool)
-    there[width : width + m] = True
-    # Cell j of row i: the first i of a and the first i + j - most of b.
-    row = np.where(steps >= most, steps - most, most + 1)
-    row[steps - most > m] = most + 1
-    for i in range(1, n + 1):
-        at = width + i - most - 1  # of b's element before cell 0
-        same = (padded[at : at + width] == a[i - 1]) & there[at : at + width]
-        new = row + ~same
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        end = i + steps - most
-        new[end == 0] = i
-        new[(end < 0) | (end > m)] = most + 1
-        row = np.minimum(np.minimum.accumulate(new - steps) + steps, most + 1)
-        row[(end < 0) | (end > m)] = most + 1
-        if row.min() > most:
+    at: dict[int, int] = {}
+    for i, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << i
+    every = (1 << m) - 1
+    last, up, down, score = 1 << (m - 1), every, 0, m
+    for i, x in enumerate(a, 1):
+        same = at.get(x, 0)
+        steps = (((same & up) + up) ^ up) | same
+        more, less = down | (every & ~(steps | up)), up & steps
+        score += bool(more & last) - bool(less & last)
+        if score - (n - i) > most:
             return most + 1
-    return int(row[m - n + most])
+        more = (more << 1 | 1) & every
+        up, down = (less << 1 & every) | (every & ~(same | down | more)), more & (same | down)
+    return min(score, most + 1)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
