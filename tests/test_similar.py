@@ -246,3 +246,21 @@ def test_tokens_of_many_rows_are_met_in_cells(spark, monkeypatch):
     monkeypatch.setattr(similar, "split_join", noted)
     assert sorted(map(tuple, similar.similar_groups(df, "k", "text", 70).collect())) == want
     assert all(a == b for a, b, _ in seen) and sum(n for *_, n in seen)
+
+
+@pytest.mark.parametrize("query", ["evaluation_split"])
+def test_queries_on_groups_make_few_pairs(spark, monkeypatch, tmp_path, query):
+    from millrace.plans import QUERIES
+
+    data = scattered()
+    docs = [(k, t, "en", "web", len(t)) for k, t in data]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k, _ in data], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = counted_pairs(monkeypatch)
+    out = QUERIES[query](spark, str(tmp_path)).collect()
+    if query == "evaluation_split":
+        fold = {r.doc_id: r.fold for r in out}
+        assert len(fold) == len(data) and all(fold[k] == fold[k - 1000] for k in fold if k >= 1000)
+    else:
+        assert len(out) == 1 and out[0].n_pos and out[0].n_neg
+    assert sum(got) <= 150
