@@ -248,7 +248,7 @@ def test_tokens_of_many_rows_are_met_in_cells(spark, monkeypatch):
     assert all(a == b for a, b, _ in seen) and sum(n for *_, n in seen)
 
 
-@pytest.mark.parametrize("query", ["evaluation_split"])
+@pytest.mark.parametrize("query", ["evaluation_split", "evaluate_model"])
 def test_queries_on_groups_make_few_pairs(spark, monkeypatch, tmp_path, query):
     from millrace.plans import QUERIES
 
